@@ -28,7 +28,10 @@ SLOTS, ROWS = 80, 4
 BANDS = SLOTS // ROWS
 ROUNDS = 3
 WIDTH, PERCENT = 3, 85
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _times_gold(n: int) -> np.uint64:
+    return np.uint64(0x9E3779B97F4A7C15 * n % (1 << 64))
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -38,8 +41,8 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = S
     alive, places = np.arange(len(elements)), None
     for j in range(slots):
         x = elements[alive]
-        r = (mix(x + _GOLD * np.uint64(2 * j + 1)) >> np.uint64(11)).astype(float) * 2.0**-53
-        k = j + ((mix(x + _GOLD * np.uint64(2 * j + 2)) >> np.uint64(11)).astype(float) * 2.0**-53 * (slots - j)).astype(np.int64)
+        r = (mix(x + _times_gold(2 * j + 1)) >> np.uint64(11)).astype(float) * 2.0**-53
+        k = j + ((mix(x + _times_gold(2 * j + 2)) >> np.uint64(11)).astype(float) * 2.0**-53 * (slots - j)).astype(np.int64)
         if j == 0:
             slot = first = k
         else:
