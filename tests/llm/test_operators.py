@@ -149,11 +149,10 @@ def test_long_texts_in_chunks(text):
 
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(2)
-    sentence = np.array([False, True])
     for _ in range(30):
         ids = (rng.random(120) < 0.3).astype(int)
         ends = np.array([37, 80, 120])
-        cuts = packing.cuts_of(ids, ends, sentence, 16)
+        cuts = packing.cuts_of(ids, ends, ids == 1, 16)
         sizes = np.diff([0, *cuts])
         assert (sizes <= 16).all() and (sizes > 0).all() and 120 - cuts[-1] < 16
         price = {int(i) + 1: packing.SENTENCE for i in np.flatnonzero(ids)} | {int(e): 0 for e in ends}
@@ -214,7 +213,11 @@ def test_lm(docs, texts):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words[i]), sum(w in c for w in words[i]), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in words[i]), abs_tol=1e-6)
         assert math.isfinite(r.score) and r.score < 0
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    out = lmscore.op1_lm_score(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert len(out) and out.score.sum() > out.base_score.sum()
 
 
 def test_gru_gradients_learn_and_probabilities_sum_to_one():
