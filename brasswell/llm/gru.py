@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, WINDOW, LANES, RATE = 16, 8, 384, 0.05
+HIDDEN, WINDOW, RATE = 16, 8, 0.1
+#: Lanes side by side: as many as leave ``UPDATES`` windows in a pool, and no more than ``LANES``.
+LANES, UPDATES = 512, 128
+#: Cases whose outputs are computed at once when scoring.
+CASES = 8192
 
 
 def shapes(classes: int, size: int) -> dict[str, tuple[int, ...]]:
@@ -55,38 +59,48 @@ def step(p, x: np.ndarray, h: np.ndarray):
     return new + z * (h - new), (h, z, r, kn, new)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, wanted: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Columns of x are cases (sums run along whole rows, so they vectorise): each one's log-probability, and the gradient of its loss."""
+    x -= x.max(axis=0)
+    cases = np.arange(x.shape[1])
+    told = x[wanted, cases]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    if not grads:
+        return told - np.log(total), None
+    x /= total
+    x[wanted, cases] -= 1
+    return told - np.log(total), x
 
 
 def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = None):
     """Natural log-probabilities of the ids after the states h; with grads, adds to them and gives the states' gradients too."""
-    classes = len(p["bc"]) - 1
+    classes, learns = len(p["bc"]) - 1, grads is not None
+    order = np.argsort(ids, kind="stable")  # classes are runs of ids
+    ids, h = ids[order], h[order]
     c = ids // size
-    told = _log_softmax(h @ p["wc"] + p["bc"])
-    score = told[np.arange(len(ids)), c].astype(float)
+    score, d = _softmax(p["wc"].T @ h.T + p["bc"][:, None], c, learns)
     dh = None
-    if grads is not None:
-        d = np.exp(told)
-        d[np.arange(len(ids)), c] -= 1
-        grads["wc"], grads["bc"] = h.T @ d, d.sum(axis=0)
+    if learns:
+        grads["wc"], grads["bc"] = (d @ h).T, d.sum(axis=1)
         grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        dh = d @ p["wc"].T
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(classes + 1))
+        dh = d.T @ p["wc"].T
+    cuts = np.searchsorted(c, np.arange(classes + 1)).tolist()
     for k in range(classes):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if len(rows):
-            hk, word = h[rows], ids[rows] - k * size
-            told = _log_softmax(hk @ p["ww"][k] + p["bw"][k])
-            score[rows] += told[np.arange(len(rows)), word]
-            if grads is not None:
-                d = np.exp(told)
-                d[np.arange(len(rows)), word] -= 1
-                grads["ww"][k], grads["bw"][k] = hk.T @ d, d.sum(axis=0)
-                dh[rows] += d @ p["ww"][k].T
-    return score, dh
+        rows = slice(cuts[k], cuts[k + 1])
+        if cuts[k + 1] > cuts[k]:
+            told, d = _softmax(p["ww"][k].T @ h[rows].T + p["bw"][k][:, None], ids[rows] - k * size, learns)
+            score[rows] += told
+            if learns:
+                grads["ww"][k], grads["bw"][k] = (d @ h[rows]).T, d.sum(axis=1)
+                dh[rows] += d.T @ p["ww"][k].T
+    out = np.empty(len(ids))
+    out[order] = score
+    if learns:
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
+    return out, None
 
 
 class Trainer:
@@ -97,7 +111,7 @@ class Trainer:
         self.seen = {k: np.full_like(v, 1e-4) for k, v in p.items()}
 
     def learn(self, ids: np.ndarray) -> None:
-        lanes = max(1, min(LANES, len(ids) // (2 * WINDOW)))
+        lanes = max(1, min(LANES, len(ids) // (UPDATES * WINDOW)))
         length = len(ids) // lanes
         grid = np.concatenate((np.full((1, lanes), self.end), ids[: lanes * length].reshape(lanes, length).T))
         h = np.zeros((lanes, HIDDEN), np.float32)
@@ -107,7 +121,7 @@ class Trainer:
     def _window(self, seen: np.ndarray, wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, n, t = self.p, HIDDEN, len(wanted)
         seen = seen[:t]
-        lanes = h.shape[1 - 1]
+        lanes = len(h)
         e = p["emb"][seen.reshape(-1)]
         x = (e @ p["wx"] + p["bx"]).reshape(t, lanes, 3 * n)
         states, kept = np.empty((t, lanes, n), np.float32), []
@@ -131,8 +145,8 @@ class Trainer:
             dh = (dh * z + dk @ p["u"].T) * (seen[i] != self.end)[:, None]
         flat_dx = dx.reshape(-1, 3 * n)
         g["wx"], g["bx"] = e.T @ flat_dx, flat_dx.sum(axis=0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], seen.reshape(-1), flat_dx @ p["wx"].T)
+        de = flat_dx @ p["wx"].T
+        g["emb"] = np.stack([np.bincount(seen.reshape(-1), de[:, i], len(p["emb"])) for i in range(n)], axis=1).astype(np.float32)
         scale = 1 / wanted.size
         for k, v in g.items():
             v *= scale
@@ -166,7 +180,8 @@ def score_documents(p, ids: list[np.ndarray], size: int, end: int) -> np.ndarray
             rows.append(np.arange(now))
             states.append(h[:now].copy())
             wanted.append(last[:now].copy())
-        score, _ = outputs(p, np.concatenate(states), np.concatenate(wanted), size)
+        states, wanted = np.concatenate(states), np.concatenate(wanted)
+        score = np.concatenate([outputs(p, states[i : i + CASES], wanted[i : i + CASES], size)[0] for i in range(0, len(wanted), CASES)])
         total[:live] += np.bincount(np.concatenate(rows), score, live)
     out = np.empty(len(ids))
     out[order] = total
