@@ -22,3 +22,13 @@ def stepped(value: Column, factor: float, step: int) -> Column:
 
 def hyphenless(value: Column) -> Column:
     return F.replace(F.lower(value), F.lit("-"), F.lit(""))
+
+
+def half_up(value: Column) -> Column:
+    """Rounded half up, towards plus infinity for negative values too."""
+    return F.floor(value + 0.5)
+
+
+def money(name: str) -> Column:
+    """Exact cents, so that sums don't hang on the order of rows."""
+    return F.col(name).cast("decimal(18,2)")

@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasswell.functions.columns import stepped
 from brasswell.operators.ranking import first_of, newest, ranked
 from brasswell.operators.vectors import best_per_product
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from brasswell.plans.registry import query, table
 
 @query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_type IS NOT NULL AND p_size > 10 AND (contains(lower(p_name), 'an') OR contains(lower(p_brand), '1'))")
 def flt01_faceted_filter(spark, sf_dir):

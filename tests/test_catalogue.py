@@ -3,7 +3,8 @@ import math
 import duckdb
 import pytest
 
-from brasswell.plans.catalogue import ORACLES, QUERIES
+from brasswell.plans import catalogue, commerce, storefront  # noqa: F401
+from brasswell.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"
 
