@@ -7,13 +7,15 @@ are buckets. A bucket compares its classes with one of them, another one in each
 what is left between different groups after ``ROUNDS`` rounds is compared pair by pair, so no link between groups is lost. Groups come from
 repeated smallest-neighbour steps over written tables, never on the driver.
 
-With BANDS bands of ROWS slots, two sets at the limit of 0.85 share no bucket with probability under 1e-6. Null or empty texts have
+With BANDS bands of ROWS slots, two sets at the limit of 0.85 share no bucket with probability under 1e-6; a lower limit takes more bands
+(``bands_for``). Null or empty texts have
 no set and link with nothing; null ids are left out of no row: they are in a group of their own, which is null. Repeated rows with one id are one document
 in the links and one row each in the result. Ties go to the smallest id. Columns beside id and text aren't used.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,11 @@ def _times_gold(n: int) -> np.uint64:
     return np.uint64(0x9E3779B97F4A7C15 * n % (1 << 64))
 
 
+def bands_for(percent: int) -> int:
+    """The fewest bands, BANDS at least, with which two sets at the limit share no bucket with probability under 1e-6."""
+    return max(BANDS, math.ceil(math.log(1e-6) / math.log(1 - (percent / 100) ** ROWS)))
+
+
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
     """Signatures (n, slots) of n sets given as elements and the set each belongs to. Step j gives the slot that the
     element's permutation has there the rank j + r, r in [0, 1); a set is done when all its slots have ranks below the next step."""
@@ -65,7 +72,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = S
     return ranks.reshape(n, slots)
 
 
-def shingle_sets(docs: DataFrame, full: bool, width: int = WIDTH) -> DataFrame:
+def shingle_sets(docs: DataFrame, full: bool, width: int = WIDTH, n_bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles and digest of the set; with the bands' hashes or, if full, the sorted set as little-endian bytes."""
     schema = "doc_id long, n_shingles long, digest binary, " + ("shingles binary" if full else "bands array<long>")
     names = ["doc_id", "n_shingles", "digest", "shingles" if full else "bands"]
@@ -81,11 +88,11 @@ def shingle_sets(docs: DataFrame, full: bool, width: int = WIDTH) -> DataFrame:
             if full:
                 last = pa.array(raw, pa.binary())
             else:
-                ranks = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
-                bits = ranks.view(np.uint64).reshape(len(sets), BANDS, ROWS)
-                band = np.zeros((len(sets), BANDS), np.uint64)
+                ranks = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), n_bands * ROWS)
+                bits = ranks.view(np.uint64).reshape(len(sets), n_bands, ROWS)
+                band = np.zeros((len(sets), n_bands), np.uint64)
                 for i in range(ROWS):
-                    band = mix(band * np.uint64(3) + bits[:, :, i] + np.arange(1, BANDS + 1, dtype=np.uint64))
+                    band = mix(band * np.uint64(3) + bits[:, :, i] + np.arange(1, n_bands + 1, dtype=np.uint64))
                 last = pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))
             digests = pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), digests, last], names)
@@ -127,10 +134,10 @@ def components(links: DataFrame) -> DataFrame:
         said = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs: linked where the sets of ``width`` words are alike to ``percent``."""
     spark = docs.sparkSession
-    all_sets = written(shingle_sets(docs, full=False))
+    all_sets = written(shingle_sets(docs, full=False, width=width, n_bands=bands_for(percent)))
     classes = all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = written(classes)
     sets = all_sets.join(classes, [all_sets.digest == classes.digest, all_sets.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id", "digest"])
@@ -138,7 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = written(buckets.join(several, "bucket"))
     met = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(shingle_sets(met, full=True).select("doc_id", "shingles"))
+    sets = written(shingle_sets(met, full=True, width=width).select("doc_id", "shingles"))
     links = spark.createDataFrame([], "a long, b long")
     group = spark.createDataFrame([], "node long, component long")
     for step in range(ROUNDS + 1):
@@ -150,7 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             rest = placed.join(spread.select("bucket"), "bucket")
             pairs = rest.join(rest.toDF("bucket", "b", "g2"), "bucket").where("g < g2").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-        found = written(verified(pairs, sets))
+        found = written(verified(pairs, sets, percent))
         if not found.isEmpty():
             links = written(links.union(found))
             group = written(components(links))

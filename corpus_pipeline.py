@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from brasswell.llm import fmindex, neardup, packing, quality, secrets
 from brasswell.llm.common import table, written
 
+#: Near copies here: sets of runs of so many words, alike to so many per cent (op7 has its own contract).
+WIDTH, PERCENT = 5, 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from the labels, doesn't reject."""
@@ -18,7 +21,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Documents without an id stay."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, WIDTH, PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from brasswell.llm import fmindex, gru, jpeg, linededup, lmscore, neardup, packing, quality, secrets, tokens, urlfilter
 from brasswell.llm.wordhash import NOT_ALNUM, words_of
 
@@ -65,6 +66,26 @@ def test_near_duplicates(docs, texts):
     assert all(got[i].kept == (root[i] == i) for i in got)
 
 
+def test_pipeline_near_copies_are_of_five_words_and_80_percent(spark):
+    base = [f"a{i}" for i in range(200)]
+    added = base + [f"b{i}" for i in range(45)]  # 0.81 at 5 words, 0.81 at 3
+    cut = base[:163]  # 0.81 at 5 words, 0.81 at 3
+    other = [f"c{i}" for i in range(200)]
+    changed = [f"d{i}" if i % 40 == 20 else w for i, w in enumerate(other)]  # 0.77 at 5 words, 0.86 at 3
+    texts = [base, added, cut, other, changed, other + ["e"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.single(spark, docs, "").collect()}
+    assert left == {i for i, r in enumerate(root) if i == r} == {0, 3, 4}
+    assert (1 - 0.8**neardup.ROWS) ** neardup.bands_for(80) < 1e-6 and neardup.bands_for(85) == neardup.BANDS
+
+
 def test_superminhash_estimates_and_matches_one_set_at_a_time():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 60, 300).astype(np.uint64)
