@@ -1,9 +1,14 @@
-"""Substring dedup by hashing lines: each digest's earliest occurrence stays, all others go, and original offsets are retained.
+"""Substring dedup by hashing lines and runs of words: the earliest occurrence stays, all others go, and original offsets are retained.
 
 A unit is a line; its normal form is lower case with runs of white space as one blank and none at the ends. Units of fewer than ``LEAST``
 words are never removed. Occurrences rank by doc_id, then by place in the text. Digests are grouped with partial sums, so a line that all
 documents share is a row a task; only digests that occur again are joined back, in a join whose hot side Spark splits.
 
+Beside the lines, every run of ``RUN`` words that occurred before goes, however it is wrapped and whatever stands around it in its line (in one
+document, if it begins behind the end of the first). Each run holds the least hash of its grams of ``GRAM`` words, so two equal runs share a
+chosen gram (winnowing): grams that are chosen twice are found first, and only the runs around those are hashed (128 bits) and grouped. A
+gram or run inside lines that are removed, whose earliest lines also stand one behind the other, counts with the earliest only.
+
 Null text counts as empty: no units, nothing removed. Null ids are passed through with nothing removed. Repeated rows with one id
 are one document: all keep what the id keeps. Texts of any length are handled whole; columns that clash with results are replaced.
 """
@@ -11,15 +16,21 @@ are one document: all keep what the id keeps. Texts of any length are handled wh
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswell.llm.common import chunks, table, texts_of
+from brasswell.llm.common import chunks, table, texts_of, written
+from brasswell.llm.wordhash import mix, words_of
 
 LEAST = 8
+RUN, GRAM = 50, 8
+#: Odd factors of the two rolling hashes.
+FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
 
 
 def units_of(text: str, least: int = LEAST) -> Iterator[tuple[int, int, bytes]]:
@@ -42,16 +53,160 @@ def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, digest binary")
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id and spans (start, end), by start, of the lines that occurred before."""
+def line_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id and spans (start, end, first: doc_id, start and end of the earliest), by start, of the lines that occurred before."""
     all_units = units(docs, least)
-    first = all_units.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last")
-    again = all_units.join(first.select("digest", "first"), "digest").where("struct(doc_id, start) <> first")
-    return again.select("doc_id", "start", "end").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    place = F.struct("doc_id", "start", "end")
+    first = all_units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    again = all_units.join(first.select("digest", "first"), "digest").where("struct(doc_id, start, end) <> first")
+    return again.select("doc_id", "start", "end", "first").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("lines"))
+
+
+class Running:
+    """Words of texts, lower case and parted by any white space: hashes, first and last character (exclusive) and the bounds of each text."""
+
+    def __init__(self, texts: list[str]) -> None:
+        low = [t.lower() for t in texts]
+        low = [x if len(x) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for x, t in zip(low, texts, strict=True)]
+        w = words_of([re.sub(r"[^\S ]", " ", x) for x in low])
+        chars = np.cumsum(np.append(0, (np.frombuffer(w.data, np.uint8) & 0xC0) != 0x80))
+        zero = chars[np.repeat(w.offsets[:-1], np.diff(w.bounds))]
+        self.hashes, self.bounds, self.starts, self.ends = w.hashes, w.bounds, chars[w.starts] - zero, chars[w.ends] - zero
+
+    def rolled(self, width: int, factor: int) -> np.ndarray:
+        """The hash of the ``width`` words from each word on (all texts in a row)."""
+        n = len(self.hashes)
+        if n < width:
+            return np.zeros(0, np.uint64)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(n - 1, factor, np.uint64)))
+        back = np.cumprod(np.append(np.uint64(1), np.full(n - width, pow(factor, -1, 1 << 64), np.uint64)))
+        sums = np.append(np.uint64(0), np.cumsum(mix(self.hashes ^ np.uint64(factor)) * powers))
+        return mix((sums[width:] - sums[:-width]) * back)
+
+
+def chosen(grams: np.ndarray, run: int = RUN, gram: int = GRAM) -> np.ndarray:
+    """Places of the grams of one text that are the least of some run's."""
+    around = run - gram + 1
+    if len(grams) < around:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(grams, around)
+    least, pick = views.min(axis=1), np.zeros(len(grams), bool)
+    # A gram is chosen where it equals the least of any run that holds it.
+    changes = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    for a, b in zip(changes.tolist(), [*changes[1:].tolist(), len(least)], strict=True):
+        held = grams[a : b + around - 1]
+        pick[a : b + around - 1] |= held == least[a]
+    return np.flatnonzero(pick)
+
+
+def blocks_of(lines: list[dict]) -> list[tuple[int, int]]:
+    """Spans of removed lines in a row whose earliest occurrences are in a row too."""
+    out, last = [], None
+    for x in lines:
+        f = x["first"]
+        if last and last["end"] + 1 == x["start"] and last["first"]["doc_id"] == f["doc_id"] and last["first"]["end"] + 1 == f["start"]:
+            out[-1] = (out[-1][0], x["end"])
+        else:
+            out.append((x["start"], x["end"]))
+        last = x
+    return out
+
+
+def inside(start: np.ndarray, end: np.ndarray, lines: list[dict] | None) -> np.ndarray:
+    """Which spans lie in a block of removed lines."""
+    if not lines:
+        return np.zeros(len(start), bool)
+    low, high = np.array(blocks_of(lines)).T
+    k = np.searchsorted(low, start, side="right") - 1
+    return (k >= 0) & (end <= high[np.maximum(k, 0)])
+
+
+def grams(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, h, place (word) of the chosen grams, and inside: it lies in a block of removed lines."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            w, rows = Running(texts_of(batch)), []
+            h = w.rolled(GRAM, FACTORS[0])
+            for d, a, b in zip(batch.column("doc_id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+                if d is not None and b - a >= RUN:
+                    at = a + chosen(h[a : b - GRAM + 1])
+                    rows.append((d, h[at].view(np.int64), *(x.astype(np.int32) for x in (at - a, w.starts[at], w.ends[at + GRAM - 1]))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "h", "place", "start", "end"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["doc_id", "h", "place", "inside"]
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
+            for d, h, place, start, end, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "place", "start", "end", "lines")), strict=True):
+                held = (np.full(len(h), d, np.int64), np.array(h, np.int64), np.array(place, np.int64), inside(np.array(start), np.array(end), lines))
+                for c, v in zip(out, held, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+
+    found = docs.select("doc_id", "text").mapInArrow(pick, "doc_id long, h array<long>, place array<int>, start array<int>, end array<int>")
+    return found.join(lines, "doc_id", "left").select("doc_id", "h", "place", "start", "end", "lines").mapInArrow(part, "doc_id long, h long, place long, inside boolean")
+
+
+def run_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id and runs, the spans (start, end), by start, of the runs of words that occurred before."""
+    found = written(grams(docs, lines))
+    several = found.where("not inside").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    near = found.join(several, "h").groupBy("doc_id").agg(F.collect_set("place").alias("near")).join(lines, "doc_id", "left")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            w, rows = Running(texts_of(batch)), []
+            a64, b64 = (w.rolled(RUN, f).view(np.int64) for f in FACTORS)
+            for d, near, lines, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "near", "lines")), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+                wanted = np.unique((np.array(near)[:, None] - np.arange(RUN - GRAM + 1)).ravel())
+                wanted = wanted[(wanted >= 0) & (wanted <= b - a - RUN)]
+                wanted = wanted[~inside(w.starts[a + wanted], w.ends[a + wanted + RUN - 1], lines)]
+                at = a + wanted
+                # The first of equal runs in this document, for those that begin behind its end.
+                _, first, which = np.unique(a64[at], return_index=True, return_inverse=True)
+                first = first[which]
+                own = (wanted >= wanted[first] + RUN) & (b64[at] == b64[at[first]])
+                rows.append((np.full(len(at), d, np.int64), w.starts[at], w.ends[at + RUN - 1], own, a64[at], b64[at]))
+            kinds = (np.int64, np.int32, np.int32, bool, np.int64, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "own", "a", "b"])
+
+    runs = docs.select("doc_id", "text").join(near, "doc_id").select("doc_id", "text", "near", "lines").mapInArrow(hashed, "doc_id long, start int, end int, own boolean, a long, b long")
+    runs = written(runs)
+    first = runs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
+    again = runs.join(first, ["a", "b"]).where("doc_id > first").select("doc_id", "start", "end").union(runs.where("own").select("doc_id", "start", "end"))
+    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+
+
+def merged(spans: list[dict]) -> list[dict]:
+    """The spans by start, those that overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if out and s["start"] < out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append({"start": s["start"], "end": s["end"]})
+    return out
+
+
+def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id and spans (start, end), by start, of the lines and the runs of words that occurred before."""
+    lines = written(line_repeats(docs, least))
+    both = lines.join(run_repeats(docs, lines), "doc_id", "full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            spans = [merged([*(x or []), *(y or [])]) for x, y in zip(batch.column("lines").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "removed"])
+
+    return both.select("doc_id", "lines", "runs").mapInArrow(run, "doc_id long, removed array<struct<start: long, end: long>>")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with kept_text, the text without its repeated lines, and removed, their spans in the original text."""
+    """docs with kept_text, the text without its repeated lines and runs of words, and removed, their spans in the original text."""
     base = docs.select(*[c for c in docs.columns if c not in ("removed", "kept_text")])
     joined = base.join(repeats(docs, least).withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     schema = joined.withColumn("kept_text", F.lit("")).schema

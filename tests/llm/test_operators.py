@@ -277,6 +277,35 @@ def test_lines(docs, spark):
     assert rows[1].kept_text == long.upper() + "\n" and rows[2].kept_text == ""
 
 
+def test_repeated_runs_of_words_go_however_they_are_wrapped(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    passage, other = word(70), word(80)
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = {
+        1: " ".join([*word(30), *passage, *word(20)]),
+        2: "É " + wrapped(word(12), 6) + "\n" + wrapped(passage, 6) + "\n" + " ".join(word(5)),
+        3: " ".join([*word(9), *passage[5:], *word(40)]).upper(),
+        4: wrapped(other, 20),
+        5: wrapped(other, 20),
+        6: " ".join(word(20)) + " " + "\u00a0".join(other[10:70]) + " " + " ".join(word(11)),
+        7: "x y z " * 100,
+        8: " ".join(passage[:49]),
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in linededup.remove_repeats(d).collect()}
+    seen, kept = set(), {}
+    for i in (1, 2, 3, 4, 5, 6):
+        w = texts[i].lower().split()
+        runs = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        gone = {k for j, r in enumerate(runs) if r in seen for k in range(j, j + 50)}
+        kept[i] = [x for k, x in enumerate(w) if k not in gone]
+        seen |= set(runs)
+    assert {i: rows[i].kept_text.lower().split() for i in kept} == kept
+    assert rows[1].kept_text == texts[1] and rows[8].kept_text == texts[8] and 50 <= len(rows[7].kept_text.split()) <= 60
+    assert len(kept[2]) == 18 and kept[5] == [] and len(kept[6]) == 31
+
+
 def test_list_in_force(spark):
     entries = spark.createDataFrame([("h", 5, "block"), ("h", 9, "allow"), ("h", 9, "block"), ("h", 12, "allow"), (None, 1, "block")], "host string, at long, action string")
     captures = spark.createDataFrame([(1, "h", 4), (2, "h", 5), (3, "h", 11), (4, "h", 12), (5, None, 5), (6, "h", None)], "id long, host string, fetched long")
