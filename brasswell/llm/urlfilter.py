@@ -1,46 +1,88 @@
 """Temporal list join: dated entries of a URL list become validity intervals, and each capture meets the entry in force when it was fetched.
 
-All DataFrame operations. Entries of a host are ordered by time and then action; of several at one time only the last action counts
-('allow' before 'block'). An interval runs from its entry to the next one, end exclusive; the last one is open. Intervals of a host don't overlap, so
-the equi-join on the host with the time test gives at most one row a capture: no pairs grow, and Spark splits a hot host's captures.
+All DataFrame operations. An entry names a domain, which holds for all hosts under it, and may name a path (column ``path``), which holds for that
+path and all below it. Entries of one name are ordered by time and then action; of several at one time only the last action counts
+('allow' before 'block'). An interval runs from its entry to the next one, end exclusive; the last one is open. A capture is exploded into its
+host's domains (only itself for an address) and, if paths are listed, its path's beginnings, a list as long as its URL has parts; these meet the intervals
+in an equi-join with the time test, at most one for each name, and the longest domain, then the longest path, decides by a partial aggregate.
 
-Null hosts, times or actions in entries leave the entry out. A capture with a null host or time, or before the first entry, has
+Null hosts, times or actions in entries leave the entry out; a null path is the whole domain. A capture with a null host or time, or before the first entry, has
 no entry (null action, not blocked). Repeated captures are judged each. Columns of captures that clash with results are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brasswell.llm.common import table
 
 #: In the query, the list has so many dated entries for each host, and days are counted up to this one.
 ENTRIES, DAYS = 4, 365
+#: Hosts that are addresses, not names.
+ADDRESS = r"^(\[.*\]|[0-9.]+)$"
+
+
+def host_of(url: str) -> Column:
+    """The host of a URL column, in lower case, without user, port and final dot; null where there is none."""
+    found = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1)
+    return F.nullif(F.regexp_replace(F.lower(found), r"\.$", ""), F.lit(""))
+
+
+def path_of(url: str) -> Column:
+    """The path of a URL column, without query and fragment."""
+    return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+
+
+def registered(host: str) -> Column:
+    """The domain one registers: the last two labels, three under endings such as co.uk; null for addresses."""
+    short = F.regexp_extract(host, r"([^.]+\.(?:(?:com?|org|net|ac|gov|edu)\.[a-z]{2}|[^.]+))$", 1)
+    return F.when(~F.col(host).rlike(ADDRESS), F.nullif(short, F.lit("")))
+
+
+def domains(host: str) -> Column:
+    """The host and all domains above it; an address alone."""
+    labels = F.split(host, r"\.")
+    return F.when(F.col(host).rlike(ADDRESS), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+
+
+def beginnings(path: str) -> Column:
+    """The path and all paths above it, the empty one too, without final strokes."""
+    clean = F.regexp_replace(F.coalesce(F.col(path), F.lit("")), r"/+$", "")
+    parts = F.split(clean, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """host, valid_from, valid_to (null: still), action from host, at, action."""
-    one = entries.where("host is not null and at is not null and action is not null").groupBy("host", "at").agg(F.max("action").alias("action"))
-    upto = F.lead("at").over(Window.partitionBy("host").orderBy("at"))
-    return one.select("host", F.col("at").alias("valid_from"), upto.alias("valid_to"), "action")
+    """host, path ('': all), valid_from, valid_to (null: still), action from host, at, action and path, if there is one."""
+    path = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), r"/+$", "") if "path" in entries.columns else F.lit("")
+    named = entries.where("host is not null and at is not null and action is not null").select(F.regexp_replace(F.lower("host"), r"\.$", "").alias("host"), path.alias("path"), "at", "action")
+    one = named.groupBy("host", "path", "at").agg(F.max("action").alias("action"))
+    upto = F.lead("at").over(Window.partitionBy("host", "path").orderBy("at"))
+    return one.select("host", "path", F.col("at").alias("valid_from"), upto.alias("valid_to"), "action")
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures (with host and fetched) and the valid_from, action and blocked of the entry then in force."""
-    spans = intervals(entries).withColumnRenamed("host", "_host")
+    """captures (with host, fetched and path, if entries have one) and the valid_from, action and blocked of the entry then in force."""
+    spans = intervals(entries).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "valid_from", "valid_to", "action")
     kept = [c for c in captures.columns if c not in ("valid_from", "valid_to", "action", "blocked")]
-    during = (F.col("host") == F.col("_host")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    met = captures.select(*kept).join(spans, during, "left")
-    return met.select(*kept, "valid_from", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
+    paths = beginnings("path") if "path" in entries.columns and "path" in captures.columns else F.array(F.lit(""))
+    base = captures.select(F.struct(*kept).alias("_capture"), F.col("fetched").alias("_at"), F.monotonically_increasing_id().alias("_row"), domains("host").alias("_domains"), paths.alias("_paths"))
+    named = base.select("_row", "_at", "_capture", F.explode_outer("_domains").alias("_d"), "_paths").select("_row", "_at", "_capture", "_d", F.explode("_paths").alias("_p"))
+    during = (F.col("_d") == F.col("_host")) & (F.col("_p") == F.col("_path")) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
+    met = named.join(spans, during, "left")
+    rank = F.when(F.col("action").isNotNull(), F.struct(F.length("_host").alias("h"), F.length("_path").alias("p"), "valid_from", "action"))
+    one = met.groupBy("_row").agg(F.first("_capture").alias("_capture"), F.max(rank).alias("_entry"))
+    return one.select("_capture.*", "_entry.valid_from", "_entry.action", F.coalesce(F.col("_entry.action") == "block", F.lit(False)).alias("blocked"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page of ``pages``: fetch day and the list's entries are derived from digests of the URL and of the host."""
+    """Every page of ``pages``: fetch day and the list's entries (hosts, registered domains, some first parts of paths) are derived from digests."""
     pages = table(spark, sf_dir, "pages")
-    host = F.lower(F.nullif(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]+)", 1), F.lit("")))
-    captures = pages.select("page_id", "url", host.alias("host"), (F.crc32(F.col("url").cast("binary")) % DAYS).alias("fetched"))
-    hosts = captures.where("host is not null").select("host").distinct()
-    mark = F.crc32(F.concat_ws("|", "host", "k").cast("binary"))
-    entries = hosts.select("host", F.explode(F.sequence(F.lit(1), F.lit(ENTRIES))).alias("k")).select("host", (mark % DAYS).alias("at"), F.when(mark % 2 == 0, "block").otherwise("allow").alias("action"))
+    captures = pages.select("page_id", "url", host_of("url").alias("host"), path_of("url").alias("path"), (F.crc32(F.col("url").cast("binary")) % DAYS).alias("fetched"))
+    found = captures.where("host is not null")
+    top = found.select("host", F.regexp_extract("path", "^(/[^/]+)", 1).alias("path")).where((F.col("path") != "") & (F.crc32(F.concat("host", "path").cast("binary")) % 8 == 0))
+    names = found.select("host", F.lit("").alias("path")).union(found.select(registered("host").alias("host"), F.lit("").alias("path")).where("host is not null")).union(top).distinct()
+    mark = F.crc32(F.concat_ws("|", F.concat("host", "path"), "k").cast("binary"))
+    entries = names.select("host", "path", F.explode(F.sequence(F.lit(1), F.lit(ENTRIES))).alias("k")).select("host", "path", (mark % DAYS).alias("at"), F.when(mark % 2 == 0, "block").otherwise("allow").alias("action"))
     return judge(captures, entries).select("page_id", "host", "fetched", "valid_from", "action", "blocked")

@@ -313,6 +313,17 @@ def test_list_in_force(spark):
     assert got == {1: (None, False), 2: ("block", True), 3: ("block", True), 4: ("allow", False), 5: (None, False), 6: (None, False)}
 
 
+def test_the_most_specific_entry_of_domains_and_paths_decides(spark):
+    entries = spark.createDataFrame([("x.org", None, 1, "block"), ("m.x.org", "", 5, "allow"), ("m.x.org", "/a/", 5, "block"), ("3.4", None, 1, "block")], "host string, path string, at long, action string")
+    urls = ["http://x.org/", "http://me:pw@blog.x.org:80/z", "http://m.x.org/ab", "http://M.x.org/a/b?q", "http://m.x.org/a", "http://xx.org/", "http://1.2.3.4/", "http://me@x.org./"]
+    rows = [(i, u, 9) for i, u in enumerate(urls)] + [(8, "http://m.x.org/a", 3), (9, None, 9)]
+    captures = spark.createDataFrame(rows, "id long, url string, fetched long").select("id", urlfilter.host_of("url").alias("host"), urlfilter.path_of("url").alias("path"), "fetched")
+    got = {r.id: r.action for r in urlfilter.judge(captures, entries).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "block", 5: None, 6: None, 7: "block", 8: "block", 9: None}
+    names = spark.createDataFrame([("m.a.co.uk",), ("b.x.org",), ("x.org",), ("1.2.3.4",), ("host",)], "host string")
+    assert [r[0] for r in names.select(urlfilter.registered("host")).collect()] == ["a.co.uk", "x.org", "x.org", None, None]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")
