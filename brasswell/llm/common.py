@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,14 @@ CHUNK_BYTES = 4 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, with strokes behind it as long as a column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,21 +49,41 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of this machine's only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is set, a session in one process gets a folder of its own; a cluster has to name one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder, by name: lineage ends there and survives lost executors. A new table of a name replaces the one before it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows, written as Parquet and read again; what df reads under the same name is deleted afterwards."""
+        path = f"{shared_dir(self.spark)}/brasswell-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [self.paths.pop(n) for n in names if n in self.paths]:
+            jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brasswell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows, written as Parquet to the shared folder and read again."""
+    return Scratch(df.sparkSession).keep("only", df)
 
 
 def sha256_hex(text: str) -> str:

@@ -3,14 +3,19 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets are one class before anything else, so copies
 never meet each other. Each class gets a SuperMinHash signature: every element walks a random permutation of the slots, its step number
 is part of its rank, and walking stops when no slot can get lower (all elements of a chunk walk together). Bands of the signature
-are buckets. A bucket compares its classes with one of them, another one in each round, as long as it holds classes of several groups;
-what is left between different groups after ``ROUNDS`` rounds is compared pair by pair, so no link between groups is lost. Groups come from
-repeated smallest-neighbour steps over written tables, never on the driver.
+are buckets.
+
+Candidates never are all pairs of a bucket. In each of ROUNDS rounds the sets of a bucket meet its lead only, the one that shares most buckets
+with others, which stands in the middle of its near copies. Sets whose buckets still hold several groups then meet by their rarest
+elements (``prefixes``), which loses no link between groups: with the lead of each such element first, and those of different groups that
+sizes and places leave possible at last. Every link is verified on full sets. Groups come from repeated smallest-neighbour steps over
+written tables, never on the driver.
 
 With BANDS bands of ROWS slots, two sets at the limit of 0.85 share no bucket with probability under 1e-6; a lower limit takes more bands
-(``bands_for``). Null or empty texts have
-no set and link with nothing; null ids are left out of no row: they are in a group of their own, which is null. Repeated rows with one id are one document
-in the links and one row each in the result. Ties go to the smallest id. Columns beside id and text aren't used.
+(``bands_for``). Ids are whole numbers. Null or empty texts have no set and link with nothing; rows with a null id stay and are in no group
+(null component and kept). Repeated rows with one id are one document in the links and one row each in the result. Ties go to the
+smallest id. Very long texts are handled whole, one at a time. Columns beside id and text aren't used. An empty table gives an empty result.
+Tables that nothing reads any more are deleted; those that the result reads stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brasswell.llm.common import chunks, table, texts_of, written
+from brasswell.llm.common import Scratch, chunks, table, texts_of
 from brasswell.llm.wordhash import mix, shingled, words_of
 
 SLOTS, ROWS = 80, 4
 BANDS = SLOTS // ROWS
-ROUNDS = 3
+ROUNDS = 2
 WIDTH, PERCENT = 3, 85
 
 
@@ -101,7 +106,7 @@ def shingle_sets(docs: DataFrame, full: bool, width: int = WIDTH, n_bands: int =
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: 100 * intersection >= percent * union."""
+    """The distinct pairs (a, b) whose sets are alike: 100 * intersection >= percent * union. sets: doc_id, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,55 +117,116 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").where(F.octet_length("x") * 100 >= F.octet_length("y") * percent).where(F.octet_length("y") * 100 >= F.octet_length("x") * percent)
+    one = pairs.distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (the smallest node that is reachable): alternating large-star and small-star steps until nothing changes."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = scratch.keep("edges", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     said = None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large)
+        large = scratch.keep("stars", large)
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = written(large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        edges = scratch.keep("edges", large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == said:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         said = now
 
 
+def grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """rows (doc_id) with g, the document's group so far."""
+    return rows.join(group, rows.doc_id == group.node, "left").withColumn("g", F.coalesce("component", "doc_id")).drop("node", "component")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, g, size, cap) whose key holds a row of another group that is no larger than their cap and whose own cap
+    they don't exceed. Sums over a key's groups; the other groups' best is the best one, or the second where the best is one's own."""
+    per = rows.groupBy("key", "g").agg(F.min("size").alias("low"), F.max("cap").alias("top"))
+    first = per.groupBy("key").agg(F.min(F.struct("low", "g")).alias("low1"), F.max(F.struct("top", "g")).alias("top1"), F.count("*").alias("groups")).where("groups > 1")
+    second = per.join(first, "key").groupBy("key").agg(F.first("low1").alias("low1"), F.first("top1").alias("top1"), F.min(F.when(F.col("g") != F.col("low1.g"), F.col("low"))).alias("low2"), F.max(F.when(F.col("g") != F.col("top1.g"), F.col("top"))).alias("top2"))
+    low = F.when(F.col("low1.g") != F.col("g"), F.col("low1.low")).otherwise(F.col("low2"))
+    top = F.when(F.col("top1.g") != F.col("g"), F.col("top1.top")).otherwise(F.col("top2"))
+    return rows.join(second, "key").where((low <= F.col("cap")) & (top >= F.col("size"))).select(*rows.columns)
+
+
+def lead_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of each row (key, doc_id, g, size, cap, rank) with its key's lead, the row of highest rank, if the lead is of another group."""
+    lead = rows.groupBy("key").agg(F.max(F.struct("rank", F.negate("doc_id").alias("minus"), "g", "size", "cap")).alias("lead"))
+    fits = (F.col("g") != F.col("lead.g")) & (F.col("size") <= F.col("lead.cap")) & (F.col("lead.size") <= F.col("cap"))
+    return rows.join(lead, "key").where(fits).select(F.least("doc_id", F.negate("lead.minus")).alias("a"), F.greatest("doc_id", F.negate("lead.minus")).alias("b"))
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of the rows (key, doc_id, g, size, cap) that are of different groups and within each other's cap."""
+    other = rows.select("key", F.col("doc_id").alias("b"), F.col("g").alias("g2"), F.col("size").alias("size2"), F.col("cap").alias("cap2"))
+    return rows.join(other, "key").where("g < g2 and size <= cap2 and size2 <= cap").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """key, doc_id, size, cap, rank of the rarest elements of the sets (doc_id, shingles), by which alike sets must meet.
+
+    Elements are ordered by the number of these sets that hold them. If the first common element of two sets stands behind i others
+    in one of size s, at most s - i are common, so the other's size can't exceed the cap (s - i) * (100 + percent) / percent - s. That cap is
+    no less than percent of s for the first elements only: these are the keys. Elements that one set alone holds are no keys."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "shingles"):
+            raw = [np.frombuffer(x.as_buffer(), "<u8").view(np.int64) for x in batch.column("shingles")]
+            times = np.array([len(r) for r in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("own").to_numpy(), times)), pa.array(np.repeat(times, times)), pa.array(np.concatenate(raw))], ["own", "size", "key"])
+
+    named = sets.withColumn("own", F.xxhash64("doc_id", "shingles"))
+    held = named.select("own", "shingles").mapInArrow(spread, "own long, size long, key long")
+    shared = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("own")
+    placed = held.join(shared, "key").withColumns({"k": F.row_number().over(mine.orderBy("n", "key")), "common": F.count("*").over(mine)})
+    before = F.col("size") - F.col("common") + F.col("k") - 1
+    cap = F.floor((F.col("size") - before) * (100 + percent) / percent - F.col("size") + 1e-6).cast("long")
+    placed = placed.select("key", "own", "size", cap.alias("cap"), F.negate(before).alias("rank")).where(F.col("cap") * 100 >= F.col("size") * percent)
+    return placed.join(named.select("own", "doc_id"), "own").select("key", "doc_id", "size", "cap", "rank")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs: linked where the sets of ``width`` words are alike to ``percent``."""
     spark = docs.sparkSession
-    all_sets = written(shingle_sets(docs, full=False, width=width, n_bands=bands_for(percent)))
-    classes = all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes)
+    scratch = Scratch(spark)
+    all_sets = scratch.keep("all", shingle_sets(docs, full=False, width=width, n_bands=bands_for(percent)))
+    classes = scratch.keep("classes", all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     sets = all_sets.join(classes, [all_sets.digest == classes.digest, all_sets.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id", "digest"])
-    buckets = sets.select("doc_id", F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = written(buckets.join(several, "bucket"))
+    buckets = sets.select("doc_id", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "h")).select("doc_id", "size", F.xxhash64("band", "h").alias("key"))
+    several = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.keep("buckets", buckets.join(several, "key"))
+    # The more sets a set meets in all its buckets, the nearer it is to the middle of its copies.
+    rank = buckets.groupBy("doc_id").agg(F.sum("n").alias("rank"))
+    buckets = buckets.join(rank, "doc_id").select("key", "doc_id", "size", F.floor(F.col("size") * 100 / percent + 1e-6).cast("long").alias("cap"), "rank")
+    buckets = scratch.keep("ranked", buckets)
+    scratch.drop("buckets")
     met = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(shingle_sets(met, full=True, width=width).select("doc_id", "shingles"))
+    sets = scratch.keep("sets", shingle_sets(met, full=True, width=width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "shingles"))
     links = spark.createDataFrame([], "a long, b long")
     group = spark.createDataFrame([], "node long, component long")
-    for step in range(ROUNDS + 1):
-        placed = buckets.join(group, buckets.doc_id == group.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("g"))
-        spread = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(step)), "doc_id", "g")).alias("lead")).where("low < high")
-        if step < ROUNDS:
-            pairs = placed.join(spread.select("bucket", "lead.doc_id", "lead.g").toDF("bucket", "lead", "lead_g"), "bucket").where("g <> lead_g")
-            pairs = pairs.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
-        else:
-            rest = placed.join(spread.select("bucket"), "bucket")
-            pairs = rest.join(rest.toDF("bucket", "b", "g2"), "bucket").where("g < g2").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-        found = written(verified(pairs, sets, percent))
+
+    def join_up(pairs: DataFrame) -> None:
+        nonlocal links, group
+        found = scratch.keep("found", verified(pairs, sets, percent))
         if not found.isEmpty():
-            links = written(links.union(found))
-            group = written(components(links))
+            links = scratch.keep("links", links.union(found))
+            group = scratch.keep("group", components(links, scratch))
+
+    for _ in range(ROUNDS):
+        join_up(lead_pairs(meeting(grouped(buckets, group))))
+    rest = sets.join(meeting(grouped(buckets, group)).select("doc_id").distinct(), "doc_id", "left_semi")
+    keys = scratch.keep("keys", prefixes(rest, percent))
+    scratch.drop("ranked")
+    join_up(lead_pairs(meeting(grouped(keys, group))))
+    join_up(cross_pairs(meeting(grouped(keys, group))))
+    scratch.drop("keys", "sets", "found", "edges", "stars")
     member = all_sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     out = member.join(group, F.when(F.col("n_shingles") > 0, F.col("rep")) == group.node, "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")))
