@@ -10,9 +10,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def comparable_dot(a: Column, b: Column) -> Column:
+    """The dot product; minus infinity where dimensions differ."""
+    return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.lit(float("-inf")))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """0 where a vector has no length."""
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    """0 where the product of the lengths is up to 1e-9."""
+    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(length > 1e-9, dot(a, b) / length).otherwise(F.lit(0.0))
+
+
+def clamped(value: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
 
 def stepped(value: Column, factor: float, step: int) -> Column:

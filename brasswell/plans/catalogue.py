@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from brasswell.functions.columns import stepped
 from brasswell.operators.ranking import first_of, newest, ranked
-from brasswell.operators.vectors import best_per_product
 from brasswell.plans.registry import query, table
 
 @query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_type IS NOT NULL AND p_size > 10 AND (contains(lower(p_name), 'an') OR contains(lower(p_brand), '1'))")
@@ -82,25 +81,3 @@ def win10_rank_margin(spark, sf_dir):
     nxt = part.select("p_type", (F.col("rank") - 1).alias("rank"), F.col("p_retailprice").alias("next_price")).where("rank between 1 and 10")
     top = part.where("rank <= 10").join(nxt, ["p_type", "rank"], "left")
     return top.select("p_type", "p_partkey", "rank", (F.col("p_retailprice") - F.col("next_price")).alias("margin"))
-
-
-@query("SELECT q.vec_id AS query_id, v.label, round(max(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 GROUP BY ALL")
-def agg04_best_per_product(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    best = None
-    stated = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    block, blocks = [], []
-    for row in stated.toLocalIterator():  # the stated queries, a block at a time
-        block.append((row.query_id, row.q))
-        if len(block) == 1000:
-            blocks.append(best_per_product(vectors, block))
-            block = []
-    blocks.append(best_per_product(vectors, block))
-    for b in blocks:
-        best = b if best is None else best.union(b)
-    return best.select("query_id", "label", F.round("similarity", 6).alias("similarity"))
-
-
-@query("SELECT o_orderpriority, count(*) AS n, avg((o_orderstatus = 'F')::INT::DOUBLE) AS done, count_if(o_totalprice > 200000) AS large FROM orders GROUP BY o_orderpriority")
-def agg14_kpis(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("done"), F.count_if(F.col("o_totalprice") > 200000).alias("large"))

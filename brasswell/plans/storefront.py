@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brasswell.functions.columns import dot, half_up, hyphenless
+from brasswell.functions.columns import half_up, hyphenless
 from brasswell.operators.ranking import first_of
 from brasswell.operators.shelves import filled, page
 from brasswell.plans.registry import query, table
@@ -145,13 +145,3 @@ def str03_digits(spark, sf_dir):
 @query("SELECT c_custkey, 'REF-' || right(c_name, 5) AS referral FROM customer")
 def str09_referral_code(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("REF-"), F.right("c_name", F.lit(5))).alias("referral"))
-
-
-@query("SELECT p_partkey, bit_count(xor(p_partkey::BIGINT, p_size::BIGINT))::INT AS distance FROM part")
-def bit01_hamming(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.bit_count(F.col("p_partkey").bitwiseXOR(F.col("p_size").cast("long"))).alias("distance"))
-
-
-@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
-def vec01_norm(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))

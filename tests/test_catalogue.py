@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from brasswell.plans import catalogue, commerce, storefront  # noqa: F401
+import __spark_entry__  # noqa: F401
 from brasswell.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"
