@@ -1,16 +1,20 @@
 """Substring dedup by hashing lines and runs of words: the earliest occurrence stays, all others go, and original offsets are retained.
 
-A unit is a line; its normal form is lower case with runs of white space as one blank and none at the ends. Units of fewer than ``LEAST``
-words are never removed. Occurrences rank by doc_id, then by place in the text. Digests are grouped with partial sums, so a line that all
-documents share is a row a task; only digests that occur again are joined back, in a join whose hot side Spark splits.
+Removed are all passages of ``RUN`` words or more that occurred before: in a document of smaller id, or in the same document if they begin
+behind the end of the first. Words are lower case and parted by any white space, so it doesn't matter how a passage is wrapped and what stands
+around it; shorter lines that repeat stay. Two steps find them.
 
-Beside the lines, every run of ``RUN`` words that occurred before goes, however it is wrapped and whatever stands around it in its line (in one
-document, if it begins behind the end of the first). Each run holds the least hash of its grams of ``GRAM`` words, so two equal runs share a
-chosen gram (winnowing): grams that are chosen twice are found first, and only the runs around those are hashed (128 bits) and grouped. A
-gram or run inside lines that are removed, whose earliest lines also stand one behind the other, counts with the earliest only.
+Lines: a unit is a line with words, its digest that of the words with one blank between them. Digests are grouped with partial
+sums, so a line that all documents share is a row a task, and the earliest occurrence (by doc_id, then place) is joined to the others. Lines in a
+row whose earliest occurrences stand in a row too make a block; blocks of ``least`` words or more go. That takes most copies.
 
-Null text counts as empty: no units, nothing removed. Null ids are passed through with nothing removed. Repeated rows with one id
-are one document: all keep what the id keeps. Texts of any length are handled whole; columns that clash with results are replaced.
+Runs: each run of ``RUN`` words holds the least hash of its grams of ``GRAM`` words, so two equal runs share a
+chosen gram (winnowing): grams that are chosen twice are found first, and only the runs around those are hashed (128 bits) and grouped.
+Grams and runs whose surroundings lie in a block count with the earliest occurrence only.
+
+Null text counts as empty: no units, nothing removed. Rows with a null id are passed through with nothing removed. Repeated rows with one id
+are one document: all lose what the id loses. Texts of any length are handled whole; an empty table gives an empty result; columns that
+clash with results are replaced.
 """
 
 from __future__ import annotations
@@ -24,51 +28,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswell.llm.common import chunks, table, texts_of, written
+from brasswell.llm.common import chunks, table, texts_of, unused, written
 from brasswell.llm.wordhash import mix, words_of
 
-LEAST = 8
 RUN, GRAM = 50, 8
+LEAST = RUN
 #: Odd factors of the two rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
+SPANS = "array<struct<start: long, end: long>>"
+
 
+def lowered(text: str) -> str:
+    """The text in lower case, as long as before."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-def units_of(text: str, least: int = LEAST) -> Iterator[tuple[int, int, bytes]]:
-    """Start and end (characters, exclusive) and digest of each line that has enough words."""
-    start = 0
-    for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= least:
-            yield start, start + len(line), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+def units_of(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Index of the first word, words, start and end (characters, exclusive) and digest of each line that has words."""
+    start = word = 0
+    for line in lowered(text).split("\n"):
+        words = line.split()
+        if words:
+            first = start + len(line) - len(line.lstrip())
+            yield word, len(words), first, first + len(line.strip()), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+            word += len(words)
         start += len(line) + 1
 
 
-def units(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def units(docs: DataFrame) -> DataFrame:
+    """A row for each line with words: doc_id, line (its number among those), word, words, start, end, digest."""
+    kinds = {"doc_id": pa.int64(), "line": pa.int64(), "word": pa.int64(), "words": pa.int64(), "start": pa.int64(), "end": pa.int64(), "digest": pa.binary()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            rows = [(d, *u) for d, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) if d is not None for u in units_of(t, least)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "end", "digest"])
+            rows = [(d, k, *u) for d, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) if d is not None for k, u in enumerate(units_of(t))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, word long, words long, start long, end long, digest binary")
 
 
-def line_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id and spans (start, end, first: doc_id, start and end of the earliest), by start, of the lines that occurred before."""
-    all_units = units(docs, least)
-    place = F.struct("doc_id", "start", "end")
+def line_blocks(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id and blocks (start, end, word, stop), by start: lines in a row, ``least`` words or more, that occurred in a row before."""
+    all_units = units(docs)
+    place = F.struct("doc_id", "line")
     first = all_units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    again = all_units.join(first.select("digest", "first"), "digest").where("struct(doc_id, start, end) <> first")
-    return again.select("doc_id", "start", "end", "first").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("lines"))
+    again = all_units.join(first.select("digest", "first"), "digest").where("struct(doc_id, line) <> first").drop("digest").distinct()
+    lines = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "word", "words", "start", "end", "first"))).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "word", "stop")]))
+        for batch in batches:
+            found = [blocks_of(x, least) for x in batch.column("lines").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "blocks"])
+
+    return lines.mapInArrow(run, "doc_id long, blocks array<struct<start: long, end: long, word: long, stop: long>>").where("size(blocks) > 0")
 
 
 class Running:
     """Words of texts, lower case and parted by any white space: hashes, first and last character (exclusive) and the bounds of each text."""
 
     def __init__(self, texts: list[str]) -> None:
-        low = [t.lower() for t in texts]
-        low = [x if len(x) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for x, t in zip(low, texts, strict=True)]
-        w = words_of([re.sub(r"[^\S ]", " ", x) for x in low])
+        w = words_of([re.sub(r"[^\S ]", " ", lowered(t)) for t in texts])
         chars = np.cumsum(np.append(0, (np.frombuffer(w.data, np.uint8) & 0xC0) != 0x80))
         zero = chars[np.repeat(w.offsets[:-1], np.diff(w.bounds))]
         self.hashes, self.bounds, self.starts, self.ends = w.hashes, w.bounds, chars[w.starts] - zero, chars[w.ends] - zero
@@ -99,30 +121,30 @@ def chosen(grams: np.ndarray, run: int = RUN, gram: int = GRAM) -> np.ndarray:
     return np.flatnonzero(pick)
 
 
-def blocks_of(lines: list[dict]) -> list[tuple[int, int]]:
-    """Spans of removed lines in a row whose earliest occurrences are in a row too."""
+def blocks_of(lines: list[dict], least: int = LEAST) -> list[dict]:
+    """Lines in a row whose earliest occurrences are in a row too, of ``least`` words or more: start, end, word (the first's index) and stop."""
     out, last = [], None
     for x in lines:
         f = x["first"]
-        if last and last["end"] + 1 == x["start"] and last["first"]["doc_id"] == f["doc_id"] and last["first"]["end"] + 1 == f["start"]:
-            out[-1] = (out[-1][0], x["end"])
+        if last and last["line"] + 1 == x["line"] and (last["first"]["doc_id"], last["first"]["line"] + 1) == (f["doc_id"], f["line"]):
+            out[-1] |= {"end": x["end"], "stop": x["word"] + x["words"]}
         else:
-            out.append((x["start"], x["end"]))
+            out.append({"start": x["start"], "end": x["end"], "word": x["word"], "stop": x["word"] + x["words"]})
         last = x
-    return out
+    return [b for b in out if b["stop"] - b["word"] >= least]
 
 
-def inside(start: np.ndarray, end: np.ndarray, lines: list[dict] | None) -> np.ndarray:
-    """Which spans lie in a block of removed lines."""
-    if not lines:
-        return np.zeros(len(start), bool)
-    low, high = np.array(blocks_of(lines)).T
-    k = np.searchsorted(low, start, side="right") - 1
-    return (k >= 0) & (end <= high[np.maximum(k, 0)])
+def inside(low: np.ndarray, high: np.ndarray, blocks: list[dict] | None) -> np.ndarray:
+    """Which spans of words, from low to before high, lie in a block."""
+    if not blocks:
+        return np.zeros(len(low), bool)
+    word, stop = np.array([(b["word"], b["stop"]) for b in blocks]).T
+    k = np.searchsorted(word, low, side="right") - 1
+    return (k >= 0) & (high <= stop[np.maximum(k, 0)])
 
 
-def grams(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, h, place (word) of the chosen grams, and inside: it lies in a block of removed lines."""
+def grams(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, h, place (word) of the chosen grams, and inside: all runs around it lie in a block."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -130,40 +152,40 @@ def grams(docs: DataFrame, lines: DataFrame) -> DataFrame:
             h = w.rolled(GRAM, FACTORS[0])
             for d, a, b in zip(batch.column("doc_id").to_pylist(), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
                 if d is not None and b - a >= RUN:
-                    at = a + chosen(h[a : b - GRAM + 1])
-                    rows.append((d, h[at].view(np.int64), *(x.astype(np.int32) for x in (at - a, w.starts[at], w.ends[at + GRAM - 1]))))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "h", "place", "start", "end"])
+                    at = chosen(h[a : b - GRAM + 1])
+                    rows.append((d, b - a, h[a + at].view(np.int64), at.astype(np.int32)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "h", "place"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["doc_id", "h", "place", "inside"]
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]]
-            for d, h, place, start, end, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "place", "start", "end", "lines")), strict=True):
-                held = (np.full(len(h), d, np.int64), np.array(h, np.int64), np.array(place, np.int64), inside(np.array(start), np.array(end), lines))
-                for c, v in zip(out, held, strict=True):
+            for d, n, h, place, blocks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "h", "place", "blocks")), strict=True):
+                at = np.array(place, np.int64)
+                held = inside(np.maximum(at - (RUN - GRAM), 0), np.minimum(at + RUN, n), blocks)
+                for c, v in zip(out, (np.full(len(h), d, np.int64), np.array(h, np.int64), at, held), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["doc_id", "h", "place", "inside"])
 
-    found = docs.select("doc_id", "text").mapInArrow(pick, "doc_id long, h array<long>, place array<int>, start array<int>, end array<int>")
-    return found.join(lines, "doc_id", "left").select("doc_id", "h", "place", "start", "end", "lines").mapInArrow(part, "doc_id long, h long, place long, inside boolean")
+    found = docs.select("doc_id", "text").mapInArrow(pick, "doc_id long, n long, h array<long>, place array<int>")
+    return found.join(blocks, "doc_id", "left").select("doc_id", "n", "h", "place", "blocks").mapInArrow(part, "doc_id long, h long, place long, inside boolean")
 
 
-def run_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id and runs, the spans (start, end), by start, of the runs of words that occurred before."""
-    found = written(grams(docs, lines))
+def run_repeats(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id and runs, the spans (start, end), by start, of the runs of words outside the blocks that occurred before."""
+    found = written(grams(docs, blocks))
     several = found.where("not inside").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    near = found.join(several, "h").groupBy("doc_id").agg(F.collect_set("place").alias("near")).join(lines, "doc_id", "left")
+    near = found.join(several, "h").groupBy("doc_id").agg(F.collect_set("place").alias("near")).join(blocks, "doc_id", "left")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             w, rows = Running(texts_of(batch)), []
             a64, b64 = (w.rolled(RUN, f).view(np.int64) for f in FACTORS)
-            for d, near, lines, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "near", "lines")), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+            for d, near, blocks, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "near", "blocks")), w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
                 wanted = np.unique((np.array(near)[:, None] - np.arange(RUN - GRAM + 1)).ravel())
                 wanted = wanted[(wanted >= 0) & (wanted <= b - a - RUN)]
-                wanted = wanted[~inside(w.starts[a + wanted], w.ends[a + wanted + RUN - 1], lines)]
+                wanted = wanted[~inside(wanted, wanted + RUN, blocks)]
                 at = a + wanted
                 # The first of equal runs in this document, for those that begin behind its end.
                 _, first, which = np.unique(a64[at], return_index=True, return_inverse=True)
@@ -173,7 +195,7 @@ def run_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
             kinds = (np.int64, np.int32, np.int32, bool, np.int64, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "own", "a", "b"])
 
-    runs = docs.select("doc_id", "text").join(near, "doc_id").select("doc_id", "text", "near", "lines").mapInArrow(hashed, "doc_id long, start int, end int, own boolean, a long, b long")
+    runs = docs.select("doc_id", "text").join(near, "doc_id").select("doc_id", "text", "near", "blocks").mapInArrow(hashed, "doc_id long, start int, end int, own boolean, a long, b long")
     runs = written(runs)
     first = runs.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
     again = runs.join(first, ["a", "b"]).where("doc_id > first").select("doc_id", "start", "end").union(runs.where("own").select("doc_id", "start", "end"))
@@ -192,23 +214,25 @@ def merged(spans: list[dict]) -> list[dict]:
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id and spans (start, end), by start, of the lines and the runs of words that occurred before."""
-    lines = written(line_repeats(docs, least))
-    both = lines.join(run_repeats(docs, lines), "doc_id", "full")
+    """doc_id and removed (start, end), by start, the passages that occurred before."""
+    docs = docs.where("doc_id is not null")
+    blocks = written(line_blocks(docs, least))
+    both = blocks.join(run_repeats(docs, blocks), "doc_id", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            spans = [merged([*(x or []), *(y or [])]) for x, y in zip(batch.column("lines").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            spans = [merged([*(x or []), *(y or [])]) for x, y in zip(batch.column("blocks").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "removed"])
 
-    return both.select("doc_id", "lines", "runs").mapInArrow(run, "doc_id long, removed array<struct<start: long, end: long>>")
+    return both.select("doc_id", "blocks", "runs").mapInArrow(run, f"doc_id long, removed {SPANS}")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with kept_text, the text without its repeated lines and runs of words, and removed, their spans in the original text."""
+    """docs with kept_text, the text without what occurred before (a passage goes with the character behind it), and removed, its spans in the text."""
     base = docs.select(*[c for c in docs.columns if c not in ("removed", "kept_text")])
-    joined = base.join(repeats(docs, least).withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    key = unused("doc", base.columns)
+    joined = base.join(repeats(docs, least).withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").drop(key)
     schema = joined.withColumn("kept_text", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,3 +254,41 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", F.greatest(F.size(F.coalesce("removed", F.expr("array()"))), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(told, F.lit("")).alias("removed"),
         F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+#: The same from all runs of words as they are.
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[^{_SPACE}]+') AS ws, regexp_split_to_array(t, '[^{_SPACE}]+') AS gaps FROM d),
+w AS (
+  SELECT doc_id, i, start, start + size AS stop FROM (
+    SELECT doc_id, i, length(ws[i]) AS size,
+      CAST(sum(length(gaps[i]) + length(ws[i])) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(ws[i]) AS start
+    FROM (SELECT doc_id, ws, gaps, unnest(range(1, len(ws) + 1)) AS i FROM s))),
+r AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + {RUN - 1}], ' ')) AS run
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {RUN - 2})) AS i FROM s WHERE len(ws) >= {RUN})),
+a AS (SELECT run, doc_id, min(i) AS i FROM r GROUP BY run, doc_id),
+f AS (SELECT run, min(doc_id) AS doc_id FROM a GROUP BY run),
+g AS (
+  SELECT DISTINCT r.doc_id, r.i FROM r JOIN f ON r.run = f.run JOIN a ON r.run = a.run AND r.doc_id = a.doc_id
+  WHERE r.doc_id > f.doc_id OR r.i >= a.i + {RUN}),
+k AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {RUN - 1} THEN 0 ELSE 1 END AS new FROM g)),
+p AS (
+  SELECT x.doc_id, x.island, b.start, e.stop FROM (SELECT doc_id, island, min(i) AS low, max(i) + {RUN - 1} AS high FROM k GROUP BY doc_id, island) x
+  JOIN w b ON b.doc_id = x.doc_id AND b.i = x.low JOIN w e ON e.doc_id = x.doc_id AND e.i = x.high),
+q AS (
+  SELECT p.doc_id, p.start, p.stop, least(p.stop + 1, length(t)) AS upto, substr(t, from_ + 1, p.start - from_) AS piece FROM (
+    SELECT doc_id, start, stop, coalesce(lag(stop + 1) OVER (PARTITION BY doc_id ORDER BY start), 0) AS from_ FROM p) p JOIN d ON d.doc_id = p.doc_id),
+o AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY start) AS removed,
+    string_agg(piece, '' ORDER BY start) AS pieces, max(upto) AS upto FROM q GROUP BY doc_id),
+z AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(removed, '') AS removed, coalesce(pieces, '') || substr(t, coalesce(upto, 0) + 1) AS kept
+  FROM d LEFT JOIN o ON d.doc_id = o.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_removed, removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM z
+"""

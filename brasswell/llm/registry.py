@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from brasswell.llm.fmindex import op6_decontamination
 from brasswell.llm.jpeg import op10_media
-from brasswell.llm.linededup import op3_line_dedup
+from brasswell.llm.linededup import OP3_SQL, op3_line_dedup
 from brasswell.llm.lmscore import op1_lm_score
 from brasswell.llm.neardup import op7_near_dedup
 from brasswell.llm.packing import op4_packing
@@ -15,4 +15,4 @@ from brasswell.llm.urlfilter import op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_line_dedup, op4_packing, op5_secret_scan, op6_decontamination, op7_near_dedup, op8_token_counts, op9_quality, op10_media)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}

@@ -272,7 +272,7 @@ def test_quality_held_out(spark):
 def test_lines(docs, spark):
     long = "this line has at least eight words in it"
     d = spark.createDataFrame([(3, f"a\n{long}\nb"), (1, f"{long.upper()}\n{long}"), (2, None)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in linededup.remove_repeats(d).collect()}
+    rows = {r.doc_id: r for r in linededup.remove_repeats(d, least=8).collect()}
     assert rows[3].kept_text == "a\nb" and [tuple(s) for s in rows[3].removed] == [(2, 2 + len(long))]
     assert rows[1].kept_text == long.upper() + "\n" and rows[2].kept_text == ""
 
