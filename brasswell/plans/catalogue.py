@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brasswell.functions.columns import stepped
-from brasswell.operators.ranking import first_of, newest, ranked
+from brasswell.operators.ranking import first_of, ranked
 from brasswell.plans.registry import query, table
 
 @query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_type IS NOT NULL AND p_size > 10 AND (contains(lower(p_name), 'an') OR contains(lower(p_brand), '1'))")
@@ -27,11 +26,6 @@ def agg01_log_stats(spark, sf_dir):
     return events.join(newest_ts).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("ts") >= F.col("m") - F.expr("interval 24 hours")).alias("last_day"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
-def snk03_newest_log(spark, sf_dir):
-    return newest(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], 500).select("event_id", "user_id", "event_type")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def jn09_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
@@ -56,13 +50,6 @@ def jn11_range_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(ranges, inside, "left").select("c_custkey", F.coalesce("grade", F.lit("high")).alias("grade"))
 
 
-@query("SELECT p_partkey, p_retailprice AS old_price, floor(p_retailprice * 1.1 / 10 + 0.5) * 10 AS new_price FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
-def dml07_bulk_price(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    chosen = part.join(F.broadcast(part.agg(F.min("p_type").alias("p_type"))), "p_type")  # one row
-    return chosen.select("p_partkey", F.col("p_retailprice").alias("old_price"), stepped(F.col("p_retailprice"), 1.1, 10).cast("double").alias("new_price"))
-
-
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 def win07_latest_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

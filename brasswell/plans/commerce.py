@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brasswell.functions.columns import half_up, money
-from brasswell.operators.merging import patched, removed, upserted
+from brasswell.operators.merging import patched
 from brasswell.plans.registry import query, table
 
 _SPEND = "(SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS spent, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY o_custkey)"
@@ -111,21 +111,6 @@ def jn16_override(spark, sf_dir):
     return table(spark, sf_dir, "part").join(given, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("m", F.col("p_size").cast("double")).alias("stock"))
 
 
-@query("SELECT class, count(*) AS n FROM (SELECT CASE WHEN p_size % 7 = 0 THEN 'error' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45) THEN 'update' ELSE 'new' END AS class FROM part) GROUP BY class")
-def flt21_row_class(spark, sf_dir):
-    known = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("known", F.lit(True))
-    kind = F.when(F.col("p_size") % 7 == 0, "error").when(F.col("known"), "update").otherwise("new")
-    return table(spark, sf_dir, "part").join(known, "p_partkey", "left").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey * 2, c_name || ' new', c_acctbal FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey * 2) % 3 = 0")
-def dml01_upsert(spark, sf_dir):
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    gone = old.where("c_custkey % 3 = 0").select("c_custkey")
-    new = old.where("c_custkey % 3 = 0").select((F.col("c_custkey") * 2).alias("c_custkey"), F.concat("c_name", F.lit(" new")).alias("c_name"), "c_acctbal")
-    return upserted(removed(old, gone, "c_custkey"), new, "c_custkey")
-
-
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
 def dml05_patch(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
