@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from brasswell.llm.common import chunks, table, texts_of, unused, written
 from brasswell.llm.wordhash import mix, words_of
 
-RUN, GRAM = 50, 8
+RUN, GRAM = 50, 24
 LEAST = RUN
 #: Odd factors of the two rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
