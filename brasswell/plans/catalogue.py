@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 from brasswell.operators.ranking import first_of, ranked
 from brasswell.plans.registry import query, table
 
-@query("SELECT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE p_type IS NOT NULL AND p_size > 10 AND (contains(lower(p_name), 'an') OR contains(lower(p_brand), '1'))")
-def flt01_faceted_filter(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_type is not null and p_size > 10")
-    text = F.contains(F.lower("p_name"), F.lit("an")) | F.contains(F.lower("p_brand"), F.lit("1"))
-    return part.where(text).select("p_partkey", "p_name", "p_brand", "p_retailprice")
-
-
 @query("SELECT p_brand, count(*) AS n, count_if(p_size > 25) AS large, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_brand")
 def agg02_group_count(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("large"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
@@ -31,25 +24,6 @@ def jn09_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def jn10_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@query("SELECT c_custkey, coalesce(n_name, '-') AS nation, coalesce(r_name, '-') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
-def jn06_chained_lookup(spark, sf_dir):
-    found = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return found.select("c_custkey", F.coalesce("n_name", F.lit("-")).alias("nation"), F.coalesce("r_name", F.lit("-")).alias("region"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'none' WHEN c_acctbal < 2500 THEN 'low' WHEN c_acctbal < 7500 THEN 'mid' ELSE 'high' END AS grade FROM customer")
-def jn11_range_join(spark, sf_dir):
-    grades = [("none", None, 0.0), ("low", 0.0, 2500.0), ("mid", 2500.0, 7500.0), ("high", 7500.0, None)]
-    ranges = F.broadcast(spark.createDataFrame(grades, "grade string, low double, high double"))  # four rows
-    inside = (F.col("low").isNull() | (F.col("c_acctbal") >= F.col("low"))) & (F.col("high").isNull() | (F.col("c_acctbal") < F.col("high")))
-    return table(spark, sf_dir, "customer").join(ranges, inside, "left").select("c_custkey", F.coalesce("grade", F.lit("high")).alias("grade"))
-
-
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 def win07_latest_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

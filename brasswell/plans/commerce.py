@@ -100,11 +100,6 @@ def jn04_two_key_lookup(spark, sf_dir):
     return found.select("o_orderkey", F.coalesce("first_name", "second_name", F.lit("-")).alias("name"))
 
 
-@query("SELECT p_partkey, r_name FROM part JOIN region ON (p_partkey - 1) % 5 = r_regionkey")
-def jn15_round_robin(spark, sf_dir):
-    return table(spark, sf_dir, "part").join(table(spark, sf_dir, "region"), (F.col("p_partkey") - 1) % 5 == F.col("r_regionkey")).select("p_partkey", "r_name")
-
-
 @query("SELECT p_partkey, coalesce(m, p_size::DOUBLE) AS stock FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) ON p_partkey = l_partkey")
 def jn16_override(spark, sf_dir):
     given = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.max("l_quantity").alias("m"))

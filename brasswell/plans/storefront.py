@@ -18,16 +18,6 @@ def flt02_virtual_category(spark, sf_dir):
     return part.join(last).where("p_type = m or contains(p_brand, '2') or contains(p_brand, '3')").select("p_partkey", "p_brand", "p_type")
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size > 0 AND NOT (p_retailprice <= 0)")
-def flt03_in_stock(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size > 0 and not (p_retailprice <= 0)").select("p_partkey", "p_size")
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(replace(lower(c_name), '-', ''), 'er#00000001')")
-def flt05_code_match(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where(F.contains(hyphenless(F.col("c_name")), F.lit("er#00000001"))).select("c_custkey", "c_name")
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND starts_with(o_orderpriority, '1') AND (contains(o_orderkey::VARCHAR, '7') OR contains(o_custkey::VARCHAR, '7'))")
 def flt09_order_filter(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'O' and startswith(o_orderpriority, '1') and (contains(string(o_orderkey), '7') or contains(string(o_custkey), '7'))").select("o_orderkey", "o_custkey")
@@ -39,12 +29,6 @@ def flt13_percent_change(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(old > 0, half_up(100 * (new - old) / old)).otherwise(0).cast("double").alias("change"))
 
 
-@query("SELECT p_type, CASE WHEN p_size > 30 THEN 'many' WHEN p_size > 5 THEN 'few' ELSE 'none' END AS bucket, count(*) AS n FROM part GROUP BY ALL")
-def flt14_stock_buckets(spark, sf_dir):
-    bucket = F.when(F.col("p_size") > 30, "many").when(F.col("p_size") > 5, "few").otherwise("none")
-    return table(spark, sf_dir, "part").groupBy("p_type", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_partkey, CASE WHEN starts_with(p_brand, 'AT-') THEN p_brand ELSE 'AT-' || p_brand END AS sku, concat_ws(' | ', 'type: ' || p_type, 'size: ' || p_size::VARCHAR) AS specs, p_retailprice <= 0 AS inquiry_only FROM part")
 def flt19_derived_columns(spark, sf_dir):
     sku = F.when(F.startswith("p_brand", F.lit("AT-")), F.col("p_brand")).otherwise(F.concat(F.lit("AT-"), "p_brand"))
@@ -52,11 +36,6 @@ def flt19_derived_columns(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sku.alias("sku"), specs.alias("specs"), (F.col("p_retailprice") <= 0).alias("inquiry_only"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE upper(c_name) = 'CUSTOMER#000000042' OR c_custkey = 7")
-def flt17_point_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("upper(c_name) = 'CUSTOMER#000000042' or c_custkey = 7").select("c_custkey", "c_name")
-
-
 @query("SELECT c_custkey, c_name FROM customer ORDER BY TRY_CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) DESC, c_custkey LIMIT 50")
 def ord04_embedded_number(spark, sf_dir):
     number = F.expr(r"try_cast(regexp_extract(c_name, '[0-9]+', 0) as bigint)")
