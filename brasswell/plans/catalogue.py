@@ -34,11 +34,3 @@ def win07_latest_order(spark, sf_dir):
 def win04_first_per_group(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_partkey")
     return first_of(part, ["p_brand"], ["p_retailprice", "p_partkey"]).select("p_brand", "p_partkey", "p_retailprice")
-
-
-@query("SELECT p_type, p_partkey, rank, margin FROM (SELECT p_type, p_partkey, row_number() OVER w AS rank, p_retailprice - lead(p_retailprice) OVER w AS margin FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey)) WHERE rank <= 10")
-def win10_rank_margin(spark, sf_dir):
-    part = ranked(table(spark, sf_dir, "part"), ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")])
-    nxt = part.select("p_type", (F.col("rank") - 1).alias("rank"), F.col("p_retailprice").alias("next_price")).where("rank between 1 and 10")
-    top = part.where("rank <= 10").join(nxt, ["p_type", "rank"], "left")
-    return top.select("p_type", "p_partkey", "rank", (F.col("p_retailprice") - F.col("next_price")).alias("margin"))

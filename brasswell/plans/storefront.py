@@ -74,13 +74,6 @@ def set06_instant_search(spark, sf_dir):
     return products.unionByName(suppliers).unionByName(top("nation", "nation", "n_name", "n_nationkey", "contains(lower(n_name), 'a')", 3))
 
 
-@query("SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands, count(DISTINCT p_brand) AS n FROM part GROUP BY p_type")
-def agg09_facet_values(spark, sf_dir):
-    """Brands are a dimension: each type's set is bounded by their number, and partial sets are merged."""
-    brands = F.array_sort(F.collect_set("p_brand"))
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(brands, ",").alias("brands"), F.size(brands).cast("long").alias("n"))
-
-
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_partkey")
 def agg08_distinct_claimants(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"))
@@ -98,18 +91,6 @@ def win01_dedupe_top(spark, sf_dir):
     return first_of(part, ["p_name"], ["p_retailprice", "p_partkey"]).orderBy("p_retailprice", "p_partkey").limit(20)
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day FROM events")
-def win08_sliding_count(spark, sf_dir):
-    window = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86_400_000_000, 0)
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return events.select("event_id", F.count("*").over(window).alias("last_day"))
-
-
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def jsn01_json_path(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"))
-
-
 @query("SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def dt01_daily_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").cast("string").alias("day"), "event_type").agg(F.count("*").alias("n"))
@@ -119,8 +100,3 @@ def dt01_daily_counts(spark, sf_dir):
 def str03_digits(spark, sf_dir):
     digits = F.expr("coalesce(try_cast(regexp_replace(p_brand, '[^0-9]', '') as bigint), 0)")
     return table(spark, sf_dir, "part").select("p_partkey", F.translate(F.col("p_partkey").cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹").alias("shown"), digits.alias("digits"))
-
-
-@query("SELECT c_custkey, 'REF-' || right(c_name, 5) AS referral FROM customer")
-def str09_referral_code(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("REF-"), F.right("c_name", F.lit(5))).alias("referral"))
