@@ -281,3 +281,24 @@ def win10_rank_margin(spark, sf_dir):
     own = Window.partitionBy("p_type").orderBy(*order)
     ranked = few.withColumns({"rank": F.row_number().over(own), "margin": F.col("p_retailprice") - F.lead("p_retailprice").over(own)})
     return ranked.where("rank <= 10").select("p_type", "p_partkey", "rank", "margin")
+
+
+@query("SELECT page_id, lower(trim('  ' || upper(url) || ' ')) AS plain, starts_with(url, 'https') AS safe, contains(html, '<p') AS paragraphs, length(replace(html, '<', '')) AS bare FROM pages")
+def str01_text_basics(spark, sf_dir):
+    plain = F.lower(F.trim(F.concat(F.lit("  "), F.upper("url"), F.lit(" "))))
+    return table(spark, sf_dir, "pages").select("page_id", plain.alias("plain"), F.startswith("url", F.lit("https")).alias("safe"), F.contains("html", F.lit("<p")).alias("paragraphs"), F.length(F.replace("html", F.lit("<"), F.lit(""))).cast("long").alias("bare"))
+
+
+@query("SELECT c_custkey, floor(c_acctbal + 0.5)::BIGINT AS whole, floor(c_acctbal / 1000 + 0.5)::BIGINT AS thousands FROM customer")
+def num01_half_up(spark, sf_dir):
+    """Half up for balances below 0 too."""
+    return table(spark, sf_dir, "customer").select("c_custkey", half_up(F.col("c_acctbal")).alias("whole"), half_up(F.col("c_acctbal") / 1000).alias("thousands"))
+
+
+@query("SELECT user_id, count_if(ts >= m - INTERVAL 24 HOUR) AS last_day, count(*) AS n FROM events, (SELECT max(ts) AS m FROM events) GROUP BY user_id")
+def stm04_last_day(spark, sf_dir):
+    """Counted when read, a row of exactly a day ago included."""
+    events = table(spark, sf_dir, "events")
+    now = F.broadcast(events.agg(F.max("ts").alias("now")))  # one row
+    recent = F.col("ts") >= F.col("now") - F.expr("interval 24 hours")
+    return events.join(now).groupBy("user_id").agg(F.count_if(recent).alias("last_day"), F.count("*").alias("n"))

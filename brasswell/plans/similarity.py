@@ -335,3 +335,24 @@ def agg20_views_of_product(spark, sf_dir):
     views = split.groupBy("product").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", "sig")))).alias("m"))
     told = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return views.select("product", F.size("m").cast("long").alias("views"), told.alias("signatures"))
+
+
+@query(_WITH + "SELECT query, count(*) AS met, count_if(dot > 0.2) AS near FROM pairs GROUP BY query")
+def jn03_every_pair(spark, sf_dir):
+    """Each asked vector beside all stored ones of its dimension."""
+    left, right = stored(spark, sf_dir), asked(spark, sf_dir).select("query", F.col("e").alias("q"))
+    met = against(left, right, "vec_id").where(F.size("e") == F.size("q"))
+    return met.groupBy("query").agg(F.count("*").alias("met"), F.count_if(dot(F.col("e"), F.col("q")) > 0.2).alias("near"))
+
+
+@query(_WITH + "SELECT query, count(*) AS products, round(sum(vector), 5) AS total FROM signals GROUP BY query")
+def vec05_no_early_cut(spark, sf_dir):
+    """Every product counts with its best vector, however many there are."""
+    found = best_per_product(*_as_vectors(spark, sf_dir))
+    return found.groupBy("query").agg(F.count("*").alias("products"), F.round(F.sum(clamped(F.col("similarity"), 0.0, 1.0)), 5).alias("total"))
+
+
+@query(_WITH + "SELECT query, product, round(combined, 6) AS combined FROM (SELECT * FROM scored ORDER BY combined DESC, query, product LIMIT 60)")
+def ord03_best_scores(spark, sf_dir):
+    """The sixty best of all, by score, then query and product: a top-k, not a sort of all."""
+    return scored(spark, sf_dir).orderBy(F.desc("combined"), "query", "product").limit(60).select("query", "product", F.round("combined", 6).alias("combined"))

@@ -25,3 +25,20 @@ def stm01_watched_catalogue(spark, sf_dir):
     watch(images, index, checkpoint)  # nothing is new
     index.collect_garbage(part.select(image))
     return index.read().select("image", "hash", "how")
+
+
+@query("SELECT p_type, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY p_type")
+def snk05_resumed_build(spark, sf_dir):
+    """A build in small batches that goes on from its checkpoint: the first part lands and is built, then the rest; no row counts twice."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    landed, built, checkpoint = new_path(spark), new_path(spark), new_path(spark)
+
+    def build() -> None:
+        rows = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{landed}/*")
+        rows.writeStream.format("parquet").option("path", built).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    stored(part.where("p_partkey % 3 = 0"), f"{landed}/first")
+    build()
+    stored(part.where("p_partkey % 3 > 0"), f"{landed}/second")
+    build()
+    return spark.read.schema(part.schema).parquet(built).groupBy("p_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
