@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from brasswell.llm.common import chunks, table, texts_of
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 9
+CHUNK_CHARS = 1 << 12
+OVERLAP_CHARS = 1 << 7
 SPECIAL = "<|endoftext|>"
 LIMIT = 512
 
@@ -50,9 +50,13 @@ def _sizes(ranks: str) -> np.ndarray:
     return sizes
 
 
-def _with_ends(text: str, ranks: str) -> tuple[list[int], np.ndarray]:
+def _ids(text: str, ranks: str) -> np.ndarray:
+    return encoder(ranks).encode_to_numpy(text, allowed_special="all")
+
+
+def _with_ends(text: str, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and where each one ends in the bytes of the text."""
-    ids = encoder(ranks).encode(text, allowed_special="all")
+    ids = _ids(text, ranks)
     return ids, np.cumsum(_sizes(ranks)[ids])
 
 
@@ -65,11 +69,11 @@ def _stable(text: str, low: int, high: int) -> Iterator[int]:
         at = text.rfind(" ", low, at)
 
 
-def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
+def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
     """The ids of the whole text from chunks of about ``chunk`` characters."""
     if len(text) <= chunk:
-        return encoder(ranks).encode(text, allowed_special="all")
-    out: list[int] = []
+        return _ids(text, ranks)
+    out: list[np.ndarray] = []
     start = 0
     end = min(start + chunk, len(text))
     left, left_ends = _with_ends(text[start:end], ranks)
@@ -93,17 +97,17 @@ def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int =
                 end = min(end + chunk, len(text))
                 left, left_ends = _with_ends(text[start:end], ranks)
                 if end == len(text):
-                    return out + left
+                    return np.concatenate([*out, left])
             reach *= 2
-        out += left[: cut[0]]
+        out.append(left[: cut[0]])
         base = int(right_ends[cut[1] - 1])
         start = begin + len(text[begin:stop].encode("utf-8", "surrogatepass")[:base].decode("utf-8", "surrogatepass"))
         left, left_ends, end = right[cut[1] :], right_ends[cut[1] :] - base, stop
-    return out + left
+    return np.concatenate([*out, left])
 
 
-def encode_all(texts: list[str], ranks: str) -> list[list[int]]:
-    return [encode_long(t, ranks) for t in texts]
+def encode_all(texts: list[str], ranks: str, chunk: int = CHUNK_CHARS) -> list[np.ndarray]:
+    return [encode_long(t, ranks, chunk) for t in texts]
 
 
 def count_tokens(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text: str = "text", out: str = "n_tokens") -> DataFrame:
