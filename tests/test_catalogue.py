@@ -19,7 +19,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.execute(ORACLES[name])
     columns = [d[0] for d in want.description]
