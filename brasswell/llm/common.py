@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in bytes; a single longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -28,6 +28,16 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+def sheltered(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns, and all others under numbers, so that no working column clashes with them; restored() gives the names back."""
+    return docs.select(*own, *(F.col(f"`{c}`").alias(f"column {i}") for i, c in enumerate(docs.columns) if c not in own))
+
+
+def restored(docs: DataFrame, *own: str) -> list:
+    """The columns of docs as sheltered() left them, under their names and in their order."""
+    return [F.col(c) if c in own else F.col(f"`column {i}`").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

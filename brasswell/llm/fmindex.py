@@ -4,9 +4,11 @@ A shard is a bounded run of documents. Its words become symbols: the benchmark's
 one separator. Suffixes are ordered by prefix doubling; the transform goes into a wavelet tree of bit ranks. All phrases walk backwards through it at once, occurrences are located by
 walking to sampled suffix positions, and the spans of each document are merged.
 
-Phrases are taken in blocks of at most ``BLOCK`` words, so the benchmark may have any size; each block is a pass over the documents.
-Null and empty texts have no words and are never hit; items without words have no phrase; repeated items and rows count each; a benchmark
-id that is null is left out of items_sha256 but its phrases count. Columns that clash with results aren't carried. Empty tables give empty results or no hits.
+Phrases are taken in blocks of about ``BLOCK`` words, so the benchmark may have any size; each block is a pass over the documents, and what a
+pass found is written before the next one.
+Null and empty texts have no words and are never hit; items without words have no phrase; items of one id count once, with the phrases of all of them;
+rows of one id are searched each. A benchmark id that is null is left out of items_sha256 but its phrases count. Very long texts are one shard.
+Columns that clash with results are replaced. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brasswell.llm.common import chunks, table, texts_of
+from brasswell.llm.common import Scratch, chunks, restored, sheltered, table, texts_of
 from brasswell.llm.wordhash import NOT_ALNUM, words_of
 
 WINDOW = 10
@@ -108,18 +110,17 @@ class FmIndex:
         return place
 
 
-def phrases_of(benchmark: DataFrame, window: int) -> Iterator[tuple[list[str], list, np.ndarray]]:
-    """Blocks of the benchmark: item ids, and for each phrase its item and its word hashes. A block holds BLOCK words or one item."""
-    rows, held = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        w = words_of([row.text or ""], NOT_ALNUM).hashes
-        if held + len(w) > BLOCK and rows:
-            yield rows
-            rows, held = [], 0
-        rows.append((row.item_id, w))
-        held += len(w)
-    if rows:
-        yield rows
+def blocks_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """item_id, text and block, dealt by digest into so many blocks that one holds about BLOCK words (no more than its bytes)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // (BLOCK * 4)))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
+
+
+def phrases_of(items: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """Item ids with their word hashes, of one block."""
+    return [(r.item_id, words_of([r.text or ""], NOT_ALNUM).hashes) for r in items.toLocalIterator()]
 
 
 def _prepared(rows: list[tuple[str, np.ndarray]], window: int):
@@ -216,36 +217,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
         return run
 
-    first = True
-    for rows in phrases_of(benchmark, window):
-        out = out.mapInArrow(one_pass(rows, first), schema)
-        first = False
-    return out.mapInArrow(one_pass([], True), schema) if first else out
+    items, n = blocks_of(benchmark)
+    scratch = Scratch(docs.sparkSession)
+    for k in range(n):  # the driver and the tasks hold one block at a time; rows are written between passes
+        out = out.mapInArrow(one_pass(phrases_of(items.where(F.col("block") == k)), k == 0), schema)
+        if k < n - 1:
+            out = scratch.keep("pass", out)
+    return out
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The same columns; hit words, with what stands between them, are cut out of the text, and n_chars follows where it is there."""
-    found = find_leaks(docs, benchmark, window).drop("n_words", "hits", "items")
-    names, text = docs.columns, docs.columns.index("text")
-    schema = docs.schema
+    own = [c for c in ("text", "n_chars") if c in docs.columns]
+    inner = sheltered(docs, *own)
+    found = find_leaks(inner, benchmark, window).drop("n_words", "hits", "items")
+    names, schema = inner.columns, inner.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("byte_hits").to_pylist()):
+            hits = batch.column("byte_hits").to_pylist()
+            for i, spans in enumerate(hits):
                 if spans:
                     raw, out, at = texts[i].encode(), [], 0
                     for s in spans:
                         out.append(raw[at : s["start"]])
                         at = s["end"]
                     texts[i] = b"".join([*out, raw[at:]]).decode()
-            columns = [pa.array(texts, pa.string()) if k == text else batch.column(n) for k, n in enumerate(names)]
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                columns[k] = pa.array([n if not h else len(t) for n, h, t in zip(columns[k].to_pylist(), batch.column("byte_hits").to_pylist(), texts, strict=True)], columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                n_chars = columns["n_chars"]
+                columns["n_chars"] = pa.array([n if not h else len(t) for n, h, t in zip(n_chars.to_pylist(), hits, texts, strict=True)], n_chars.type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).select(*restored(docs, *own))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

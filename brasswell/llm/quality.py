@@ -6,7 +6,8 @@ keeps few rules, and these become one Spark column expression, which scores ever
 
 Null text counts as empty and gets the score of an empty text. Ids are carried as they are; repeated rows are scored each. Repeated
 labels of one id each count as an example; null labels count as none. With no labels, or of one class, every score is the smoothed share of
-label 1. Columns that clash with a result column are replaced. An empty table gives an empty result.
+label 1. Ties between splits go to the first statistic and lowest threshold. Very long texts are measured whole. Columns that clash with a result
+column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brasswell.llm.common import crc_of_id, table
+from brasswell.llm.common import crc_of_id, restored, sheltered, table
 
 #: The most labelled rows that the fit sees.
 SAMPLE = 20_000
@@ -154,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleMod
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs with score and predicted. No shuffle, no Python."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = with_statistics(docs.select(*kept)).withColumn("score", model.column())
-    return out.select(*kept, "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    base = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    out = with_statistics(sheltered(base, "text")).withColumn("score", model.column())
+    return out.select(*restored(base, "text"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

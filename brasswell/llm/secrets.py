@@ -2,7 +2,10 @@
 
 Null and empty texts have no spans. Texts of any length are scanned whole. Ties (spans that begin together) are ordered as
 the rules are listed. Repeated rows are scanned each on its own. Extra columns of the input pass through untouched; a column that
-clashes with a result column is replaced by it.
+clashes with a result column is replaced by it. Rows with a null id are scanned like others; an empty table gives an empty result.
+
+In the combined automaton only one rule counts repetitions, since the counters of several rules would multiply its states: it finds where matches
+can end, in one pass over the bytes, and the rules' own automata settle the spans there.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brasswell.llm.automaton import accepting, compile_rules
-from brasswell.llm.common import chunks, sha256_hex, table, texts_of
+from brasswell.llm.common import chunks, restored, sha256_hex, sheltered, table, texts_of
 
 #: kind, expression, letters in either case, least length of the match (0: any), least length of the value at its end.
 RULES = (
@@ -134,7 +137,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The same columns; every span of the text is replaced by the mask, overlapping spans by one, and n_chars follows where it is there."""
-    found = find_secrets(docs, out="_secrets")
+    own = [c for c in ("text", "n_chars") if c in docs.columns]
+    found = find_secrets(sheltered(docs, *own), out="_secrets")
     merged = F.expr("""aggregate(_secrets, cast(array() as array<struct<a: bigint, b: bigint>>), (m, s) ->
         if(size(m) > 0 and s.start < element_at(m, -1).b,
            concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, s.end)))),
@@ -147,7 +151,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*restored(docs, *own))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
