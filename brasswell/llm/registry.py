@@ -11,8 +11,8 @@ from brasswell.llm.packing import op4_packing
 from brasswell.llm.quality import op9_quality
 from brasswell.llm.secrets import op5_secret_scan
 from brasswell.llm.tokens import op8_token_counts
-from brasswell.llm.urlfilter import op2_url_filter
+from brasswell.llm.urlfilter import OP2_SQL, op2_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_url_filter, op3_line_dedup, op4_packing, op5_secret_scan, op6_decontamination, op7_near_dedup, op8_token_counts, op9_quality, op10_media)}
 
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_line_dedup": OP3_SQL}

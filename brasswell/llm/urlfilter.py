@@ -3,11 +3,15 @@
 All DataFrame operations. An entry names a domain, which holds for all hosts under it, and may name a path (column ``path``), which holds for that
 path and all below it. Entries of one name are ordered by time and then action; of several at one time only the last action counts
 ('allow' before 'block'). An interval runs from its entry to the next one, end exclusive; the last one is open. A capture is exploded into its
-host's domains (only itself for an address) and, if paths are listed, its path's beginnings, a list as long as its URL has parts; these meet the intervals
-in an equi-join with the time test, at most one for each name, and the longest domain, then the longest path, decides by a partial aggregate.
+host's domains (only itself for an address) and, if paths are listed, its path's beginnings, a list as long as its URL has parts.
+
+The captures' time is dealt into ``BUCKETS`` equal spans. An interval stands in each span that it touches, a capture in its own, and both meet in an
+equal-key join by name and span with the time test: a name that a third of all captures have is spread over the spans, and a capture meets
+only what its name has in its span. At most one interval of a name holds; the longest domain, then the longest path, decides by a partial aggregate.
 
 Null hosts, times or actions in entries leave the entry out; a null path is the whole domain. A capture with a null host or time, or before the first entry, has
-no entry (null action, not blocked). Repeated captures are judged each. Columns of captures that clash with results are replaced.
+no entry (null action, not blocked). Repeated captures are judged each; an empty table gives an empty result. Columns of captures that clash with
+results are replaced. Very long URLs are handled whole.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from brasswell.llm.common import table
 
 #: In the query, the list has so many dated entries for each host, and days are counted up to this one.
 ENTRIES, DAYS = 4, 365
+#: Spans of time that captures are dealt into.
+BUCKETS = 32
 #: Hosts that are addresses, not names.
 ADDRESS = r"^(\[.*\]|[0-9.]+)$"
 
@@ -64,25 +70,57 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (with host, fetched and path, if entries have one) and the valid_from, action and blocked of the entry then in force."""
-    spans = intervals(entries).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "valid_from", "valid_to", "action")
+    low, high = captures.agg(F.min("fetched"), F.max("fetched")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
+    span = lambda at: F.floor((at - F.lit(low or 0)) / width)
+    first, last = F.greatest(F.lit(0), span(F.col("valid_from"))), F.least(span(F.lit(high or 0)), F.coalesce(span(F.col("valid_to") - 1), span(F.lit(high or 0))))
+    spans = intervals(entries).where(first <= last).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "valid_from", "valid_to", "action", F.explode(F.sequence(first, last)).alias("_span"))
     kept = [c for c in captures.columns if c not in ("valid_from", "valid_to", "action", "blocked")]
     paths = beginnings("path") if "path" in entries.columns and "path" in captures.columns else F.array(F.lit(""))
     base = captures.select(F.struct(*kept).alias("_capture"), F.col("fetched").alias("_at"), F.monotonically_increasing_id().alias("_row"), domains("host").alias("_domains"), paths.alias("_paths"))
     named = base.select("_row", "_at", "_capture", F.explode_outer("_domains").alias("_d"), "_paths").select("_row", "_at", "_capture", "_d", F.explode("_paths").alias("_p"))
-    during = (F.col("_d") == F.col("_host")) & (F.col("_p") == F.col("_path")) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    met = named.join(spans, during, "left")
+    same = (F.col("_d") == F.col("_host")) & (F.col("_p") == F.col("_path")) & (span(F.col("_at")) == F.col("_span"))
+    met = named.join(spans, same & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))), "left")
     rank = F.when(F.col("action").isNotNull(), F.struct(F.length("_host").alias("h"), F.length("_path").alias("p"), "valid_from", "action"))
     one = met.groupBy("_row").agg(F.first("_capture").alias("_capture"), F.max(rank).alias("_entry"))
     return one.select("_capture.*", "_entry.valid_from", "_entry.action", F.coalesce(F.col("_entry.action") == "block", F.lit(False)).alias("blocked"))
 
 
+def _number(text: Column) -> Column:
+    """The first seven hex digits of the digest, as a number."""
+    return F.conv(F.substr(F.md5(text.cast("binary")), F.lit(1), F.lit(7)), 16, 10).cast("long")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of ``pages``: fetch day and the list's entries (hosts, registered domains, some first parts of paths) are derived from digests."""
     pages = table(spark, sf_dir, "pages")
-    captures = pages.select("page_id", "url", host_of("url").alias("host"), path_of("url").alias("path"), (F.crc32(F.col("url").cast("binary")) % DAYS).alias("fetched"))
+    captures = pages.select("page_id", "url", host_of("url").alias("host"), path_of("url").alias("path"), (_number(F.col("url")) % DAYS).alias("fetched"))
     found = captures.where("host is not null")
-    top = found.select("host", F.regexp_extract("path", "^(/[^/]+)", 1).alias("path")).where((F.col("path") != "") & (F.crc32(F.concat("host", "path").cast("binary")) % 8 == 0))
+    top = found.select("host", F.regexp_extract("path", "^(/[^/]+)", 1).alias("path")).where((F.col("path") != "") & (_number(F.concat("host", "path")) % 8 == 0))
     names = found.select("host", F.lit("").alias("path")).union(found.select(registered("host").alias("host"), F.lit("").alias("path")).where("host is not null")).union(top).distinct()
-    mark = F.crc32(F.concat_ws("|", F.concat("host", "path"), "k").cast("binary"))
+    mark = _number(F.concat("host", "path", F.lit("|"), F.col("k").cast("string")))
     entries = names.select("host", "path", F.explode(F.sequence(F.lit(1), F.lit(ENTRIES))).alias("k")).select("host", "path", (mark % DAYS).alias("at"), F.when(mark % 2 == 0, "block").otherwise("allow").alias("action"))
     return judge(captures, entries).select("page_id", "host", "fetched", "valid_from", "action", "blocked")
+
+
+_NUMBER = "('0x' || substr(md5({}), 1, 7))::BIGINT"
+_ADDRESS = "regexp_matches(host, '^(\\[.*\\]|[0-9.]+)$')"
+
+#: The same by an as-of join for each name of a capture.
+OP2_SQL = f"""
+WITH u AS (
+  SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1)), '\\.$', ''), '') AS host,
+    coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '') AS path, {_NUMBER.format("url")} % {DAYS} AS fetched FROM pages),
+n AS (
+  SELECT host, '' AS path FROM u WHERE host IS NOT NULL
+  UNION SELECT regexp_extract(host, '([^.]+\\.(?:(?:com?|org|net|ac|gov|edu)\\.[a-z]{{2}}|[^.]+))$', 1), '' FROM u WHERE host IS NOT NULL AND NOT {_ADDRESS} AND contains(host, '.')
+  UNION SELECT host, regexp_extract(path, '^(/[^/]+)', 1) FROM u WHERE host IS NOT NULL AND regexp_extract(path, '^(/[^/]+)', 1) <> '' AND {_NUMBER.format("host || regexp_extract(path, '^(/[^/]+)', 1)")} % 8 = 0),
+m AS (SELECT host, path, {_NUMBER.format("host || path || '|' || k::VARCHAR")} AS mark FROM n, range(1, {ENTRIES + 1}) r(k)),
+e AS (SELECT host, path, mark % {DAYS} AS since, max(CASE WHEN mark % 2 = 0 THEN 'block' ELSE 'allow' END) AS action FROM m GROUP BY ALL),
+d AS (SELECT page_id, host, path, fetched, unnest(CASE WHEN {_ADDRESS} THEN [host] ELSE list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.')) END) AS name FROM u WHERE host IS NOT NULL),
+p AS (SELECT *, string_split(regexp_replace(path, '/+$', ''), '/') AS parts FROM d),
+c AS (SELECT page_id, name, fetched, unnest(list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[:k], '/'))) AS part FROM p),
+a AS (SELECT c.page_id, c.name, c.part, e.since, e.action FROM c ASOF JOIN e ON c.name = e.host AND c.part = e.path AND c.fetched >= e.since),
+b AS (SELECT page_id, since, action FROM a QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(name) DESC, length(part) DESC) = 1)
+SELECT u.page_id, u.host, u.fetched, b.since AS valid_from, b.action, coalesce(b.action = 'block', false) AS blocked FROM u LEFT JOIN b ON u.page_id = b.page_id
+"""
