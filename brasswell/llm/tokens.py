@@ -69,8 +69,13 @@ def _stable(text: str, low: int, high: int) -> Iterator[int]:
         at = text.rfind(" ", low, at)
 
 
-def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
+def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """The ids of the whole text from chunks of about ``chunk`` characters."""
+    return spliced(text, ranks, chunk, overlap).tolist()
+
+
+def spliced(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
+    """encode_long() as an array."""
     if len(text) <= chunk:
         return _ids(text, ranks)
     out: list[np.ndarray] = []
@@ -107,7 +112,7 @@ def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int =
 
 
 def encode_all(texts: list[str], ranks: str, chunk: int = CHUNK_CHARS) -> list[np.ndarray]:
-    return [encode_long(t, ranks, chunk) for t in texts]
+    return [spliced(t, ranks, chunk) for t in texts]
 
 
 def count_tokens(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text: str = "text", out: str = "n_tokens") -> DataFrame:
