@@ -5,7 +5,7 @@ never meet each other. Each class gets a SuperMinHash signature: every element w
 is part of its rank, and walking stops when no slot can get lower (all elements of a chunk walk together). Bands of the signature
 are buckets.
 
-Candidates never are all pairs of a bucket. In each of ROUNDS rounds the sets of a bucket meet its lead only, the one that shares most buckets
+Candidates never are all pairs of a bucket. First the sets of a bucket meet its lead only, the one that shares most buckets
 with others, which stands in the middle of its near copies. Sets whose buckets still hold several groups then meet by their rarest
 elements (``prefixes``), which loses no link between groups: with the lead of each such element first, and those of different groups that
 sizes and places leave possible at last. Every link is verified on full sets. Groups come from repeated smallest-neighbour steps over
@@ -33,7 +33,6 @@ from brasswell.llm.wordhash import mix, shingled, words_of
 
 SLOTS, ROWS = 80, 4
 BANDS = SLOTS // ROWS
-ROUNDS = 2
 WIDTH, PERCENT = 3, 85
 
 
@@ -219,12 +218,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             links = scratch.keep("links", links.union(found))
             group = scratch.keep("group", components(links, scratch))
 
-    for _ in range(ROUNDS):
-        join_up(lead_pairs(meeting(grouped(buckets, group))))
+    join_up(lead_pairs(buckets.withColumn("g", F.col("doc_id"))))
     rest = sets.join(meeting(grouped(buckets, group)).select("doc_id").distinct(), "doc_id", "left_semi")
     keys = scratch.keep("keys", prefixes(rest, percent))
     scratch.drop("ranked")
-    join_up(lead_pairs(meeting(grouped(keys, group))))
+    join_up(lead_pairs(grouped(keys, group)))
     join_up(cross_pairs(meeting(grouped(keys, group))))
     scratch.drop("keys", "sets", "found", "edges", "stars")
     member = all_sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
