@@ -14,7 +14,7 @@ Columns that clash with results are replaced. Empty tables give empty results or
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,8 +195,9 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hits and byte_hits (spans in words and in bytes) and items. No shuffle; a pass for each block."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, then: Callable | None = None, then_schema: T.StructType | None = None) -> DataFrame:
+    """docs with n_words, hits and byte_hits (spans in words and in bytes) and items. No shuffle; a pass for each block.
+    then: what the last pass does with these rows in the same worker, and the schema of what it gives."""
     added = {"n_words": T.LongType(), "hits": HITS, "byte_hits": HITS, "items": T.ArrayType(T.StringType())}
     out = docs.select(*[c for c in docs.columns if c not in added])
     schema = T.StructType([*out.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
@@ -220,9 +221,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     items, n = blocks_of(benchmark)
     scratch = Scratch(docs.sparkSession)
     for k in range(n):  # the driver and the tasks hold one block at a time; rows are written between passes
-        out = out.mapInArrow(one_pass(phrases_of(items.where(F.col("block") == k)), k == 0), schema)
+        step = one_pass(phrases_of(items.where(F.col("block") == k)), k == 0)
         if k < n - 1:
-            out = scratch.keep("pass", out)
+            out = scratch.keep("pass", out.mapInArrow(step, schema))
+        elif then:
+            out = out.mapInArrow(lambda batches, step=step: then(step(batches)), then_schema)
+        else:
+            out = out.mapInArrow(step, schema)
     return out
 
 
@@ -230,8 +235,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     """The same columns; hit words, with what stands between them, are cut out of the text, and n_chars follows where it is there."""
     own = [c for c in ("text", "n_chars") if c in docs.columns]
     inner = sheltered(docs, *own)
-    found = find_leaks(inner, benchmark, window).drop("n_words", "hits", "items")
-    names, schema = inner.columns, inner.schema
+    names = inner.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +254,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
                 columns["n_chars"] = pa.array([n if not h else len(t) for n, h, t in zip(n_chars.to_pylist(), hits, texts, strict=True)], n_chars.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return found.mapInArrow(run, schema).select(*restored(docs, *own))
+    return find_leaks(inner, benchmark, window, run, inner.schema).select(*restored(docs, *own))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
