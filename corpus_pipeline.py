@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brasswell.llm import fmindex, neardup, packing, quality, secrets
-from brasswell.llm.common import table, written
+from brasswell.llm.common import table, unused, written
 
 #: Near copies here: sets of runs of so many words, alike to so many per cent (op7 has its own contract).
 WIDTH, PERCENT = 5, 80
@@ -16,7 +17,10 @@ WIDTH, PERCENT = 5, 80
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from the labels, doesn't reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    scored = quality.score(docs, model)
+    # A filter isn't pushed below a row number: statistics are computed once, in the projection, not in the filter for each rule.
+    row = unused("row", scored.columns)
+    return scored.withColumn(row, F.monotonically_increasing_id()).where((F.col("predicted") == 1) & (F.col(row) >= 0)).select(*docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
