@@ -34,6 +34,8 @@ from brasswell.llm.wordhash import mix, shingled, words_of
 SLOTS, ROWS = 80, 4
 BANDS = SLOTS // ROWS
 WIDTH, PERCENT = 3, 85
+#: Up to so many ids (about 40 MB) are sent to all tasks; more meet the documents in a shuffle.
+FEW = 1 << 20
 
 
 def _times_gold(n: int) -> np.uint64:
@@ -206,7 +208,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     buckets = buckets.join(rank, "doc_id").select("key", "doc_id", "size", F.floor(F.col("size") * 100 / percent + 1e-6).cast("long").alias("cap"), "rank")
     buckets = scratch.keep("ranked", buckets)
     scratch.drop("buckets")
-    met = docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = buckets.select("doc_id").distinct()
+    met = docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
     sets = scratch.keep("sets", shingle_sets(met, full=True, width=width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "shingles"))
     links = spark.createDataFrame([], "a long, b long")
     group = spark.createDataFrame([], "node long, component long")
