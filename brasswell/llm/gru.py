@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, WINDOW, RATE = 16, 8, 0.1
+#: Where sums of squared gradients begin.
+SEEN = 1e-4
 #: Lanes side by side: as many as leave ``UPDATES`` windows in a pool, and no more than ``LANES``.
 LANES, UPDATES = 512, 128
 #: Cases whose outputs are computed at once when scoring.
@@ -106,14 +108,15 @@ def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = N
 class Trainer:
     """Learns from a stream of ids in lanes that run side by side, states carried from window to window (Adagrad)."""
 
-    def __init__(self, p: dict[str, np.ndarray], size: int, end: int) -> None:
+    def __init__(self, p: dict[str, np.ndarray], size: int, end: int, seen: dict[str, np.ndarray] | None = None) -> None:
         self.p, self.size, self.end = {k: v.copy() for k, v in p.items()}, size, end
-        self.seen = {k: np.full_like(v, 1e-4) for k, v in p.items()}
+        self.seen = {k: v.copy() for k, v in seen.items()} if seen else {k: np.full_like(v, SEEN) for k, v in p.items()}
 
     def learn(self, ids: np.ndarray) -> None:
         lanes = max(1, min(LANES, len(ids) // (UPDATES * WINDOW)))
-        length = len(ids) // lanes
-        grid = np.concatenate((np.full((1, lanes), self.end), ids[: lanes * length].reshape(lanes, length).T))
+        length = -(-len(ids) // lanes)
+        ids = np.append(ids, np.full(lanes * length - len(ids), self.end, ids.dtype))  # empty documents fill the last lane
+        grid = np.concatenate((np.full((1, lanes), self.end), ids.reshape(lanes, length).T))
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, length, WINDOW):
             h = self._window(grid[t : t + WINDOW], grid[t + 1 : t + WINDOW + 1], h)

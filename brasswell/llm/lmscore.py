@@ -2,12 +2,12 @@
 
 Counts are grouped by Spark over 64-bit word hashes. The ``FREQUENT`` most frequent words (a documented bound) go to the tasks with their counts,
 the first of them make the model's vocabulary; counts of all rarer words are joined. The model is trained by every task on its own training
-documents from one start, and the tasks' weights are averaged by tokens in rounds of tasks; one pass over all documents. Scoring carries
-the state through the whole document.
+documents, and the tasks' weights are averaged by tokens; ``ROUNDS`` times, each time on another part of the documents and from the average
+before, which makes one pass over all of them. Scoring carries the state through the whole document.
 
 Null text counts as empty: the end alone. Null ids are in the training part by crc32 of the empty text. Repeated rows are counted and scored
-each (rows carry their own number). Texts of any length are read whole. Columns beside id and text aren't used; with no training documents the
-model is the untrained one and N and V are 0.
+each (rows carry their own number); ids are whole numbers. Ties in counts go to the smaller hash. Texts of any length are read whole. Columns beside
+id and text aren't used; with no training documents the model is the untrained one and N and V are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ FREQUENT = 100_000
 POOL = 1 << 21
 END = np.uint64(1)
 MERGE = 16
+ROUNDS = 3
 
 
 def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -68,24 +69,13 @@ class Vocabulary:
         return np.where(hit, self.ids[k], CLASSES * SIZE), np.where(hit, self.c[k], -1)
 
 
-def train(docs: DataFrame, words: Vocabulary, start: np.ndarray) -> np.ndarray:
-    """Weights after one pass over all of docs: each task's own, averaged by tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, held, size, seen = gru.Trainer(gru.unflat(start, CLASSES, SIZE), SIZE, words.end), [], 0, 0
-        for batch in chunks(batches):
-            held.append(words.look(tokens_of(batch)[0])[0])
-            size += len(held[-1])
-            if size >= POOL:
-                trainer.learn(np.concatenate(held))
-                seen, held, size = seen + size, [], 0
-        if size:
-            trainer.learn(np.concatenate(held))
-        if seen + size:
-            yield pa.RecordBatch.from_arrays([pa.array([gru.flat(trainer.p).astype("<f4").tobytes()]), pa.array([float(seen + size)])], ["v", "n"])
+def train(docs: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after one pass over docs in as many parts as rounds: in each, every task goes on from the weights (and their sums of squared
+    gradients) of the round before, on its own documents, and the tasks' are averaged by tokens."""
+    state = np.concatenate((start, np.full(len(start), gru.SEEN, np.float32)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(start)), 0.0
+        total, n = np.zeros(len(state)), 0.0
         for batch in batches:
             for v, k in zip(batch.column("v"), batch.column("n").to_pylist(), strict=True):
                 total += k * np.frombuffer(v.as_buffer(), "<f4")
@@ -93,14 +83,35 @@ def train(docs: DataFrame, words: Vocabulary, start: np.ndarray) -> np.ndarray:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()]), pa.array([n])], ["v", "n"])
 
-    parts = written(docs.select("text").mapInArrow(run, "v binary, n double"))
-    count = parts.count()
-    while count > MERGE:
-        count = -(-count // MERGE)
-        parts = written(parts.repartition(count, F.xxhash64("v") % count).mapInArrow(merge, "v binary, n double"))
-    rows = parts.orderBy("n", F.xxhash64("v")).collect()  # MERGE rows at most
-    n = sum(r.n for r in rows)
-    return sum(r.n / n * np.frombuffer(r.v, "<f4").astype(float) for r in rows).astype(np.float32) if rows else start
+    def learnt(state: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, seen = (gru.unflat(x, CLASSES, SIZE) for x in np.split(state, 2))
+            trainer, held, size, total = gru.Trainer(p, SIZE, words.end, seen), [], 0, 0
+            for batch in chunks(batches):
+                held.append(words.look(tokens_of(batch)[0])[0])
+                size += len(held[-1])
+                if size >= POOL:
+                    trainer.learn(np.concatenate(held))
+                    total, held, size = total + size, [], 0
+            if size:
+                trainer.learn(np.concatenate(held))
+            if total + size:
+                v = np.concatenate((gru.flat(trainer.p), gru.flat(trainer.seen))).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()]), pa.array([float(total + size)])], ["v", "n"])
+
+        return run
+
+    for k in range(rounds):
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
+        parts = written(part.select("text").mapInArrow(learnt(state), "v binary, n double"))
+        count = parts.count()
+        while count > MERGE:
+            count = -(-count // MERGE)
+            parts = written(parts.repartition(count, F.pmod(F.xxhash64("v"), F.lit(count))).mapInArrow(merge, "v binary, n double"))
+        rows = parts.orderBy("n", F.xxhash64("v")).collect()  # MERGE rows at most
+        if n := sum(r.n for r in rows):
+            state = sum(r.n / n * np.frombuffer(r.v, "<f4").astype(float) for r in rows).astype(np.float32)
+    return state[: len(start)]
 
 
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
