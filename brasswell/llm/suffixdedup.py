@@ -350,8 +350,9 @@ def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
 
 
 def _joined(rows: DataFrame, classes: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows (digest) with all (the text goes whole: there is a copy) and the columns of spans."""
-    return rows.join(classes.where("copies > 1").select("digest", F.lit(True).alias("all")), "digest", "left").join(spans, "digest", "left")
+    """rows (digest) with all (the text goes whole: there is a copy) and the columns of spans; one join, whose hot digests Spark can split."""
+    known = classes.where("copies > 1").select("digest", F.lit(True).alias("all")).join(spans, "digest", "full")
+    return rows.join(known, "digest", "left")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -359,8 +360,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes, spans = removals(docs)
     key, whole = unused("digest", docs.columns), unused("all", docs.columns)
     base = docs.drop("removed", "kept").withColumn(key, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
-    told = classes.where("copies > 1").select(F.col("digest").alias(key), F.lit(True).alias(whole))
-    joined = base.join(told, key, "left").join(spans.select(F.col("digest").alias(key), F.col("spans").alias("removed")), key, "left")
+    told = classes.where("copies > 1").select("digest", F.lit(True).alias(whole)).join(spans.select("digest", F.col("spans").alias("removed")), "digest", "full")
+    joined = base.join(told.withColumnRenamed("digest", key), key, "left")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))).cast(SPANS)
     removed = F.when(F.col(whole) & (size >= LEAST), everything).otherwise(F.coalesce("removed", F.array().cast(SPANS)))
