@@ -1,9 +1,10 @@
 """Token counts by overlap resynchronisation.
 
 A text of more than ``chunk`` characters is encoded in overlapping chunks with offsets. Two neighbours are spliced at a place
-inside their overlap where both encodings have a token boundary and that is proven stable: a single space between two characters
-that are not white space begins a piece of the vocabulary's split whatever stands around it, so no merge and no special string
-reaches across. Where the overlap has no such place it is doubled, at last to the rest of the text.
+inside their overlap where both encodings have a token boundary and that is proven stable: the vocabulary's split begins a piece there whatever
+stands around it, so no merge and no special string reaches across. Such places are those before white space and, between characters that are not, those where
+letters end (before digits and signs) or digits end. A chunk reaches as far as such a place: where it holds none it doubles before it is encoded, so text
+without any place costs one encoding. Where the two encodings don't meet at the place, the overlap doubles.
 
 Null and empty texts have no tokens. Whole texts are counted, whatever their length. Repeated rows are counted each. Columns of the
 input that clash with a result column are replaced by it; an empty table gives an empty result. The encoder takes the same
@@ -14,6 +15,7 @@ the special string is one id, as that library has it by default.
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,13 +62,38 @@ def _with_ends(text: str, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.cumsum(_sizes(ranks)[ids])
 
 
-def _stable(text: str, low: int, high: int) -> Iterator[int]:
-    """Places from low to before high, the last ones first, where a single space stands between two characters that aren't white space."""
-    at = text.rfind(" ", low, high)
-    while at > low:
-        if at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace():
-            yield at
-        at = text.rfind(" ", low, at)
+@lru_cache(maxsize=1 << 16)
+def _kind(c: str) -> str:
+    """L(etter), N(umber) or another sign; "" for characters whose class isn't the same in all versions of Unicode, and for white space."""
+    old, new = unicodedata.ucd_3_2_0.category(c)[0], unicodedata.category(c)[0]
+    return "" if old != new or old == "C" or c.isspace() else old if old in "LN" else "S"
+
+
+def _begins(text: str, at: int) -> bool:
+    """Whether a piece begins at the place (not the first) whatever stands around it."""
+    before, here = text[at - 1], text[at]
+    if here in " \t\n\r\u3000":
+        return not before.isspace()
+    if here == "|":  # the special string has a letter before it
+        return False
+    x, y = _kind(before), _kind(here)
+    return x == "L" and y in ("N", "S") or x == "N" and y in ("L", "S")
+
+
+def _stable(text: str, low: int, high: int) -> int | None:
+    """The last place behind low and before high where a piece begins."""
+    return next((at for at in range(min(high, len(text)) - 1, low, -1) if _begins(text, at)), None)
+
+
+def _reach(text: str, begin: int, behind: int, chunk: int) -> tuple[int, int | None]:
+    """Where a chunk from ``begin`` ends, and the last stable place in it behind ``behind``; none where it takes the rest of the text."""
+    end, low = max(begin, behind) + chunk, behind
+    while end < len(text):
+        place = _stable(text, low, end)
+        if place:
+            return end, place
+        low, end = end - 1, begin + 2 * (end - begin)
+    return len(text), None
 
 
 def encode_long(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
@@ -80,34 +107,27 @@ def spliced(text: str, ranks: str, chunk: int = CHUNK_CHARS, overlap: int = OVER
         return _ids(text, ranks)
     out: list[np.ndarray] = []
     start = 0
-    end = min(start + chunk, len(text))
-    left, left_ends = _with_ends(text[start:end], ranks)
-    while end < len(text):
+    end, place = _reach(text, 0, 0, chunk)
+    left, left_ends = _with_ends(text[:end], ranks)
+    while place:
         reach = overlap
         while True:
-            begin = max(start + 1, end - reach)
-            stop = min(begin + chunk + reach, len(text))
+            begin = max(start, place - reach)
+            stop, later = _reach(text, begin, place, chunk)
             right, right_ends = _with_ends(text[begin:stop], ranks)
             lead = len(text[start:begin].encode("utf-8", "surrogatepass"))
-            cut = None
-            for place in _stable(text, begin, end):
-                b = len(text[begin:place].encode("utf-8", "surrogatepass"))
-                i, j = np.searchsorted(left_ends, lead + b), np.searchsorted(right_ends, b)
-                if i < len(left_ends) and left_ends[i] == lead + b and j < len(right_ends) and right_ends[j] == b:
-                    cut = int(i) + 1, int(j) + 1
-                    break
-            if cut:
+            b = len(text[begin:place].encode("utf-8", "surrogatepass"))
+            i, j = np.searchsorted(left_ends, lead + b), np.searchsorted(right_ends, b)
+            if i < len(left_ends) and left_ends[i] == lead + b and j < len(right_ends) and right_ends[j] == b:
+                break
+            if begin == start:  # the chunk grows over the place instead
+                i, j = -1, -1
                 break
-            if begin == start + 1:  # nothing stable here: the chunk grows instead
-                end = min(end + chunk, len(text))
-                left, left_ends = _with_ends(text[start:end], ranks)
-                if end == len(text):
-                    return np.concatenate([*out, left])
             reach *= 2
-        out.append(left[: cut[0]])
-        base = int(right_ends[cut[1] - 1])
-        start = begin + len(text[begin:stop].encode("utf-8", "surrogatepass")[:base].decode("utf-8", "surrogatepass"))
-        left, left_ends, end = right[cut[1] :], right_ends[cut[1] :] - base, stop
+        out.append(left[: i + 1])
+        base = int(right_ends[j]) if j >= 0 else 0
+        start = place if j >= 0 else begin
+        left, left_ends, place = right[j + 1 :], right_ends[j + 1 :] - base, later
     return np.concatenate([*out, left])
 
 

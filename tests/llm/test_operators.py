@@ -168,6 +168,33 @@ def test_long_texts_in_chunks(text):
         assert tokens.encode_long(text, "byte_bpe_50k.tiktoken", chunk, overlap) == want
 
 
+@pytest.mark.parametrize("unit", ["abcdef0,", "日本語の長い文章。これは、", "x", "9", "word and ", "a'b<|endoftext|>c|", "ab\u0301\u0899 ", "\t\n  "])
+def test_long_texts_cost_little_more_than_once(unit, monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    text = (unit * 200_000)[:200_000]
+    spent, plain = [], tokens._ids
+    monkeypatch.setattr(tokens, "_ids", lambda t, ranks: spent.append(len(t)) or plain(t, ranks))
+    got = tokens.encode_long(text, "byte_bpe_50k.tiktoken")
+    assert sum(spent) <= 1.2 * len(text)
+    assert got == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_random_texts_in_chunks():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(4)
+    signs = list("abcdeXYZ019.,'|<>-_ \n\t") + ["'s", "'ll", "<|endoftext|>", "日", "本", "。", "\u3000", "\u00a0", "é", "e\u0301", "½", "٣", "🙂", "\x1c", "\u2028"]
+    for _ in range(60):
+        text = "".join(rng.choice(signs, 700))
+        assert tokens.encode_long(text, "byte_bpe_50k.tiktoken", 32, 4) == known.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(2)
     for _ in range(30):
