@@ -9,6 +9,9 @@ The captures' time is dealt into ``BUCKETS`` equal spans. An interval stands in
 equal-key join by name and span with the time test: a name that a third of all captures have is spread over the spans, and a capture meets
 only what its name has in its span. At most one interval of a name holds; the longest domain, then the longest path, decides by a partial aggregate.
 
+Times are numbers, dates or timestamps, of one kind in captures and entries (those of entries are cast to the captures'). Names that no entry can have, by their
+number of labels or parts, aren't shuffled, and a capture's other columns are joined back by its row number.
+
 Null hosts, times or actions in entries leave the entry out; a null path is the whole domain. A capture with a null host or time, or before the first entry, has
 no entry (null action, not blocked). Repeated captures are judged each; an empty table gives an empty result. Columns of captures that clash with
 results are replaced. Very long URLs are handled whole.
@@ -18,8 +21,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brasswell.llm.common import table
+from brasswell.llm.common import table, unused, written
 
 #: In the query, the list has so many dated entries for each host, and days are counted up to this one.
 ENTRIES, DAYS = 4, 365
@@ -68,22 +72,41 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("host", "path", F.col("at").alias("valid_from"), upto.alias("valid_to"), "action")
 
 
+def _scale(at: Column, kind: T.DataType) -> Column:
+    """A time as a number: of days for dates, of microseconds for timestamps."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(at)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(at.cast("timestamp"))
+    return at
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (with host, fetched and path, if entries have one) and the valid_from, action and blocked of the entry then in force."""
-    low, high = captures.agg(F.min("fetched"), F.max("fetched")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BUCKETS))
-    span = lambda at: F.floor((at - F.lit(low or 0)) / width)
-    first, last = F.greatest(F.lit(0), span(F.col("valid_from"))), F.least(span(F.lit(high or 0)), F.coalesce(span(F.col("valid_to") - 1), span(F.lit(high or 0))))
-    spans = intervals(entries).where(first <= last).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "valid_from", "valid_to", "action", F.explode(F.sequence(first, last)).alias("_span"))
     kept = [c for c in captures.columns if c not in ("valid_from", "valid_to", "action", "blocked")]
-    paths = beginnings("path") if "path" in entries.columns and "path" in captures.columns else F.array(F.lit(""))
-    base = captures.select(F.struct(*kept).alias("_capture"), F.col("fetched").alias("_at"), F.monotonically_increasing_id().alias("_row"), domains("host").alias("_domains"), paths.alias("_paths"))
-    named = base.select("_row", "_at", "_capture", F.explode_outer("_domains").alias("_d"), "_paths").select("_row", "_at", "_capture", "_d", F.explode("_paths").alias("_p"))
-    same = (F.col("_d") == F.col("_host")) & (F.col("_p") == F.col("_path")) & (span(F.col("_at")) == F.col("_span"))
-    met = named.join(spans, same & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))), "left")
-    rank = F.when(F.col("action").isNotNull(), F.struct(F.length("_host").alias("h"), F.length("_path").alias("p"), "valid_from", "action"))
-    one = met.groupBy("_row").agg(F.first("_capture").alias("_capture"), F.max(rank).alias("_entry"))
-    return one.select("_capture.*", "_entry.valid_from", "_entry.action", F.coalesce(F.col("_entry.action") == "block", F.lit(False)).alias("blocked"))
+    row = unused("_row", kept)
+    # Written first: a lost task must not number the rows otherwise.
+    base = written(captures.select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(row)))
+    kind = base.schema["fetched"].dataType
+    number = lambda at: _scale(at, kind)
+    low, high = base.agg(F.min(number(F.col("fetched"))), F.max(number(F.col("fetched")))).first()
+    width = ((high or 0) - (low or 0)) / BUCKETS or 1
+    span = lambda at: F.least(F.lit(BUCKETS - 1), F.floor((number(at) - F.lit(low or 0)) / F.lit(width)))
+    known = intervals(entries).select("host", "path", F.col("valid_from").cast(kind).alias("valid_from"), F.col("valid_to").cast(kind).alias("valid_to"), "action")
+    first, last = F.greatest(F.lit(0), span(F.col("valid_from"))), F.coalesce(span(F.col("valid_to")), F.lit(BUCKETS - 1))
+    known = known.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    spans = known.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "valid_from", "valid_to", "action", F.explode(F.sequence("_first", "_last")).alias("_span"))
+    # Names of fewer labels or more parts than any listed one can't meet an entry: they aren't shuffled.
+    labels, parts = known.agg(F.coalesce(F.min(F.when(~F.col("host").rlike(ADDRESS), F.size(F.split("host", r"\.")))), F.lit(1)), F.coalesce(F.max(F.size(F.split("path", "/"))), F.lit(1))).first()
+    paths = F.slice(beginnings("path"), 1, parts) if "path" in entries.columns and "path" in kept else F.array(F.lit(""))
+    names = F.when(F.col("host").rlike(ADDRESS), domains("host")).otherwise(F.filter(domains("host"), lambda d: F.size(F.split(d, r"\.")) >= labels))
+    named = base.where("host is not null and fetched is not null").select(F.col(row).alias("_row"), F.col("fetched").alias("_at"), F.explode(names).alias("_d"), paths.alias("_paths"))
+    named = named.select("_row", "_at", "_d", F.explode("_paths").alias("_p"), span(F.col("_at")).alias("_s"))
+    same = (F.col("_d") == F.col("_host")) & (F.col("_p") == F.col("_path")) & (F.col("_s") == F.col("_span"))
+    met = named.join(spans, same & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
+    best = met.groupBy("_row").agg(F.max(F.struct(F.length("_host").alias("h"), F.length("_path").alias("p"), "valid_from", "action")).alias("_entry"))
+    told = best.select(F.col("_row").alias(row), "_entry.valid_from", "_entry.action")
+    return base.join(told, row, "left").select(*(F.col(f"`{c}`") for c in kept), "valid_from", "action", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
 
 
 def _number(text: Column) -> Column:

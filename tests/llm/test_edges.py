@@ -169,6 +169,19 @@ def test_list_join_over_spans_of_time_is_that_of_brute_force(spark):
     assert urlfilter.judge(spark.createDataFrame([], "id long, host string, path string, fetched long"), spark.createDataFrame(entries, "host string, path string, at long, action string")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp", "double"])
+def test_url_filter_takes_any_time(spark, kind):
+    captures = spark.createDataFrame([(i, ["a.example.com", "b.example.com", "com", "10.0.0.1", None][i % 5], i * 7 % 60 if i % 11 else None) for i in range(200)], "id long, host string, t int")
+    entries = spark.createDataFrame([("example.com", 10, "block"), ("example.com", 20, "allow"), ("a.example.com", 15, "block"), ("10.0.0.1", 0, "block"), ("b.example.com", None, "block"), ("b.example.com", 59, "block")], "host string, t int, action string")
+    times = {"date": "date_add(DATE'2024-01-01', t)", "timestamp": "TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, t)", "timestamp_ntz": "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, t)", "double": "t / 7D", "int": "t"}
+    told = lambda at: urlfilter.judge(captures.withColumn("fetched", F.expr(at)), entries.withColumn("at", F.expr(at)).drop("t")).select("id", "action", "blocked").collect()
+    want = {}
+    for r in captures.collect():
+        held = [(len(h), t, a) for h, t, a in [tuple(x) for x in entries.collect()] if r.host and r.t is not None and t is not None and t <= r.t and (r.host == h or r.host.endswith("." + h))]
+        want[r.id] = max(held)[2] if held else None
+    assert {r.id: r.action for r in told(times[kind])} == want
+
+
 def test_phrases_in_several_blocks_are_those_of_one(spark, odd, bench, monkeypatch):
     docs = odd.select("doc_id", "text")
     once = sorted(map(str, fmindex.find_leaks(docs, bench).collect()))
