@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from brasswell.functions.hashes import once
+
 #: Up to so many components a vector is stored in bytes, else in floats.
 BYTES = 512
 
@@ -21,11 +23,13 @@ def encode_bytes(v: Column) -> Column:
 
 def decode_bytes(text: Column) -> Column:
     """Components from -1 to 1 in steps of 1/127."""
-    plain = F.hex(F.unbase64(text))
-    value = lambda k: F.conv(F.substr(plain, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     signed = lambda b: (F.when(b > 127, b - 256).otherwise(b)) / 127.0
-    steps = F.sequence(F.lit(0), (F.length(plain) / 2 - 1).cast("int"))
-    return F.transform(F.transform(steps, value), signed)
+
+    def values(plain: Column) -> Column:
+        value = lambda k: F.conv(F.substr(plain, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return F.transform(F.transform(F.sequence(F.lit(0), (F.length(plain) / 2 - 1).cast("int")), value), signed)
+
+    return once(F.hex(F.unbase64(text)), values)
 
 
 @F.pandas_udf(StringType())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 FAR = 2147483647
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with the value computed once however often it is used."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -24,7 +24,7 @@ def bits_hex(bits: Column) -> Column:
         digit = lambda k: F.lower(F.hex((one(k, 1, 8) + one(k, 2, 4) + one(k, 3, 2) + one(k, 4, 1)).cast("long")))
         return F.array_join(F.transform(F.sequence(F.lit(0), (F.size(b) / 4 - 1).cast("int")), digit), "")
 
-    return _once(bits, told)
+    return once(bits, told)
 
 
 def bits_longs(bits: Column) -> Column:
@@ -35,7 +35,7 @@ def bits_longs(bits: Column) -> Column:
         packed = lambda k: F.aggregate(F.slice(b, (64 * k + 1).cast("int"), F.lit(64)), F.lit(0).cast("long"), shifted)
         return F.transform(F.sequence(F.lit(0), (F.size(b) / 64 - 1).cast("int")), packed)
 
-    return _once(bits, told)
+    return once(bits, told)
 
 
 def hamming(a: Column, b: Column) -> Column:

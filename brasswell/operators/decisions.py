@@ -69,6 +69,11 @@ def signals(pairs: DataFrame) -> DataFrame:
     distance = hash_distance(F.col("dh"), F.col("ph"))
     claim = F.when(near_duplicate(F.col("dh"), F.col("ph"), F.col("ah"), F.col("structure")).isNotNull(), distance)
     best = pairs.groupBy("query", "product").agg(F.max("dot").alias("dot"), F.max("structure").alias("structure"), F.min(distance).alias("distance"), F.min(claim).alias("claim"))
+    return agreed(best)
+
+
+def agreed(best: DataFrame) -> DataFrame:
+    """The agreements from query, product, claim and the best dot, structure and distance."""
     hashed = F.greatest(F.lit(0.0), 1 - F.col("distance"))
     return best.select("query", "product", clamped(F.coalesce("dot", F.lit(0.0)), 0.0, 1.0).alias("vector"), F.coalesce("structure", F.lit(0.0)).alias("structure"), F.coalesce(hashed, F.lit(0.0)).alias("hash"), "claim")
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brasswell.functions.hashes import once
+
 #: Rows of either side in a block, by expectation.
 BLOCK = 1000
 
@@ -17,7 +19,7 @@ BLOCK = 1000
 def normalised(v: Column) -> Column:
     """The vector with length one; one of a length up to 1e-9 stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 1e-9, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return once(norm, lambda n: F.transform(v, lambda x: F.when(n > 1e-9, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def against(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:

@@ -20,9 +20,8 @@ PRODUCTS = f"(SELECT {_P} FROM part)"
 
 
 def products(spark, sf_dir) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    base = part.selectExpr(*(x.strip() for x in _split(_P)))
-    return base.join(part.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tags"), F.array(F.struct(F.lit("type").alias("key"), F.lower("p_type").alias("value"))).alias("specs")), "id")
+    columns = [x.strip() for x in _split(_P)]
+    return table(spark, sf_dir, "part").selectExpr(*columns, "split(p_name, ' ') AS tags", "array(struct('type' AS key, lower(p_type) AS value)) AS specs")
 
 
 def _split(columns: str) -> list[str]:

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasswell.functions.columns import clamped, comparable_dot, cosine, dot
-from brasswell.functions.hashes import bits_hex, bits_longs, hamming_hex
+from brasswell.functions.hashes import bits_hex, bits_longs, hamming_hex, once
 from brasswell.operators import decisions
+from brasswell.operators.signals import agreements
 from brasswell.operators.vectors import against, best_per_product, nearest, normalised
 from brasswell.plans.registry import query, table
+from brasswell.sources.storage import stored as in_table
 
 LAGS = (1, 2, 3, 5)
 PARTS = ("aspect", "fill", "holes", "comps", "orientation", "radial", "density")
@@ -41,7 +43,7 @@ def bits(v: Column) -> dict[str, Column]:
     steps = F.sequence(F.lit(0), F.size(v) - 1)
     lag = lambda k: F.transform(steps, lambda i: (at(i) > at((i + k) % F.size(v))).cast("int"))
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    return {"dh": F.concat(*(lag(k) for k in LAGS)), "ph": F.transform(v, lambda x: (x > mean).cast("int")), "ah": F.transform(v, lambda x: (x > 0).cast("int"))}
+    return {"dh": F.concat(*(lag(k) for k in LAGS)), "ph": once(mean, lambda m: F.transform(v, lambda x: (x > m).cast("int"))), "ah": F.transform(v, lambda x: (x > 0).cast("int"))}
 
 
 def signature(v: Column) -> Column:
@@ -60,8 +62,15 @@ def pairs(spark, sf_dir) -> DataFrame:
     return met.select("query", "product", "vec_id", comparable_dot(F.col("e"), F.col("q")).alias("dot"), agreement.alias("structure"), *apart.values())
 
 
-def scored(spark, sf_dir) -> DataFrame:
-    return decisions.scored(decisions.signals(pairs(spark, sf_dir)))
+def signals(spark, sf_dir) -> DataFrame:
+    signed = lambda df: df.withColumn("s", signature(F.col("e")))
+    return agreements(signed(stored(spark, sf_dir)), signed(asked(spark, sf_dir)))
+
+
+def scored(spark, sf_dir, again: bool = False) -> DataFrame:
+    """again: written first, for plans that read them more than once."""
+    rows = decisions.scored(signals(spark, sf_dir))
+    return in_table(rows) if again else rows
 
 
 _E = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings"
@@ -160,18 +169,18 @@ def jn02_view_pairs(spark, sf_dir):
 
 @query(_WITH + "SELECT query, product, round(structure, 6) AS structure FROM signals")
 def strc01_structure(spark, sf_dir):
-    return decisions.signals(pairs(spark, sf_dir)).select("query", "product", F.round("structure", 6).alias("structure"))
+    return signals(spark, sf_dir).select("query", "product", F.round("structure", 6).alias("structure"))
 
 
 @query(_WITH + "SELECT query, product, round(hash, 6) AS hash FROM signals")
 def rrk01_hash_similarity(spark, sf_dir):
-    return decisions.signals(pairs(spark, sf_dir)).select("query", "product", F.round("hash", 6).alias("hash"))
+    return signals(spark, sf_dir).select("query", "product", F.round("hash", 6).alias("hash"))
 
 
 @query(_WITH + "SELECT query, product, round(0.32::DOUBLE * vector + 0.34::DOUBLE * structure + 0.34::DOUBLE * hash, 6) AS local, round(0.5::DOUBLE * vector + 0.25::DOUBLE * structure + 0.25::DOUBLE * hash, 6) AS other, round(0.78::DOUBLE * vector + 0.1::DOUBLE * structure + 0.12::DOUBLE * hash, 6) AS remote FROM signals")
 def rrk02_fusion(spark, sf_dir):
     one = lambda p: F.round(decisions.fused(F.col("vector"), F.col("structure"), F.col("hash"), p), 6).alias(p)
-    return decisions.signals(pairs(spark, sf_dir)).select("query", "product", *(one(p) for p in decisions.WEIGHTS))
+    return signals(spark, sf_dir).select("query", "product", *(one(p) for p in decisions.WEIGHTS))
 
 
 @query(_WITH + f"SELECT query, product, round(combined, 6) AS combined FROM scored WHERE combined >= {GATE} OR vector >= 0.6")
@@ -193,12 +202,12 @@ def dec02_claims(spark, sf_dir):
 
 @query(_WITH + "SELECT query, claimants, winner, round(rival, 6) AS rival, exact FROM exact")
 def dec03_exact_guard(spark, sf_dir):
-    return decisions.guarded(scored(spark, sf_dir)).select("query", "claimants", "winner", F.round("rival", 6).alias("rival"), "exact")
+    return decisions.guarded(scored(spark, sf_dir, again=True)).select("query", "claimants", "winner", F.round("rival", 6).alias("rival"), "exact")
 
 
 @query(_WITH + "SELECT query, winner, round(rival, 6) AS rival FROM guarded WHERE winner IS NOT NULL")
 def agg07_runner_up(spark, sf_dir):
-    return decisions.guarded(scored(spark, sf_dir)).where("winner is not null").select("query", "winner", F.round("rival", 6).alias("rival"))
+    return decisions.guarded(scored(spark, sf_dir, again=True)).where("winner is not null").select("query", "winner", F.round("rival", 6).alias("rival"))
 
 
 @query(_WITH + "SELECT query, product, rank FROM shown")
@@ -208,13 +217,13 @@ def set04_two_floors(spark, sf_dir):
 
 @query(_WITH + "SELECT e.query, CASE WHEN exact THEN 'EXACT' WHEN coalesce(n, 0) > 0 THEN 'SIMILAR' ELSE 'NO_MATCH' END AS verdict, CASE WHEN exact THEN winner END AS exact_product, CASE WHEN exact THEN 1 ELSE coalesce(n, 0) END AS shown FROM exact e LEFT JOIN (SELECT query, count(*) AS n FROM shown GROUP BY query) k ON e.query = k.query")
 def dec05_verdict(spark, sf_dir):
-    return decisions.decided(scored(spark, sf_dir), FLOOR, FILL, LEAST, MOST)
+    return decisions.decided(scored(spark, sf_dir, again=True), FLOOR, FILL, LEAST, MOST)
 
 
 @query(_WITH + "SELECT query, product, rank FROM shown WHERE query IN (SELECT query FROM exact WHERE NOT exact)")
 def flt18_response(spark, sf_dir):
     """What a user sees of similar products: no scores."""
-    rows = scored(spark, sf_dir)
+    rows = scored(spark, sf_dir, again=True)
     open_ = decisions.guarded(rows).where("not exact").select("query")
     return decisions.similar_fill(rows, FLOOR, FILL, LEAST, MOST).join(open_, "query", "left_semi").select("query", "product", "rank")
 
@@ -241,15 +250,15 @@ def win03_rank_of_true(spark, sf_dir):
 _TRUE = "SELECT query, query % 40 = 20 AS distorted, min(rank) FILTER (product = query % 25) AS place FROM scored GROUP BY query"
 
 
-def true_ranks(spark, sf_dir) -> DataFrame:
+def true_ranks(rows: DataFrame) -> DataFrame:
     place = F.min(F.when(F.col("product") == F.col("query") % 25, F.col("rank")))
-    return scored(spark, sf_dir).groupBy("query", (F.col("query") % 40 == 20).alias("distorted")).agg(place.alias("place"))
+    return rows.groupBy("query", (F.col("query") % 40 == 20).alias("distorted")).agg(place.alias("place"))
 
 
 @query(_WITH + f"SELECT distorted, count(*) AS n, count_if(place = 1) AS top1, count_if(place <= 3) AS top3, count_if(place <= 6) AS top6, count_if(exact AND winner = query % 25) AS exact_right, count_if(exact AND winner <> query % 25) AS exact_wrong FROM ({_TRUE}) JOIN exact USING (query) GROUP BY distorted")
 def agg14_kpis(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    both = true_ranks(spark, sf_dir).join(decisions.guarded(rows), "query")
+    rows = scored(spark, sf_dir, again=True)
+    both = true_ranks(rows).join(decisions.guarded(rows), "query")
     hit = lambda k: F.count_if(F.col("place") <= k)
     right = F.col("winner") == F.col("query") % 25
     return both.groupBy("distorted").agg(F.count("*").alias("n"), hit(1).alias("top1"), hit(3).alias("top3"), hit(6).alias("top6"), F.count_if(F.col("exact") & right).alias("exact_right"), F.count_if(F.col("exact") & ~right).alias("exact_wrong"))
@@ -258,7 +267,7 @@ def agg14_kpis(spark, sf_dir):
 @query(_WITH + f"SELECT distorted, count(*) AS n, round(avg((place = 1)::INT), 3) AS passed FROM ({_TRUE}) WHERE (query // 20) % 3 = 0 GROUP BY distorted")
 def agg13_self_test(spark, sf_dir):
     """Every third shot is tested: the share whose first product is the true one, to three places."""
-    sample = true_ranks(spark, sf_dir).where(F.floor(F.col("query") / 20) % 3 == 0)
+    sample = true_ranks(scored(spark, sf_dir)).where(F.floor(F.col("query") / 20) % 3 == 0)
     return sample.groupBy("distorted").agg(F.count("*").alias("n"), F.round(F.avg((F.col("place") == 1).cast("double")), 3).alias("passed"))
 
 
@@ -277,7 +286,7 @@ def agg17_weight_sweep(spark, sf_dir):
     """Mean place of the true product under each combination of weights; 150 where it isn't in the list."""
     total = lambda w: F.round(sum((F.col(c) * F.lit(k) for c, k in zip(("structure", "hash"), w[1:], strict=True)), F.col("vector") * F.lit(w[0])), 9)
     combos = F.explode(F.array(*(F.struct(F.lit(i).alias("combo"), total(w).alias("score")) for i, w in enumerate(_COMBOS))))
-    rows = decisions.signals(pairs(spark, sf_dir)).select("query", "product", combos.alias("c")).select("query", "product", "c.*")
+    rows = signals(spark, sf_dir).select("query", "product", combos.alias("c")).select("query", "product", "c.*")
     rank = F.row_number().over(Window.partitionBy("combo", "query").orderBy(F.desc("score"), "product"))
     places = rows.withColumn("rank", rank).groupBy("combo", "query").agg(F.min(F.when(F.col("product") == F.col("query") % 27, F.col("rank"))).alias("place"))
     return places.groupBy("combo", (F.col("query") % 40 == 20).alias("distorted")).agg(F.round(F.avg(F.coalesce("place", F.lit(150))), 4).alias("mean_rank"))
