@@ -10,6 +10,7 @@ from brasswell.functions.text import falsy, natural
 from brasswell.operators.filters import members, searched, stock_is, where_all
 from brasswell.operators.ranking import first_of
 from brasswell.operators.shelves import filled
+from brasswell.operators.substrings import containing, first_containing
 from brasswell.plans.registry import query, table
 
 #: Products as shops show them; the same text is the SQL.
@@ -249,13 +250,17 @@ def jn11_range_join(spark, sf_dir):
     return both.select("p_partkey", F.coalesce("n_nationkey", F.col("p_partkey") % 3).cast("int").alias("domain"))
 
 
-@query("SELECT o_orderkey, e.event_id FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 50 = 1) JOIN events e ON e.user_id = o_custkey OR TRY_CAST(json_extract_string(e.props, '$.k') AS BIGINT) = o_orderkey")
+_MESSAGE = "event_type || ' order ' || lpad(CAST(event_id * 7 % 100000 AS STRING), 5, '0') || ' by ' || CAST(user_id AS STRING) || ' ' || props"
+
+
+@query(f"WITH m AS (SELECT event_id, user_id, {_MESSAGE} AS message FROM events) SELECT o_orderkey, event_id FROM orders, m WHERE user_id = o_custkey OR contains(message, lpad(o_orderkey::VARCHAR, 5, '0'))")
 def jn12_either_key(spark, sf_dir):
-    """Log entries of the order's customer or naming the order: two equal-key joins, and each pair once."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select("o_orderkey", "o_custkey").distinct()
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("named"))
+    """Log entries of the order's customer, or whose message contains the order's code: an equal-key join and a substring join, and each pair once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lpad(F.col("o_orderkey").cast("string"), 5, "0").alias("code"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr(_MESSAGE).alias("message"))
     by_user = orders.join(events, F.col("o_custkey") == F.col("user_id")).select("o_orderkey", "event_id")
-    return by_user.union(orders.join(events, F.col("o_orderkey") == F.col("named")).select("o_orderkey", "event_id")).distinct()
+    named = containing(events.select("event_id", "message"), "message", orders.select("o_orderkey", "code"), "code")
+    return by_user.union(named.select("o_orderkey", "event_id")).distinct()
 
 
 @query("WITH k AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'AT-P-' || (p_partkey + 1)::VARCHAR WHEN 1 THEN 'at-p-' || (p_partkey + 1)::VARCHAR WHEN 2 THEN 'atp' || p_partkey::VARCHAR ELSE 'no' || p_partkey::VARCHAR END AS asked FROM part), p AS " + PRODUCTS + " SELECT p_partkey, coalesce((SELECT min(id) FROM p WHERE code = asked), (SELECT min(id) FROM p WHERE lower(code) = lower(asked)), (SELECT min(id) FROM p WHERE replace(lower(code), '-', '') = replace(lower(asked), '-', ''))) AS found FROM k")
@@ -282,6 +287,30 @@ def jn14_fallback_by_tail(spark, sf_dir):
     return both.select("s_suppkey", F.coalesce("first", "second").alias("c_custkey"))
 
 
+_ASKED = "CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' || lpad(CAST(s_suppkey AS STRING), 9, '0') ELSE CAST(s_suppkey * 7 AS STRING) END"
+
+
+@query(f"WITH k AS (SELECT s_suppkey, {_ASKED} AS asked FROM supplier) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM customer WHERE c_name = asked), (SELECT min(c_custkey) FROM customer WHERE contains(c_name, asked))) AS c_custkey FROM k")
+def jn14_fallback_by_substring(spark, sf_dir):
+    """By the whole name; who isn't found so, by the first name that contains what is asked for."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_ASKED).alias("asked"))
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    exact = rows.join(people.groupBy(F.col("c_name").alias("asked")).agg(F.min("c_custkey").alias("first")), "asked", "left")
+    second = first_containing(exact.where("first is null"), "s_suppkey", "asked", people, "c_name", "c_custkey")
+    return exact.join(second, "s_suppkey", "left").select("s_suppkey", F.coalesce("first", "c_custkey").alias("c_custkey"))
+
+
+_WORDS = "SELECT n_nationkey AS word_id, lower(substr(n_name, 1 + CAST(n_nationkey % 3 AS INT), 4)) AS word FROM nation UNION ALL SELECT 1000 + s_suppkey, lower(right(s_name, 2)) FROM supplier"
+
+
+@query(f"WITH w AS ({_WORDS}) SELECT word_id, p_partkey AS id FROM w, part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), word) UNION ALL SELECT word_id, 1000000 + c_custkey FROM w, customer WHERE contains(lower(c_name || ' ' || c_mktsegment), word)")
+def flt04_texts_of_words(spark, sf_dir):
+    """Many searches at once: all products and customers whose text contains each of a table of words, in any case."""
+    words = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS word_id", "lower(substr(n_name, 1 + CAST(n_nationkey % 3 AS INT), 4)) AS word").union(table(spark, sf_dir, "supplier").selectExpr("1000 + s_suppkey", "lower(right(s_name, 2))"))
+    texts = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "lower(p_name || ' ' || p_brand || ' ' || p_type) AS told").union(table(spark, sf_dir, "customer").selectExpr("1000000 + c_custkey", "lower(c_name || ' ' || c_mktsegment)"))
+    return containing(texts, "told", words, "word").select("word_id", "id")
+
+
 @query("SELECT p_partkey, r_name, coalesce(n_name, '-') AS legacy FROM part JOIN region ON (p_partkey + 4) % 5 = r_regionkey LEFT JOIN nation ON n_nationkey = p_partkey")
 def jn15_round_robin(spark, sf_dir):
     """Rows dealt over definitions in turn, with what an older table has for the same key."""

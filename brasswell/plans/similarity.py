@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brasswell.functions.columns import clamped, comparable_dot, cosine, dot
 from brasswell.functions.hashes import bits_hex, bits_longs, hamming_hex, once
 from brasswell.operators import decisions
+from brasswell.operators.hamming import within
 from brasswell.operators.signals import agreements
 from brasswell.operators.vectors import against, best_per_product, nearest, normalised
 from brasswell.plans.registry import query, table
@@ -194,6 +195,17 @@ def dec01_near_duplicate(spark, sf_dir):
     return pairs(spark, sf_dir).where("dh <= 64").select("query", "vec_id", "product", path.alias("path"))
 
 
+@query(_WITH + ", d AS (SELECT query, vec_id, product, dh FROM pairs WHERE dh <= 20) SELECT query, vec_id, product, CAST(dh AS BIGINT) AS distance, (SELECT min(dh) FROM d e WHERE e.query = d.query) = dh AS nearest FROM d")
+def dec01_hashes_in_radius(spark, sf_dir):
+    """Stored images whose gradient hash lies within the widest radius of a near-duplicate, by the pieces that the hashes share."""
+    hashed = lambda df, i, h: df.select(F.col(i), bits_longs(bits(F.col("e"))["dh"]).alias(h))
+    rows = stored(spark, sf_dir)
+    found = within(hashed(rows, "vec_id", "hash").withColumnRenamed("vec_id", "id"), hashed(asked(spark, sf_dir), "query", "asked"), 256, decisions.RESCALED[0])
+    least = found.groupBy("query").agg(F.min("distance").alias("least"))
+    named = found.join(least, "query").join(rows.select(F.col("vec_id").alias("id"), "product"), "id")
+    return named.select("query", F.col("id").alias("vec_id"), "product", "distance", (F.col("distance") == F.col("least")).alias("nearest"))
+
+
 @query(_WITH + "SELECT query, product, row_number() OVER (PARTITION BY query ORDER BY rank) AS claim, round(claim, 6) AS distance FROM scored WHERE claim IS NOT NULL")
 def dec02_claims(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
