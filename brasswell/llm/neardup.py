@@ -34,8 +34,8 @@ from brasswell.llm.wordhash import mix, shingled, words_of
 SLOTS, ROWS = 80, 4
 BANDS = SLOTS // ROWS
 WIDTH, PERCENT = 3, 85
-#: Up to so many ids (about 40 MB) are sent to all tasks; more meet the documents in a shuffle.
-FEW = 1 << 20
+#: Bits of the filter by which documents are told that surely share no bucket; it is sent to all tasks in words, 2**20 rows at most.
+FILTER = 1 << 26
 
 
 def _times_gold(n: int) -> np.uint64:
@@ -140,6 +140,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         said = now
 
 
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) whose id is among ids. A filter of a bit for each id's hash goes before the join, so that few texts of others are shuffled;
+    the more ids there are, the more of those pass it, at last all."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("mask"))
+    marked = docs.withColumns({"word": F.shiftright(bit, 6), "own": F.expr(f"shiftleft(1L, int(pmod(xxhash64(cast(doc_id AS bigint)), {FILTER}L) & 63))")})
+    passed = marked.join(F.broadcast(words), "word").where(F.col("mask").bitwiseAND(F.col("own")) != 0)
+    return passed.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
 def grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
     """rows (doc_id) with g, the document's group so far."""
     return rows.join(group, rows.doc_id == group.node, "left").withColumn("g", F.coalesce("component", "doc_id")).drop("node", "component")
@@ -208,8 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     buckets = buckets.join(rank, "doc_id").select("key", "doc_id", "size", F.floor(F.col("size") * 100 / percent + 1e-6).cast("long").alias("cap"), "rank")
     buckets = scratch.keep("ranked", buckets)
     scratch.drop("buckets")
-    ids = buckets.select("doc_id").distinct()
-    met = docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+    met = of_ids(docs.select("doc_id", "text"), buckets.select("doc_id").distinct())
     sets = scratch.keep("sets", shingle_sets(met, full=True, width=width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "shingles"))
     links = spark.createDataFrame([], "a long, b long")
     group = spark.createDataFrame([], "node long, component long")

@@ -361,3 +361,12 @@ def test_empty_tables(spark, empty):
 def test_words():
     w = words_of(["Ab cd", "", "ab"], NOT_ALNUM)
     assert w.bounds.tolist() == [0, 2, 2, 3] and w.hashes[0] == w.hashes[2]
+
+
+def test_filter_keeps_all_ids(spark, monkeypatch):
+    from brasswell.llm import neardup
+
+    monkeypatch.setattr(neardup, "FILTER", 256)
+    docs = spark.range(2000).selectExpr("cast(id as int) AS doc_id", "string(id) AS text")
+    got = neardup.of_ids(docs, spark.range(0, 2000, 7).toDF("doc_id"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 2000, 7))
