@@ -11,6 +11,8 @@ from brasswell.operators import merging
 from brasswell.plans.loads import IMPORT, import_text
 from brasswell.plans.registry import query, table
 from brasswell.sources import readers
+from brasswell.sources.generations import PartedTable
+from brasswell.sources.storage import new_path
 
 
 def customers(spark, sf_dir, *columns: str) -> DataFrame:
@@ -33,6 +35,15 @@ def dml02_delete_counted(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("before"), F.count_if(~gone).alias("left_over"), F.count_if(gone).alias("removed"))
 
 
+@query("SELECT l_suppkey % 10 AS supplier, count(*) AS n, (SELECT count(*) FROM lineitem WHERE l_suppkey % 10 = 7 OR l_partkey % 50 = 3) AS removed FROM lineitem WHERE NOT (l_suppkey % 10 = 7 OR l_partkey % 50 = 3) GROUP BY 1")
+def dml02_delete_stored(spark, sf_dir):
+    """Entries of some products and images go from a stored table, of which only the touched parts are written anew; how many went comes back."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    index = PartedTable(spark, new_path(spark), "l_partkey").create(rows)
+    removed = index.delete(F.col("l_partkey") % 50 == 3) + index.delete(F.col("l_suppkey") % 10 == 7)
+    return index.read().groupBy((F.col("l_suppkey") % 10).alias("supplier")).agg(F.count("*").alias("n")).withColumn("removed", F.lit(removed).cast("long"))
+
+
 @query("SELECT n_nationkey, n_name, n_nationkey::BIGINT AS ord FROM nation WHERE n_regionkey > 0 UNION ALL SELECT n_nationkey, lower(n_name), n_nationkey FROM nation WHERE n_regionkey = 0 UNION ALL SELECT r_regionkey + 100, r_name, r_regionkey - 5 FROM region")
 def dml03_upsert_in_place(spark, sf_dir):
     """A replaced record keeps its place; new ones stand before all others."""
@@ -131,6 +142,17 @@ def dml10_reindex_one(spark, sf_dir):
     return left.join(one.select("image"), "image", "left_anti").unionByName(one)
 
 
+@query("WITH k AS (SELECT c_custkey, 'kept' AS how FROM customer WHERE c_custkey % 3 > 0) SELECT c_custkey, CASE WHEN c_custkey % 40 = 1 THEN 'again' ELSE how END AS how FROM k WHERE c_custkey % 90 <> 2 UNION ALL SELECT c_custkey, 'added' FROM customer WHERE c_custkey % 30 = 0 AND c_custkey NOT IN (SELECT c_custkey FROM k)")
+def dml10_entries_changed(spark, sf_dir):
+    """In a stored index some entries are removed, some made again, and images are added where there is no entry yet."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    index = PartedTable(spark, new_path(spark), "c_custkey").create(rows.where("c_custkey % 3 > 0").withColumn("how", F.lit("kept")))
+    index.delete(F.col("c_custkey") % 90 == 2)
+    index.upsert(rows.where("c_custkey % 40 = 1 and c_custkey % 3 > 0 and c_custkey % 90 <> 2").withColumn("how", F.lit("again")))
+    index.insert_absent(rows.where("c_custkey % 30 = 0 or c_custkey % 40 = 1 and c_custkey % 3 > 0 and c_custkey % 90 <> 2").withColumn("how", F.lit("added")))
+    return index.read()
+
+
 @query("SELECT CASE WHEN min(version) < 7 THEN 'rebuild' WHEN count(*) < expected THEN 'resume' ELSE 'valid' END AS state, product FROM (SELECT vec_id % 9 AS product, CASE WHEN vec_id = 4 THEN 6 ELSE 7 END AS version, 500 // 9 + 1 AS expected FROM embeddings) GROUP BY product, expected")
 def dml11_index_validity(spark, sf_dir):
     """Entries of an older format mean a rebuild, too few of them a resumed build."""
