@@ -180,7 +180,7 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id, size, cap, rank of the rarest elements of the sets (doc_id, shingles), by which alike sets must meet.
+    """key, doc_id, size, cap, rank of the rarest elements of the sets (num, doc_id, shingles), by which alike sets must meet.
 
     Elements are ordered by the number of these sets that hold them. If the first common element of two sets stands behind i others
     in one of size s, at most s - i are common, so the other's size can't exceed the cap (s - i) * (100 + percent) / percent - s. That cap is
@@ -190,17 +190,16 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         for batch in chunks(batches, "shingles"):
             raw = [np.frombuffer(x.as_buffer(), "<u8").view(np.int64) for x in batch.column("shingles")]
             times = np.array([len(r) for r in raw])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("own").to_numpy(), times)), pa.array(np.repeat(times, times)), pa.array(np.concatenate(raw))], ["own", "size", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("num").to_numpy(), times)), pa.array(np.repeat(times, times)), pa.array(np.concatenate(raw))], ["num", "size", "key"])
 
-    named = sets.withColumn("own", F.xxhash64("doc_id", "shingles"))
-    held = named.select("own", "shingles").mapInArrow(spread, "own long, size long, key long")
+    held = sets.select("num", "shingles").mapInArrow(spread, "num long, size long, key long")
     shared = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    mine = Window.partitionBy("own")
+    mine = Window.partitionBy("num")
     placed = held.join(shared, "key").withColumns({"k": F.row_number().over(mine.orderBy("n", "key")), "common": F.count("*").over(mine)})
     before = F.col("size") - F.col("common") + F.col("k") - 1
     cap = F.floor((F.col("size") - before) * (100 + percent) / percent - F.col("size") + 1e-6).cast("long")
-    placed = placed.select("key", "own", "size", cap.alias("cap"), F.negate(before).alias("rank")).where(F.col("cap") * 100 >= F.col("size") * percent)
-    return placed.join(named.select("own", "doc_id"), "own").select("key", "doc_id", "size", "cap", "rank")
+    placed = placed.select("key", "num", "size", cap.alias("cap"), F.negate(before).alias("rank")).where(F.col("cap") * 100 >= F.col("size") * percent)
+    return placed.join(sets.select("num", "doc_id"), "num").select("key", "doc_id", "size", "cap", "rank")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     buckets = scratch.keep("ranked", buckets)
     scratch.drop("buckets")
     met = of_ids(docs.select("doc_id", "text"), buckets.select("doc_id").distinct())
-    sets = scratch.keep("sets", shingle_sets(met, full=True, width=width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "shingles"))
+    sets = scratch.keep("sets", shingle_sets(met, full=True, width=width).dropDuplicates(["doc_id", "digest"]).select("doc_id", "shingles", F.monotonically_increasing_id().alias("num")))
     links = spark.createDataFrame([], "a long, b long")
     group = spark.createDataFrame([], "node long, component long")
 
