@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brasswell.functions.columns import half_up
 from brasswell.functions.text import falsy, natural
 from brasswell.operators.filters import members, searched, stock_is, where_all
+from brasswell.operators.ranges import holding
 from brasswell.operators.ranking import first_of
 from brasswell.operators.shelves import filled
 from brasswell.operators.substrings import containing, first_containing
@@ -250,6 +251,18 @@ def jn11_range_join(spark, sf_dir):
     return both.select("p_partkey", F.coalesce("n_nationkey", F.col("p_partkey") % 3).cast("int").alias("domain"))
 
 
+@query("WITH r AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS low, floor(o_totalprice)::BIGINT + o_orderkey % 40 + CASE WHEN o_orderkey % 500 = 0 THEN 3000 ELSE 0 END AS high FROM orders), p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice * 4)::BIGINT AS v FROM lineitem), m AS (SELECT v, max(o_orderkey) AS domain, count(*) AS domains FROM (SELECT DISTINCT v FROM p), r WHERE v BETWEEN low AND high GROUP BY v) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(domain, l_orderkey % 3) AS domain, coalesce(domains, 0) AS domains FROM p LEFT JOIN m USING (v)")
+def jn11_many_ranges(spark, sf_dir):
+    """The last of the orders' price ranges, narrow and wide, that holds a number, and how many do; one of three in turn where none does. Equal numbers ask once."""
+    low = F.floor("o_totalprice").cast("long")
+    wide = F.when(F.col("o_orderkey") % 500 == 0, 3000).otherwise(0)
+    ranges = table(spark, sf_dir, "orders").select("o_orderkey", low.alias("low"), (low + F.col("o_orderkey") % 40 + wide).alias("high"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 4).cast("long").alias("v"))
+    met = holding(lines.select("v").distinct(), "v", ranges, "low", "high").groupBy("v").agg(F.max("o_orderkey").alias("domain"), F.count("*").alias("domains"))
+    both = lines.join(met, "v", "left").drop("v")
+    return both.withColumns({"domain": F.coalesce("domain", F.col("l_orderkey") % 3), "domains": F.coalesce("domains", F.lit(0).cast("long"))})
+
+
 _MESSAGE = "event_type || ' order ' || lpad(CAST(event_id * 7 % 100000 AS STRING), 5, '0') || ' by ' || CAST(user_id AS STRING) || ' ' || props"
 
 

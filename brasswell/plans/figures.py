@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from brasswell.functions import text
 from brasswell.functions.columns import half_up, money
 from brasswell.operators import pricing
+from brasswell.operators.ledger import floored, guarded
+from brasswell.operators.orderstats import places
 from brasswell.operators.ranking import numbered
 from brasswell.plans.registry import query, table
 
@@ -272,6 +274,36 @@ def biz15_points_ledger(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.greatest(F.lit(0), total).cast("long").alias("earned"), F.greatest(F.lit(0), F.sum(gained - spent)).cast("long").alias("balance"), (total >= 500).alias("can_redeem"))
 
 
+_MOVES = "SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT WHEN event_type = 'click' THEN -floor(value)::BIGINT ELSE 0 END AS amount FROM events"
+_FOLD = "WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ({moves})), r AS (SELECT user_id, event_id, n, {first} FROM m WHERE n = 1 UNION ALL SELECT m.user_id, m.event_id, m.n, {next} FROM r JOIN m ON m.user_id = r.user_id AND m.n = r.n + 1) "
+
+
+def moves(spark, sf_dir):
+    """Points that purchases bring and clicks cost."""
+    points = F.floor("value").cast("long")
+    amount = F.when(F.col("event_type") == "purchase", points).when(F.col("event_type") == "click", -points).otherwise(F.lit(0).cast("long"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", amount.alias("amount"))
+
+
+@query(_FOLD.format(moves=_MOVES, first="greatest(0, amount) AS balance", next="greatest(0, r.balance + m.amount)") + "SELECT user_id, event_id, balance::BIGINT AS balance FROM r")
+def biz15_floored_balance(spark, sf_dir):
+    """The balance after each row, never below 0; a user's history is cut into hours."""
+    found = floored(moves(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("amount"), F.date_trunc("hour", "ts"))
+    return found.select("user_id", "event_id", F.col("balance").cast("long").alias("balance"))
+
+
+@query(_FOLD.format(moves=_MOVES, first="amount >= 0 AS accepted, greatest(0, amount) AS balance", next="m.amount >= 0 OR r.balance + m.amount >= 0, CASE WHEN m.amount >= 0 OR r.balance + m.amount >= 0 THEN r.balance + m.amount ELSE r.balance END") + "SELECT user_id, event_id, accepted, balance::BIGINT AS balance FROM r")
+def biz15_guarded_ledger(spark, sf_dir):
+    """A redemption that the balance doesn't cover is refused and leaves no trace in the balance."""
+    return guarded(moves(spark, sf_dir), "user_id", ["ts", "event_id"], F.col("amount")).select("user_id", "event_id", "accepted", "balance")
+
+
+@query("WITH s AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, name, v AS l_extendedprice FROM s JOIN (VALUES ('low', 0.02::DOUBLE), ('upper_median', 0.5), ('high', 0.98)) w(name, share) ON k = least(floor(n * share), n - 1)")
+def agg22_group_order_statistics(spark, sf_dir):
+    """Exact places in groups of any size; no group is sorted or listed."""
+    return places(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"low": 0.02, "upper_median": 0.5, "high": 0.98})
+
+
 @query("SELECT p_type, p_partkey, rank, margin FROM (SELECT p_type, p_partkey, row_number() OVER w AS rank, p_retailprice - lead(p_retailprice) OVER w AS margin FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey)) WHERE rank <= 10")
 def win10_rank_margin(spark, sf_dir):
     """The ten dearest of each category and their lead over the next; salted parts of a category give their eleven dearest first."""
