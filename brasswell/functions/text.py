@@ -56,3 +56,30 @@ def natural(text: Column) -> Column:
 def falsy(value: Column, other: Column) -> Column:
     """The value unless it is null or 0."""
     return F.coalesce(F.nullif(value, F.lit(0)), other)
+
+
+#: Fixed value: mixed into the second half of a point's id.
+POINT_MIX = 0x9E3779B9
+
+
+def signed_hash(text: Column) -> Column:
+    """The signed 32-bit hash that takes 31 times itself plus the next UTF-16 unit."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
+    unsigned = F.aggregate(units, F.lit(0).cast("long"), lambda s, u: (s * 31 + F.conv(u, 16, 10).cast("long")) % 4294967296)
+    return _signed(unsigned)
+
+
+def _signed(value: Column) -> Column:
+    return F.pmod(value + 2147483648, F.lit(4294967296)) - 2147483648
+
+
+def point_id(text: Column) -> Column:
+    """The stable id, in the form of a UUID, under which a vector database keeps a text's point."""
+    h = signed_hash(text)
+    hex_of = lambda v, n: F.lpad(F.lower(F.hex(F.abs(v))), n, "0")
+    return F.concat(hex_of(h, 8), F.lit("-0000-4000-8000-"), hex_of(_signed(h.bitwiseXOR(F.lit(POINT_MIX))), 12))
+
+
+def collated(text: Column, locale: str = "fa") -> Column:
+    """A sort key in a language's own order of letters, with runs of digits as numbers."""
+    return F.collate(natural(text), locale)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from brasswell.functions.columns import half_up, stepped
 from brasswell.functions.text import falsy
 from brasswell.operators import merging
-from brasswell.plans.loads import IMPORT, import_text
+from brasswell.plans.loads import IMPORT, import_files, import_text
 from brasswell.plans.registry import query, table
 from brasswell.sources import readers
 from brasswell.sources.generations import PartedTable
-from brasswell.sources.storage import new_path
+from brasswell.sources.lines import imported_files
+from brasswell.sources.storage import new_path, stored_counted
 
 
 def customers(spark, sf_dir, *columns: str) -> DataFrame:
@@ -116,6 +117,16 @@ def agg11_import_report(spark, sf_dir):
     return classified(spark, sf_dir).agg(F.count("*").alias("total"), number("new").alias("new"), number("update").alias("updated"), number("error").alias("errors"))
 
 
+@query(_CLASS + " SELECT count(*) AS total, count_if(status = 'new')::BIGINT AS new, count_if(status = 'update')::BIGINT AS updated, count_if(status = 'error')::BIGINT AS errors, count_if(status <> 'error')::BIGINT AS written FROM c")
+def agg11_report_of_write(spark, sf_dir):
+    """Files are classified and written; the report comes with the write, which is the only pass."""
+    rows = merging.classified(imported_files(spark, import_files(spark, sf_dir)), old_products(spark, sf_dir))
+    number = lambda name, s: F.count_if(F.col("status") == s).alias(name)
+    written, report = stored_counted(rows, F.count("*").alias("total"), number("new", "new"), number("updated", "update"), number("errors", "error"))
+    told = [F.lit(report[n]).cast("long").alias(n) for n in ("total", "new", "updated", "errors")]
+    return written.where("status <> 'error'").agg(F.count("*").alias("written")).select(*told, "written")
+
+
 _INDEX = "WITH i AS (SELECT page_id, url AS image, substr(sha256(html), 1, 16) AS hash FROM pages), k AS (SELECT image, CASE WHEN page_id % 5 = 0 THEN 'older' ELSE hash END AS hash, page_id % 7 > 0 AS signed FROM i WHERE page_id % 3 > 0)"
 
 

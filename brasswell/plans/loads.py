@@ -10,6 +10,7 @@ from brasswell.operators.ranking import newest, numbered
 from brasswell.operators.vectors import normalised
 from brasswell.plans.registry import query, table
 from brasswell.sources import readers, storage
+from brasswell.sources.lines import imported_files
 
 #: A product's code: every third one has no mark before it.
 CODE = "CASE WHEN p_partkey % 3 = 0 THEN 'p-' || CAST(p_partkey AS STRING) ELSE 'AT-P-' || CAST(p_partkey AS STRING) END"
@@ -139,6 +140,16 @@ def import_text(spark, sf_dir) -> DataFrame:
     return lines.groupBy("p_brand").agg(F.concat(F.lit("code,name,brand,category,price,stock\r\n"), F.array_join(body, "\r\n")).alias("value"))
 
 
+def import_files(spark, sf_dir) -> str:
+    """The same texts as files, one for each brand, whose lines Spark reads in blocks."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.expr(_LINE.format(**_CELL)).alias("value"))
+    heads = part.select("p_brand").distinct().select("p_brand", F.lit(-1).cast("long"), F.lit("code,name,brand,category,price,stock"))
+    path = storage.new_path(spark)
+    rows = part.union(heads).withColumn("value", F.concat("value", F.lit("\r")))
+    rows.repartition("p_brand").sortWithinPartitions("p_brand", "k").select("p_brand", "value").write.option("lineSep", "\n").partitionBy("p_brand").text(path)
+    return path
+
+
 #: The import rows of the texts, as SQL.
 IMPORT = f"""SELECT n AS row_number, {_CELL["code"]} AS code, 'part ' || p_partkey::VARCHAR AS name, p_brand AS brand, p_type AS category, CASE WHEN p_partkey % 29 = 0 THEN 0 ELSE p_size * 10 + 5 END::BIGINT AS price, (p_partkey % 9)::BIGINT AS stock
   FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 17 <> 0) WHERE p_partkey % 19 <> 0"""
@@ -149,6 +160,12 @@ def src12_import_rows(spark, sf_dir):
     return readers.import_rows(import_text(spark, sf_dir))
 
 
+@query(IMPORT)
+def src12_import_files(spark, sf_dir):
+    """Rows of import files that many tasks read, numbered over blocks."""
+    return imported_files(spark, import_files(spark, sf_dir))
+
+
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 5 THEN 'stored' ELSE 'seed' END AS origin FROM nation WHERE n_nationkey < 10")
 def src13_stored_or_seed(spark, sf_dir):
     """Two tables of settings: one was stored before, the other comes from its seed."""

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brasswell.operators.ranking import newest
+
 #: Parts of a table by a hash of its key.
 PARTS = 64
 #: Generations that stay readable.
@@ -140,3 +142,8 @@ class PartedTable:
     def insert_absent(self, rows: DataFrame) -> None:
         """Rows whose key isn't there are added; the rows' keys are distinct."""
         self.change(rows, lambda old, new: old.unionByName(new.join(old, self.key, "left_anti")))
+
+
+def append_newest(log: Generations, rows: DataFrame, order: list[Column], most: int) -> None:
+    """A stored log gets more rows and keeps its newest: the next generation holds at most so many."""
+    log.commit(newest(log.read(rows.where("false")).unionByName(rows), order, most))

@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+from brasswell.sources.readers import read_or
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +32,22 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or new_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_counted(df: DataFrame, *counts: Column) -> tuple[DataFrame, dict]:
+    """stored() with counts of the rows written, taken in the same pass, without a second scan. They are taken in the stage that writes, whose tasks count once however
+    often they are tried, so df's shuffles all lie before it."""
+    seen = Observation()
+    rows = stored(df.observe(seen, *counts))
+    return rows, seen.get
+
+
+def stored_version(df: DataFrame, path: str, version: int) -> DataFrame:
+    """The rows as a version of a table; other versions stay where they are."""
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    return read_version(df.sparkSession, path, version, df.where("false"))
+
+
+def read_version(spark: SparkSession, path: str, version: int, empty: DataFrame) -> DataFrame:
+    """That version of a table; the empty table where only others, or none, were written. Files of other versions aren't read."""
+    return read_or(spark, f"{path}/version={version}", empty)
