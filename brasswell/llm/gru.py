@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy with a class-factored softmax, trained by truncated backpropagation.
 
-A token's probability is that of its class given the state, times that of the token in its class given the state. The classes are runs
-of the words by falling count; one more class holds all words outside the vocabulary, whose shares in it are fixed by their counts.
+A token's probability is that of its class given the state, times that of the token in its class given the state. The first classes are runs
+of the most frequent words by falling count. The classes behind them hold groups of rarer words, the last one all words that are in none: there
+only the class depends on the state, the words' shares in it are fixed by their counts. An id is a frequent word's or a group's.
 """
 
 from __future__ import annotations
@@ -17,19 +18,20 @@ LANES, UPDATES = 512, 128
 CASES = 8192
 
 
-def shapes(classes: int, size: int) -> dict[str, tuple[int, ...]]:
-    """classes of ``size`` words, then the class of all others; the embedding has a row for each word and one for all others."""
+def shapes(classes: int, size: int, groups: int) -> dict[str, tuple[int, ...]]:
+    """classes of ``size`` words, then the groups; the embedding has a row for each word and for each group."""
     h = HIDDEN
-    return {"emb": (classes * size + 1, h), "wx": (h, 3 * h), "bx": (3 * h,), "u": (h, 3 * h), "wc": (h, classes + 1), "bc": (classes + 1,), "ww": (classes, h, size), "bw": (classes, size)}
+    return {"emb": (classes * size + groups, h), "wx": (h, 3 * h), "bx": (3 * h,), "u": (h, 3 * h), "wc": (h, classes + groups), "bc": (classes + groups,), "ww": (classes, h, size), "bw": (classes, size)}
 
 
-def initial(counts: np.ndarray, others: float, classes: int, size: int) -> dict[str, np.ndarray]:
-    """Starts at the unigram distribution: counts of the classes' words (0: no such word), and of all others."""
-    rng = np.random.default_rng(7)
-    p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in shapes(classes, size).items()}
+def initial(counts: np.ndarray, groups: np.ndarray | float, classes: int, size: int) -> dict[str, np.ndarray]:
+    """Starts at the unigram distribution: counts of the classes' words (0: no such word), and of the groups, the last of which holds all others."""
+    rng, groups = np.random.default_rng(7), np.atleast_1d(groups)
+    p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in shapes(classes, size, len(groups)).items()}
     grid = counts.reshape(classes, size).astype(float)
     p["bw"] = np.where(grid > 0, np.log(np.maximum(grid, 1)), -30).astype(np.float32)
-    p["bc"] = np.log(np.append(grid.sum(axis=1), others) + 1).astype(np.float32)
+    held = np.concatenate((grid.sum(axis=1), groups[:-1]))
+    p["bc"] = np.append(np.where(held > 0, np.log(np.maximum(held, 1)), -30), np.log(groups[-1] + 1)).astype(np.float32)
     p["bx"][:] = 0
     p["wc"] *= 0
     p["ww"] *= 0
@@ -40,9 +42,9 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.reshape(-1) for v in p.values()])
 
 
-def unflat(v: np.ndarray, classes: int, size: int) -> dict[str, np.ndarray]:
+def unflat(v: np.ndarray, classes: int, size: int, groups: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in shapes(classes, size).items():
+    for k, s in shapes(classes, size, groups).items():
         out[k] = v[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
         at += int(np.prod(s))
     return out
@@ -77,10 +79,10 @@ def _softmax(x: np.ndarray, wanted: np.ndarray, grads: bool) -> tuple[np.ndarray
 
 def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = None):
     """Natural log-probabilities of the ids after the states h; with grads, adds to them and gives the states' gradients too."""
-    classes, learns = len(p["bc"]) - 1, grads is not None
+    classes, learns = len(p["bw"]), grads is not None
     order = np.argsort(ids, kind="stable")  # classes are runs of ids
     ids, h = ids[order], h[order]
-    c = ids // size
+    c = np.where(ids < classes * size, ids // size, ids - classes * (size - 1))
     score, d = _softmax(p["wc"].T @ h.T + p["bc"][:, None], c, learns)
     dh = None
     if learns:

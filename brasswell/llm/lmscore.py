@@ -1,13 +1,16 @@
 """LM scoring: word counts over the whole training part, a recurrent model trained on all of it, and whole documents scored.
 
 Counts are grouped by Spark over 64-bit word hashes. The ``FREQUENT`` most frequent words (a documented bound) go to the tasks with their counts,
-the first of them make the model's vocabulary; counts of all rarer words are joined. The model is trained by every task on its own training
-documents, and the tasks' weights are averaged by tokens; ``ROUNDS`` times, each time on another part of the documents and from the average
-before, which makes one pass over all of them. Scoring carries the state through the whole document.
+the first of them are predicted word by word, the others by groups; counts of all rarer words are joined. A document's mark is the one of the
+most frequent words that stands out most in it; a word's group is the mark among whose documents it stands out most, so groups follow what is
+written together (a language, a form). The number of groups grows with the root of the number of words. The model is trained by every task on
+its own training documents, and the tasks' weights are averaged by tokens; ``ROUNDS`` times, each time on another part of the documents and
+from the average before, which makes one pass over all of them. Scoring carries the state through the whole document.
 
 Null text counts as empty: the end alone. Null ids are in the training part by crc32 of the empty text. Repeated rows are counted and scored
-each (rows carry their own number); ids are whole numbers. Ties in counts go to the smaller hash. Texts of any length are read whole. Columns beside
-id and text aren't used; with no training documents the model is the untrained one and N and V are 0. An empty table gives an empty result.
+each (rows carry their own number); ids are whole numbers. Ties in counts go to the smaller hash, of marks to the more frequent one. Texts of
+any length are read whole. Columns beside id and text aren't used; with no training documents the model is the untrained one and N and V are
+0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from brasswell.llm.wordhash import words_of
 
 CLASSES, SIZE = 40, 40
 FREQUENT = 100_000
+#: Marks: the root of the number of words that are grouped, divided by this.
+SHARE = 8
 POOL = 1 << 21
 END = np.uint64(1)
 MERGE = 16
@@ -49,24 +54,89 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent words: sorted hashes with counts, and the model's id of each (CLASSES * SIZE: none)."""
+    """The frequent words by rank (sorted by hash): counts, the model's id of each, and log10 of its share in its group (0: it has an id of its own).
+
+    Ids are the first ``CLASSES * SIZE`` words', then the groups'; the last group (id ``last``) is that of all words that aren't here.
+    """
 
     def __init__(self, h: np.ndarray, c: np.ndarray) -> None:
-        ids = np.minimum(np.arange(len(h)), CLASSES * SIZE)
-        order = np.argsort(h)
-        self.h, self.c, self.ids = h[order], c[order], ids[order].astype(np.int32)
+        self.rank = np.argsort(h)
+        self.h, self.c = h[self.rank], c[self.rank]
+        self.own = CLASSES * SIZE
+        self.marks = math.isqrt(max(0, len(h) - self.own)) // SHARE
+        self.ranked = c
+        self.grouped(np.full(len(h), self.marks))
+
+    def grouped(self, group: np.ndarray) -> None:
+        """Takes each rank's group (0 to ``marks``; of no meaning for words with ids of their own)."""
+        n, own = len(self.ranked), self.own
+        self.counts = np.zeros(own, np.int64)
+        self.counts[: min(n, own)] = self.ranked[:own]
+        self.totals = np.bincount(group[own:], self.ranked[own:], self.marks + 1)
+        self.last = own + self.marks + 1
+        ids, share = np.arange(n), np.zeros(n)
+        ids[own:] = own + group[own:]
+        share[own:] = np.log10(self.ranked[own:] / self.totals[group[own:]])
+        self.ids, self.share = ids[self.rank].astype(np.int32), share[self.rank]
         ends = np.flatnonzero(self.h == END)
-        self.end = int(self.ids[ends[0]]) if len(ends) else CLASSES * SIZE
-        self.counts = np.zeros(CLASSES * SIZE, np.int64)
-        self.counts[: min(len(c), CLASSES * SIZE)] = c[: CLASSES * SIZE]
+        self.end = int(self.ids[ends[0]]) if len(ends) else self.last
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The model's ids and the counts (-1: not among the frequent words)."""
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """Places in the sorted words, -1: none."""
         if not len(self.h):
-            return np.full(len(h), CLASSES * SIZE, np.int32), np.full(len(h), -1, np.int64)
+            return np.full(len(h), -1)
         k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = self.h[k] == h
-        return np.where(hit, self.ids[k], CLASSES * SIZE), np.where(hit, self.c[k], -1)
+        return np.where(self.h[k] == h, k, -1)
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The model's ids, the counts (-1: not among the frequent words) and the shares."""
+        if not len(self.h):
+            return np.full(len(h), self.last, np.int32), np.full(len(h), -1, np.int64), np.zeros(len(h))
+        k = self.at(h)
+        hit = k >= 0
+        return np.where(hit, self.ids[k], self.last), np.where(hit, self.c[k], -1), np.where(hit, self.share[k], 0.0)
+
+
+def marked(counts: np.ndarray, sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Of each document (a row of counts of the marks), the mark that stands out most against its rate in all text; their number: none occurs."""
+    if not counts.shape[1]:
+        return np.zeros(len(counts), np.int64)
+    stands = counts * np.log(np.maximum(counts, 1) / (sizes[:, None] * rates))
+    best = np.where(counts > 0, stands, -np.inf).argmax(axis=1)
+    return np.where(counts.any(axis=1), best, counts.shape[1])
+
+
+def groups(docs: DataFrame, words: Vocabulary, total: int) -> np.ndarray:
+    """The group of each rank, by votes of all documents; words without votes are in the last one that words here can have."""
+    marks, out = words.marks, np.full(len(words.ranked), words.marks)
+    if not marks:
+        return out
+    ends = words.rank[words.h == END]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            h, sizes = tokens_of(batch)
+            k = words.at(h)
+            rank = np.where(k >= 0, words.rank[k], -1)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            votes = (rank >= 0) & (rank < marks) & ~np.isin(rank, ends)  # every document has an end
+            counts = np.bincount(doc[votes] * marks + rank[votes], minlength=len(sizes) * marks).reshape(len(sizes), marks)
+            mark = marked(counts, sizes, words.ranked[:marks] / total)
+            grouped = rank >= words.own
+            key, n = np.unique(rank[grouped] * (marks + 1) + mark[doc[grouped]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key // (marks + 1)), pa.array(key % (marks + 1)), pa.array(n)], ["rank", "mark", "n"])
+
+    votes = written(docs.select("text").mapInArrow(run, "rank long, mark long, n long").groupBy("rank", "mark").agg(F.sum("n").alias("n")))
+    of_mark = {r.mark: r.n for r in votes.groupBy("mark").agg(F.sum("n").alias("n")).collect()}  # marks + 1 rows at most
+    if not of_mark:
+        return out
+    rates = F.array(*[F.lit(of_mark.get(m, 0) / sum(of_mark.values())) for m in range(marks + 1)])
+    words_votes = votes.groupBy("rank").agg(F.collect_list(F.struct("mark", "n")).alias("list"), F.sum("n").alias("all"))  # marks + 1 each at most
+    stands = lambda x: x["n"] * F.log(x["n"] / (F.col("all") * F.element_at(rates, (x["mark"] + 1).cast("int"))))
+    best = F.array_max(F.transform("list", lambda x: F.struct(stands(x).alias("s"), (-x["mark"]).alias("m"))))
+    found = words_votes.select("rank", (-best["m"]).alias("mark")).toPandas()  # FREQUENT rows at most
+    out[found["rank"].to_numpy(np.int64)] = found["mark"].to_numpy(np.int64)
+    return out
 
 
 def train(docs: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -85,7 +155,7 @@ def train(docs: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int = R
 
     def learnt(state: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p, seen = (gru.unflat(x, CLASSES, SIZE) for x in np.split(state, 2))
+            p, seen = (gru.unflat(x, CLASSES, SIZE, words.marks + 2) for x in np.split(state, 2))
             trainer, held, size, total = gru.Trainer(p, SIZE, words.end, seen), [], 0, 0
             for batch in chunks(batches):
                 held.append(words.look(tokens_of(batch)[0])[0])
@@ -120,14 +190,15 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     words = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
-    n_rare, v_rare = n_all - int(words.counts.sum()), v_all - int((words.counts > 0).sum())
-    start = gru.flat(gru.initial(words.counts, n_rare, CLASSES, SIZE))
+    words.grouped(groups(training, words, n_all))
+    n_rare, v_rare = n_all - int(words.c.sum()), v_all - len(words.c)
+    start = gru.flat(gru.initial(words.counts, np.append(words.totals, n_rare), CLASSES, SIZE))
     weights = train(training, words, start)
     all_log, rare_log = math.log10(n_all + v_all + 1), math.log10(n_rare + v_rare + 1)
     least = int(words.c.min()) if len(words.c) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, ids, facts, held = gru.unflat(weights, CLASSES, SIZE), [], [], 0
+        p, ids, facts, held = gru.unflat(weights, CLASSES, SIZE, words.marks + 2), [], [], 0
 
         def told() -> pa.RecordBatch:
             lm = gru.score_documents(p, ids, SIZE, words.end) / math.log(10)
@@ -138,14 +209,14 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
 
         for batch in chunks(batches):
             h, sizes = tokens_of(batch)
-            found, c = words.look(h)
+            found, c, share = words.look(h)
             at = np.cumsum(sizes) - sizes
             logs = np.log10(np.maximum(c, 0) + 1)
             for d, a, n in zip(batch.column("doc_id").to_pylist(), at.tolist(), sizes.tolist(), strict=True):
                 part, count, log = found[a : a + n], c[a : a + n], logs[a : a + n]
-                outside = part == CLASSES * SIZE
+                inside = float(share[a : a + n].sum() - (count < 0).sum() * rare_log)
                 rare, times = np.unique(h[a : a + n][count < 0].view(np.int64), return_counts=True)
-                facts.append((d, n, int((count > 0).sum()), float(log.sum()), float(log[outside].sum() - outside.sum() * rare_log), rare, times))
+                facts.append((d, n, int((count > 0).sum()), float(log.sum()), inside, rare, times))
                 ids.append(part)
             held += len(h)
             if held >= POOL:
