@@ -80,9 +80,9 @@ def _softmax(x: np.ndarray, wanted: np.ndarray, grads: bool) -> tuple[np.ndarray
 def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = None):
     """Natural log-probabilities of the ids after the states h; with grads, adds to them and gives the states' gradients too."""
     classes, learns = len(p["bw"]), grads is not None
-    order = np.argsort(ids, kind="stable")  # classes are runs of ids
-    ids, h = ids[order], h[order]
     c = np.where(ids < classes * size, ids // size, ids - classes * (size - 1))
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    ids, c, h = ids[order], c[order], h[order]
     score, d = _softmax(p["wc"].T @ h.T + p["bc"][:, None], c, learns)
     dh = None
     if learns:
@@ -138,20 +138,21 @@ class Trainer:
         g: dict[str, np.ndarray] = {}
         _, dh_all = outputs(p, states.reshape(-1, n), wanted.reshape(-1), self.size, g)
         dh_all, dx, dh = dh_all.reshape(t, lanes, n), np.empty_like(x), np.zeros((lanes, n), np.float32)
-        g["u"] = np.zeros_like(p["u"])
+        dk_all, u_back = np.empty_like(x), np.ascontiguousarray(p["u"].T)
         for i in range(t - 1, -1, -1):
             before, z, r, kn, new = kept[i]
             dh = dh + dh_all[i]
             dnew = dh * (1 - z) * (1 - new * new)
             dx[i, :, :n], dx[i, :, n : 2 * n], dx[i, :, 2 * n :] = dh * (before - new) * z * (1 - z), dnew * kn * r * (1 - r), dnew
-            dk = dx[i].copy()
+            dk = dk_all[i]
+            dk[:] = dx[i]
             dk[:, 2 * n :] *= r
-            g["u"] += before.T @ dk
-            dh = (dh * z + dk @ p["u"].T) * (seen[i] != self.end)[:, None]
+            dh = (dh * z + dk @ u_back) * (seen[i] != self.end)[:, None]
+        g["u"] = np.concatenate([k[0] for k in kept]).T @ dk_all.reshape(-1, 3 * n)
         flat_dx = dx.reshape(-1, 3 * n)
         g["wx"], g["bx"] = e.T @ flat_dx, flat_dx.sum(axis=0)
-        de = flat_dx @ p["wx"].T
-        g["emb"] = np.stack([np.bincount(seen.reshape(-1), de[:, i], len(p["emb"])) for i in range(n)], axis=1).astype(np.float32)
+        de, at = p["wx"] @ flat_dx.T, seen.reshape(-1)
+        g["emb"] = np.stack([np.bincount(at, d, len(p["emb"])) for d in de], axis=1).astype(p["emb"].dtype)
         scale = 1 / wanted.size
         for k, v in g.items():
             v *= scale

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasswell.llm import gru
-from brasswell.llm.common import chunks, crc_of_id, table, texts_of, written
+from brasswell.llm.common import Scratch, chunks, crc_of_id, table, texts_of, written
 from brasswell.llm.wordhash import words_of
 
 CLASSES, SIZE = 40, 40
@@ -62,6 +62,9 @@ class Vocabulary:
     def __init__(self, h: np.ndarray, c: np.ndarray) -> None:
         self.rank = np.argsort(h)
         self.h, self.c = h[self.rank], c[self.rank]
+        self.bits = np.uint64(64 - max(1, len(h).bit_length()))
+        self.begins = np.searchsorted(self.h, np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits)
+        self.most = int(np.diff(np.append(self.begins, len(h))).max())
         self.own = CLASSES * SIZE
         self.marks = math.isqrt(max(0, len(h) - self.own)) // SHARE
         self.ranked = c
@@ -77,7 +80,7 @@ class Vocabulary:
         ids, share = np.arange(n), np.zeros(n)
         ids[own:] = own + group[own:]
         share[own:] = np.log10(self.ranked[own:] / self.totals[group[own:]])
-        self.ids, self.share = ids[self.rank].astype(np.int32), share[self.rank]
+        self.of_rank, self.ids, self.share = ids, ids[self.rank].astype(np.int32), share[self.rank]
         ends = np.flatnonzero(self.h == END)
         self.end = int(self.ids[ends[0]]) if len(ends) else self.last
 
@@ -85,7 +88,13 @@ class Vocabulary:
         """Places in the sorted words, -1: none."""
         if not len(self.h):
             return np.full(len(h), -1)
-        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        # Hashes are spread evenly: a look at the place where those of equal first bits begin, then at the few behind it.
+        top = len(self.h) - 1
+        k = np.minimum(self.begins[h >> self.bits], top)
+        rest = np.flatnonzero(self.h[k] != h)
+        for _ in range(self.most - 1):
+            rest = rest[self.h[k[rest]] < h[rest]]
+            k[rest] = np.minimum(k[rest] + 1, top)
         return np.where(self.h[k] == h, k, -1)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +115,31 @@ def marked(counts: np.ndarray, sizes: np.ndarray, rates: np.ndarray) -> np.ndarr
     return np.where(counts.any(axis=1), best, counts.shape[1])
 
 
-def groups(docs: DataFrame, words: Vocabulary, total: int) -> np.ndarray:
+def ranked(docs: DataFrame, words: Vocabulary, rounds: int) -> DataFrame:
+    """The training part's words as ranks (-1: not among the frequent), to be written once for all that reads them: a row for each chunk and round of
+    training, with ranks and the documents' sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            h, sizes = tokens_of(batch)
+            k = words.at(h)
+            rank = np.where(k >= 0, words.rank[k], -1).astype("<i4") if len(words.h) else k.astype("<i4")
+            of = batch.column("round").to_numpy(zero_copy_only=False)
+            for r in np.unique(of):
+                mine = of == r
+                yield pa.RecordBatch.from_arrays([pa.array([int(r)]), pa.array([rank[np.repeat(mine, sizes)].tobytes()]), pa.array([sizes[mine].astype("<i4").tobytes()])], ["round", "ranks", "sizes"])
+
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).alias("round")
+    return docs.select("text", part).mapInArrow(run, "round long, ranks binary, sizes binary")
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for v in batch.column(column):
+            yield np.frombuffer(v.as_buffer(), "<i4")
+
+
+def groups(ranks: DataFrame, words: Vocabulary, total: int) -> np.ndarray:
     """The group of each rank, by votes of all documents; words without votes are in the last one that words here can have."""
     marks, out = words.marks, np.full(len(words.ranked), words.marks)
     if not marks:
@@ -114,19 +147,17 @@ def groups(docs: DataFrame, words: Vocabulary, total: int) -> np.ndarray:
     ends = words.rank[words.h == END]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            h, sizes = tokens_of(batch)
-            k = words.at(h)
-            rank = np.where(k >= 0, words.rank[k], -1)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            votes = (rank >= 0) & (rank < marks) & ~np.isin(rank, ends)  # every document has an end
-            counts = np.bincount(doc[votes] * marks + rank[votes], minlength=len(sizes) * marks).reshape(len(sizes), marks)
-            mark = marked(counts, sizes, words.ranked[:marks] / total)
-            grouped = rank >= words.own
-            key, n = np.unique(rank[grouped] * (marks + 1) + mark[doc[grouped]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key // (marks + 1)), pa.array(key % (marks + 1)), pa.array(n)], ["rank", "mark", "n"])
-
-    votes = written(docs.select("text").mapInArrow(run, "rank long, mark long, n long").groupBy("rank", "mark").agg(F.sum("n").alias("n")))
+        for batch in batches:
+            for rank, sizes in zip(rows_of([batch], "ranks"), rows_of([batch], "sizes"), strict=True):
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                votes = (rank >= 0) & (rank < marks) & ~np.isin(rank, ends)  # every document has an end
+                counts = np.bincount(doc[votes] * marks + rank[votes], minlength=len(sizes) * marks).reshape(len(sizes), marks)
+                mark = marked(counts, sizes, words.ranked[:marks] / total)
+                grouped = rank >= words.own
+                key, n = np.unique(rank[grouped] * np.int64(marks + 1) + mark[doc[grouped]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key // (marks + 1)), pa.array(key % (marks + 1)), pa.array(n)], ["rank", "mark", "n"])
+
+    votes = written(ranks.select("ranks", "sizes").mapInArrow(run, "rank long, mark long, n long").groupBy("rank", "mark").agg(F.sum("n").alias("n")))
     of_mark = {r.mark: r.n for r in votes.groupBy("mark").agg(F.sum("n").alias("n")).collect()}  # marks + 1 rows at most
     if not of_mark:
         return out
@@ -139,8 +170,8 @@ def groups(docs: DataFrame, words: Vocabulary, total: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after one pass over docs in as many parts as rounds: in each, every task goes on from the weights (and their sums of squared
+def train(ranks: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights after one pass over all ranks in as many parts as rounds: in each, every task goes on from the weights (and their sums of squared
     gradients) of the round before, on its own documents, and the tasks' are averaged by tokens."""
     state = np.concatenate((start, np.full(len(start), gru.SEEN, np.float32)))
 
@@ -157,8 +188,9 @@ def train(docs: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int = R
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, seen = (gru.unflat(x, CLASSES, SIZE, words.marks + 2) for x in np.split(state, 2))
             trainer, held, size, total = gru.Trainer(p, SIZE, words.end, seen), [], 0, 0
-            for batch in chunks(batches):
-                held.append(words.look(tokens_of(batch)[0])[0])
+            table = np.append(words.of_rank, words.last).astype(np.int32)  # rank -1 is the last
+            for rank in rows_of(batches, "ranks"):
+                held.append(table[rank])
                 size += len(held[-1])
                 if size >= POOL:
                     trainer.learn(np.concatenate(held))
@@ -172,8 +204,7 @@ def train(docs: DataFrame, words: Vocabulary, start: np.ndarray, rounds: int = R
         return run
 
     for k in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
-        parts = written(part.select("text").mapInArrow(learnt(state), "v binary, n double"))
+        parts = written(ranks.where(F.col("round") == k).select("ranks").mapInArrow(learnt(state), "v binary, n double"))
         count = parts.count()
         while count > MERGE:
             count = -(-count // MERGE)
@@ -190,10 +221,13 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     words = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
-    words.grouped(groups(training, words, n_all))
+    scratch = Scratch(docs.sparkSession)
+    ranks = scratch.keep("ranks", ranked(training, words, ROUNDS))
+    words.grouped(groups(ranks, words, n_all))
     n_rare, v_rare = n_all - int(words.c.sum()), v_all - len(words.c)
     start = gru.flat(gru.initial(words.counts, np.append(words.totals, n_rare), CLASSES, SIZE))
-    weights = train(training, words, start)
+    weights = train(ranks, words, start, ROUNDS)
+    scratch.drop("ranks")
     all_log, rare_log = math.log10(n_all + v_all + 1), math.log10(n_rare + v_rare + 1)
     least = int(words.c.min()) if len(words.c) else 0
 
@@ -210,14 +244,17 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             h, sizes = tokens_of(batch)
             found, c, share = words.look(h)
-            at = np.cumsum(sizes) - sizes
-            logs = np.log10(np.maximum(c, 0) + 1)
-            for d, a, n in zip(batch.column("doc_id").to_pylist(), at.tolist(), sizes.tolist(), strict=True):
-                part, count, log = found[a : a + n], c[a : a + n], logs[a : a + n]
-                inside = float(share[a : a + n].sum() - (count < 0).sum() * rare_log)
-                rare, times = np.unique(h[a : a + n][count < 0].view(np.int64), return_counts=True)
-                facts.append((d, n, int((count > 0).sum()), float(log.sum()), inside, rare, times))
-                ids.append(part)
+            at, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            total = lambda x: np.bincount(doc, x, len(sizes))
+            unknown = c < 0
+            out = np.flatnonzero(unknown)
+            cuts = np.searchsorted(out, np.append(at, len(h)))
+            known, base = total(c > 0).astype(np.int64).tolist(), total(np.log10(np.maximum(c, 0) + 1)).tolist()
+            inside = (total(share) - total(unknown) * rare_log).tolist()
+            for i, (d, a, n) in enumerate(zip(batch.column("doc_id").to_pylist(), at.tolist(), sizes.tolist(), strict=True)):
+                rare, times = np.unique(h[out[cuts[i] : cuts[i + 1]]].view(np.int64), return_counts=True)
+                facts.append((d, n, known[i], base[i], inside[i], rare, times))
+                ids.append(found[a : a + n])
             held += len(h)
             if held >= POOL:
                 yield told()

@@ -87,10 +87,20 @@ def test_groups_follow_what_is_written_together(spark, monkeypatch):
     counts = lmscore.word_counts(docs).orderBy(F.desc("c"), "h").toPandas()
     words = lmscore.Vocabulary(counts["h"].to_numpy(np.int64).view(np.uint64), counts["c"].to_numpy(np.int64))
     assert words.marks == 3
-    words.grouped(lmscore.groups(docs, words, int(words.ranked.sum())))
+    words.grouped(lmscore.groups(lmscore.ranked(docs, words, 3), words, int(words.ranked.sum())))
     of = lambda side: {int(i) for i in words.look(lmscore.words_of([" ".join(f"w{side}x{k}" for k in range(60))]).hashes)[0] if i >= words.own}
     assert of(0) and of(1) and not of(0) & of(1)
     for g in range(words.own, words.last):
         mine = words.ids == g
         assert not mine.any() or abs((10 ** words.share[mine]).sum() - 1) < 1e-9
     assert words.totals.sum() + words.counts.sum() == words.ranked.sum()
+
+
+def test_places_of_words_by_first_bits():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 5, 1000):
+        h = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False) if n != 5 else np.arange(7, 12, dtype=np.uint64)  # all in one place, and after the last
+        words = lmscore.Vocabulary(h, np.arange(n, 0, -1))
+        asked = np.concatenate((h, rng.integers(0, 1 << 64, 500, np.uint64, endpoint=False), np.array([0, 6, 13, (1 << 64) - 1], np.uint64)))
+        want = [list(words.h).index(x) if x in words.h else -1 for x in asked]
+        assert words.at(asked).tolist() == want
