@@ -9,7 +9,8 @@ Those whose count is in a difference cover modulo 57 are the sample: any two suf
 Sample suffixes are sorted first, the gram's own by their bytes, those of each next place by the few bytes before the last one and its ranks; beside
 the order stands how much neighbours have in common. A suffix is then told by the bytes up to the sample and, for ties however long, by the sample's order, cut where
 neighbours share less than what is left of the window. So memory is that of the bucket's text and some ranks, not of its suffixes times their length. Buckets of
-more than ``HOT`` records are not sorted in one task: their windows meet by 128-bit digests in partial aggregates, which finds the same strings.
+more than ``HOT`` records are not sorted in one task: of records with equal content (128-bit digests in a partial aggregate) one stays, and those are cut to
+fewer distances of the start before the gram (``STEPS``), whose common bytes are part of their key, until a bucket can be sorted. That finds the same strings.
 
 A text counts as UTF-8 bytes, null as empty; no string crosses texts. Rows that repeat, with or without an id, are texts of their own: if LEAST bytes or longer,
 all of them go. Order and ties don't matter, since no occurrence stays. Very long texts are marked in slices; an empty table gives an empty result; columns
@@ -19,6 +20,7 @@ that clash with results are replaced.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,8 @@ LEAST, GRAM = 200, 48
 AHEAD = LEAST - GRAM
 #: Bytes of a long text that are marked at once; content of the buckets that are sorted at once; records of the largest bucket that a task sorts.
 SLICE, BATCH, HOT = 1 << 22, 1 << 21, 1 << 10
+#: Distances of a bucket's windows, from step to step of cutting buckets that are too large; at one distance, all contents of a key are equal.
+STEPS = (39, 10, 3, 1)
 #: A difference cover (fixed values): each residue modulo 57 is a difference of two of these.
 MODULO, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 SAMPLE = [d for d in range(AHEAD + 1) if d % MODULO in COVER]
@@ -281,23 +285,50 @@ def sorted_buckets(cold: DataFrame) -> DataFrame:
     return cold.repartition("key").sortWithinPartitions("key").select("key", "num", "first", "last", "at", "content").mapInArrow(run, "num long, start long, end long")
 
 
-def hot_windows(hot: DataFrame) -> DataFrame:
-    """num, start, end of the windows of hot (records) that occur twice, by their digests."""
+def narrowed(hot: DataFrame, step: int) -> DataFrame:
+    """The records of hot, cut into those of ``step`` distances each. Windows of a range hold the bytes from its least distance before the gram to the
+    end of its farthest window, so these, hashed with the key, are the new key: equal windows keep one key, and others part."""
+    names = [c for c in RECORDS if c != "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "content"):
-            raw = batch.column("content").to_pylist()
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            size = np.array([len(x) for x in raw])
-            n = size - LEAST + 1
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.repeat(np.cumsum(size) - size, n) + within
-            a, b = (Sums(data, f).of(begin, begin + LEAST).view(np.int64) for f in FACTORS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("num").to_numpy(), n)), pa.array(np.repeat(batch.column("first").to_numpy(), n) + within), pa.array(a), pa.array(b)], ["num", "start", "a", "b"])
-
-    windows = hot.select("num", "first", "content").mapInArrow(run, "num long, start long, a long, b long")
-    several = windows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    return windows.join(several, ["a", "b"]).select("num", "start", (F.col("start") + LEAST).alias("end"))
+            out = []
+            for key, num, first, last, at, content in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                low, high = at - last, at - first
+                for a in range(low // step * step, high + 1, step):
+                    b = a + step - 1
+                    near, far = max(low, a), min(high, b)
+                    core = hashlib.blake2b(struct.pack("<qi", key, a) + content[high - a : high - b + LEAST], digest_size=8).digest()
+                    out.append((int.from_bytes(core, "little", signed=True), num, at - far, at - near, at, content[high - far : high - near + LEAST]))
+            for i in range(0, len(out), 1 << 13):
+                yield pa.RecordBatch.from_arrays([pa.array(c, RECORDS[k]) for c, k in zip(zip(*out[i : i + (1 << 13)], strict=True), names, strict=True)], names)
+
+    return hot.select(names).mapInArrow(run, "key long, num long, first int, last int, at int, content binary")
+
+
+def hot_spans(hot: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """num, start, end of the spans that the buckets of hot (records) show. Records of equal content are one class: if it has several, all their windows
+    occur twice, and one record stands for them. What is left is cut to fewer distances, until each bucket can be sorted or holds one content."""
+    spans = []
+    for level, step in enumerate((*STEPS, 0)):
+        if hot.isEmpty():
+            break
+        told = hot.select("*", (F.col("at") - F.col("first")).alias("high"), F.unhex(F.md5("content")).alias("same"))
+        alike = ["key", "high", "same"]
+        one = scratch.keep("one of hot", told.groupBy(*alike).agg(F.count("*").alias("times"), F.first(F.struct("num", "first", "last", "at", "content")).alias("x")))
+        whole = told.select(*alike, "num", "first", "last").join(one.where("times > 1").select(*alike), alike)
+        found = whole.select("num", F.col("first").cast("long").alias("start"), (F.col("last").cast("long") + LEAST).alias("end"))
+        if step:
+            parts = scratch.keep("parts", narrowed(one.select("key", "x.*"), step))
+            parts = parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+            parts = scratch.keep(f"parts {level}", parts)
+            found = found.unionByName(sorted_buckets(parts.where(F.col("n") <= HOT)))
+        spans.append(scratch.keep(f"spans {level}", found))
+        if step:
+            scratch.drop("one of hot", "parts", f"parts {level - 1}")
+            hot = parts.where(F.col("n") > HOT)
+    scratch.drop("one of hot", "parts", *(f"parts {k}" for k in range(len(STEPS))))
+    return spans
 
 
 def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -325,9 +356,11 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = scratch.keep("held", texts.join(need, ["digest", "row"]).dropDuplicates(["digest", "row"]))
     scratch.drop("one")
     all_records = scratch.keep("records", records(held))
-    found = sorted_buckets(all_records.where(F.col("n") <= HOT)).unionByName(hot_windows(all_records.where(F.col("n") > HOT)))
+    found = sorted_buckets(all_records.where(F.col("n") <= HOT))
+    for spans in hot_spans(all_records.where(F.col("n") > HOT), scratch):
+        found = found.unionByName(spans)
     found = scratch.keep("found", found.groupBy("num").agg(F.collect_list(F.struct("start", "end")).alias("found")))
-    scratch.drop("records")
+    scratch.drop("records", *(f"spans {k}" for k in range(len(STEPS) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -103,3 +103,26 @@ def test_query_tells_the_operator(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in suffixdedup.op12_suffix_dedup(spark, str(tmp_path)).collect())
     assert got == sorted((i, n, r, s, hashlib.sha256(k).hexdigest()) for i, (n, r, s, k) in enumerate(brute(texts)))
+
+
+def test_hot_buckets_make_rows_by_records(spark, monkeypatch):
+    """A passage between other words in 300 texts: spans of a hot bucket go by its records, not by their windows, and none is lost."""
+    monkeypatch.setattr(suffixdedup, "HOT", 8)
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    passage = prose(700)
+    texts = [prose(60 + i % 90) + passage[i % 3 :] + prose(80) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot, seen = [], suffixdedup.hot_spans
+
+    def watched(records, scratch):
+        spans = seen(records, scratch)
+        rows = records.select("first", "last").collect()
+        hot.append((len(rows), sum(r.last - r.first + 1 for r in rows), sum(s.count() for s in spans)))
+        return spans
+
+    monkeypatch.setattr(suffixdedup, "hot_spans", watched)
+    got = told(suffixdedup.remove_repeats(docs).collect())
+    assert got == sorted((i, *x) for i, x in enumerate(brute(texts)))
+    records, windows, spans = hot[0]
+    assert records > 1000 and windows > 5 * spans and spans < 4 * records
