@@ -1,10 +1,11 @@
 """Progressive JPEG: scans of spectral selection and successive approximation, gathered into coefficient arrays in numpy.
 
 The payload lies losslessly in the coefficients, this format's unit: 192 bytes are a unit of three blocks (no subsampling), a byte each.
-A byte of an AC coefficient b becomes b or b - 255, so that every size category is 8; a DC byte becomes 256 + b, and a restart marker
-behind each unit resets its prediction. All codes then have one length, the tables one symbol, and a scan is read as an array of bits; the decoder
-sees this in the tables and reads other progressive files code by code. Reading decodes every scan, inverse-transforms, brings chroma
-to full resolution and converts to RGB.
+A byte of an AC coefficient lies around the small letters, no nearer to zero than 2, so that its first bits and signs are all in the first scan; a
+DC byte is sent as its difference to the block before in the same component, through the whole scan. Sizes have Huffman codes from the text's own
+counts, one table for DC and one for AC, and the AC refinements are runs of ended bands. Reading looks up the length of a code at each bit, follows them in one chain
+and takes all values at once where the tables allow it (codes of 8 bits at most, no runs of zeros); it reads other progressive files code by code. Reading decodes
+every scan, inverse-transforms, brings chroma to full resolution and converts to RGB.
 
 Null text counts as empty: one unit of blanks. Equal texts give equal values. Texts of any length fit: lines of 256 units, up to the
 format's height, then wider; units that fill the last line are zero. Columns that clash with results are replaced. Empty tables give empty results.
@@ -13,6 +14,7 @@ format's height, then wider; units that fill the last line are zero. Columns tha
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,15 +49,64 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
 
 
-def _table(kind: int, symbol: int) -> bytes:
-    """A table with one symbol, whose code is the bit 0."""
-    return _segment(0xC4, bytes([kind << 4, 1, *[0] * 15, symbol]))
+def _signed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size category and further bits of each value."""
+    size = np.array([int(abs(x)).bit_length() for x in v.tolist()])
+    return size, np.where(v < 0, v + (1 << size) - 1, v)
+
+
+#: Of each byte: the AC coefficient; of that without its last bit, and of each DC difference from -127 on: size category and further bits.
+COEFFICIENT = np.where(np.arange(256) < 96, np.arange(256) - 97, np.arange(256) - 94)
+OF_AC = _signed(np.sign(COEFFICIENT) * (abs(COEFFICIENT) >> 1))
+OF_DC = _signed(np.arange(-127, 128))
+#: Most blocks that one run of ended bands covers; symbols that are coded at once.
+RUN, PIECE = 0x7FFF, 1 << 18
+
+
+def _lengths(counts: dict[int, int]) -> dict[int, int]:
+    """Huffman's code length of each symbol. A symbol that never occurs (-1) takes the longest code, as that of ones alone isn't allowed."""
+    out = dict.fromkeys((-1, *counts), 0)
+    heap = [(0, -1, [-1]), *((n, k, [k]) for k, n in counts.items())]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (n, k, x), (m, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for symbol in x + y:
+            out[symbol] += 1
+        heapq.heappush(heap, (n + m, k, x + y))
+    return {k: n for k, n in out.items() if k >= 0}
+
+
+@lru_cache(maxsize=64)
+def _table(kind: int, counts: tuple[tuple[int, int], ...]) -> tuple[bytes, dict[int, tuple[int, int]]]:
+    """A table for symbols that occur so often, and each one's (length, code)."""
+    lengths = _lengths(dict(counts))
+    symbols = bytes(sorted(lengths, key=lambda k: (lengths[k], k)))
+    of = bytearray(16)
+    for n in lengths.values():
+        of[n - 1] += 1
+    return _segment(0xC4, bytes([kind << 4]) + of + symbols), {s: c for c, s in _codes(of, symbols).items()}
+
+
+def _book(kind: int, of: tuple[np.ndarray, np.ndarray], times: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """For values of given sizes and further bits that occur so many times: the table, and each one's bits with a mask of those it has."""
+    size, more = of
+    counts = np.bincount(size, times)
+    table, codes = _table(kind, tuple((k, int(n)) for k, n in enumerate(counts.tolist()) if n))
+    length, code = (np.array([codes.get(k, (0, 0))[i] for k in range(len(counts))])[size] for i in (0, 1))
+    word, n = (code << size | more)[:, None], (length + size)[:, None]
+    at = np.arange(int(n[times > 0].max(initial=0)))
+    return table, (word >> np.maximum(n - 1 - at, 0) & 1).astype(np.uint8), at < n
+
+
+def _coded(values: np.ndarray, bits: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The bits of all values, as bytes."""
+    pieces = [values[i : i + PIECE] for i in range(0, len(values), PIECE)]
+    return _bits(np.concatenate([bits[x][mask[x]] for x in pieces]))
 
 
 def _scan(components: list[int], low: int, high: int, before: int, now: int, data: np.ndarray) -> bytes:
     head = bytes([len(components), *(x for c in components for x in (c, 0)), low, high, before << 4 | now])
-    stuffed = np.insert(data, np.flatnonzero(data == 255) + 1, 0) if (data == 255).any() else data
-    return _segment(0xDA, head) + stuffed.tobytes()
+    return _segment(0xDA, head) + data.tobytes().replace(b"\xff", b"\xff\0")
 
 
 def _bits(bits: np.ndarray) -> np.ndarray:
@@ -72,23 +123,28 @@ def encode(payload: bytes) -> bytes:
     b.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
     n = len(b)
     frame = bytes([8]) + (height * 8).to_bytes(2, "big") + (width * 8).to_bytes(2, "big") + bytes([3, *(x for c in (1, 2, 3) for x in (c, 0x11, 0))])
-    out = [b"\xff\xd8", _segment(0xFE, f"bytes={len(payload)}".encode()), _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, frame), _table(0, 8), _segment(0xDD, (1).to_bytes(2, "big"))]
-    first = (b[:, :, 0].astype(np.uint32) >> 1) + 128  # a bit of code and 8 bits for each component, 5 ones
-    word = (first[:, 0] << 23 | first[:, 1] << 14 | first[:, 2] << 5 | 31).astype(">u4").view(np.uint8).reshape(n, 4)
-    full = np.concatenate((word, np.full((n, 1), 255, np.uint8), (208 + np.arange(n) % 8).astype(np.uint8)[:, None]), axis=1)
-    flat = full.reshape(-1)
-    data = np.insert(flat, np.flatnonzero((flat == 255) & (np.arange(flat.size) % 6 < 4)) + 1, 0)[:-2]
-    out.append(_segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 1])) + data.tobytes())
-    out += [_segment(0xDD, (0).to_bytes(2, "big")), _table(1, 7)]
-    for low, high in BANDS:
-        for c in range(3):
-            out.append(_scan([c + 1], low, high, 0, 1, np.ascontiguousarray(b[:, c, low : high + 1] >> 1).reshape(-1)))
-    out += [_scan([1, 2, 3], 0, 0, 1, 0, _bits(b[:, :, 0] & 1)), _table(1, 0)]
-    for low, high in BANDS:
-        for c in range(3):
-            v = b[:, c, low : high + 1]
-            bits = np.where(v < 128, 1 - (v & 1), v & 1).astype(np.uint8)
-            out.append(_scan([c + 1], low, high, 1, 0, _bits(np.concatenate((np.zeros((n, 1), np.uint8), bits), axis=1))))
+    out = [b"\xff\xd8", _segment(0xFE, f"bytes={len(payload)}".encode()), _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, frame)]
+    dc = b[:, :, 0].astype(np.int16) - 96
+    steps = (np.diff(dc >> 1, axis=0, prepend=np.int16(0)) + 127).reshape(-1)
+    table, *book = _book(0, OF_DC, np.bincount(steps, minlength=255))
+    out += [table, _scan([1, 2, 3], 0, 0, 0, 1, _coded(steps, *book))]
+    table, *book = _book(1, OF_AC, np.bincount(b.reshape(-1), minlength=256) - np.bincount(b[:, :, 0].reshape(-1), minlength=256))
+    out.append(table)
+    bands = [(low, high, c) for low, high in BANDS for c in range(3)]
+    out += [_scan([c + 1], low, high, 0, 1, _coded(b[:, c, low : high + 1].reshape(-1), *book)) for low, high, c in bands]
+    out.append(_scan([1, 2, 3], 0, 0, 1, 0, _bits(b[:, :, 0] & 1)))
+    runs = [min(RUN, n - i) for i in range(0, n, RUN)]
+    classes = [r.bit_length() - 1 for r in runs]
+    table, codes = _table(1, tuple((k << 4, classes.count(k)) for k in sorted(set(classes))))
+    out.append(table)
+    last = b & 1 ^ (b < 96)  # of the magnitude: those of negative coefficients are 97 less the byte
+    for low, high, c in bands:
+        parts = []
+        for i, r, k in zip(range(0, n, RUN), runs, classes, strict=True):
+            length, code = codes[k << 4]
+            head = code << k | r - (1 << k)
+            parts += [np.array([head >> j & 1 for j in range(length + k - 1, -1, -1)], np.uint8), last[i : i + r, c, low : high + 1].reshape(-1)]
+        out.append(_scan([c + 1], low, high, 1, 0, _bits(np.concatenate(parts))))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -138,14 +194,43 @@ def _parts(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _regular(data: np.ndarray, restart: int) -> np.ndarray:
-    """All bits of a scan whose restart intervals are equally long."""
-    gone = np.zeros(len(data), bool)
-    full = np.flatnonzero(data[:-1] == 255)
-    gone[full + 1] = True
-    if restart:
-        gone[full[data[full + 1] >= 208]] = True
-    return np.unpackbits(data[~gone])
+def _plain(data: np.ndarray) -> np.ndarray:
+    """The bytes of a scan without restarts, without stuffing."""
+    return np.frombuffer(data.tobytes().replace(b"\xff\0", b"\xff"), np.uint8)
+
+
+#: What a reader sees behind the last byte; the places of eight bits in two bytes, from the first bit of the first on.
+FILL, SHIFTS = np.full(4, 255, np.uint8), np.arange(8, 0, -1, dtype=np.uint16)
+
+
+@lru_cache(maxsize=64)
+def _lookup(codes: tuple[tuple[tuple[int, int], int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the 8 bits from a place on: length of the code there (0: none), its symbol, and the length with as many further bits."""
+    length, symbol = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    for (n, code), s in codes:
+        length[code << 8 - n : code + 1 << 8 - n] = n
+        symbol[code << 8 - n : code + 1 << 8 - n] = s
+    return length, symbol, length + symbol
+
+
+def _values(data: np.ndarray, codes: dict[tuple[int, int], int], count: int) -> np.ndarray:
+    """The first count values of a scan (without stuffing) in which each code's symbol is the size of a value behind it."""
+    length, symbol, far = _lookup(tuple(codes.items()))
+    data = np.concatenate((data, FILL))
+    two = data[:-1].astype(np.uint16) << 8 | data[1:]
+    peek = (two[:, None] >> SHIFTS).astype(np.uint8).reshape(-1)
+    step, place = far.take(peek).tobytes(), 0
+    ends = np.array([0, *[place := place + step[place] for _ in range(count)]], np.int64)
+    seen = peek.take(ends[:-1])
+    if not length.take(seen).all():
+        raise ValueError("no such code")
+    size = symbol.take(seen).astype(np.int32)
+    begin = ends[1:] - size
+    first = begin >> 3
+    v = two.take(first).astype(np.int32) << 8 | data.take(first + 2)
+    full = (1 << size) - 1
+    v = v >> 24 - (begin & 7) - size & full
+    return np.where(2 * v > full, v, v - full)
 
 
 def decode(media: bytes, fast: bool = True) -> tuple[list[np.ndarray], dict]:
@@ -193,43 +278,39 @@ def decode(media: bytes, fast: bool = True) -> tuple[list[np.ndarray], dict]:
 
 
 def _scan_at_once(coefficients, head, which, tables, low, high, before, now, restart, data) -> bool:
-    """Reads a scan of fixed code lengths as an array of bits; says whether it was one."""
-    if any(p[1:3] != (1, 1) for p in head["parts"]) or restart not in (0, 1):
+    """Reads a scan whose values all can be placed before they are read; says whether it was one."""
+    if restart or any(p[1:3] != (1, 1) for p in head["parts"]):
         return False
     blocks = coefficients[which[0]].shape[0] * coefficients[which[0]].shape[1]
+    if low == 0 and before:
+        bits = np.unpackbits(_plain(data))[: blocks * len(which)].reshape(blocks, len(which))
+        for k, c in enumerate(which):
+            coefficients[c].reshape(-1, 64)[:, 0] |= bits[:, k].astype(np.int32) << now
+        return True
+    codes = tables[0][1 if low else 0]
+    if any(n > 8 for n, _ in codes):
+        return False
     if low == 0:
-        if before:
-            if restart:
-                return False
-            bits = _regular(data, 0)[: blocks * len(which)].reshape(blocks, len(which))
-            for k, c in enumerate(which):
-                coefficients[c].reshape(-1, 64)[:, 0] |= bits[:, k].astype(np.int32) << now
-            return True
-        sizes = [list(t[0].items()) for t in tables]
-        if restart != 1 or any(len(s) != 1 or s[0][0] != (1, 0) for s in sizes):
+        if any(t[0] != codes for t in tables) or max(codes.values()) > 15:
             return False
-        length = sum(1 + s[0][1] for s in sizes)
-        bits = _regular(data, 1).reshape(blocks, -(-length // 8) * 8)
-        place = 0
-        for s, c in zip(sizes, which, strict=True):
-            size = s[0][1]
-            v = bits[:, place + 1 : place + 1 + size].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
-            coefficients[c].reshape(-1, 64)[:, 0] = np.where(v >> (size - 1), v, v - (1 << size) + 1) << now
-            place += 1 + size
+        values = _values(_plain(data), codes, blocks * len(which)).reshape(blocks, len(which)).cumsum(axis=0)
+        for k, c in enumerate(which):
+            coefficients[c].reshape(-1, 64)[:, 0] = values[:, k] << now
         return True
-    table = list(tables[0][1].items())
-    if restart or len(table) != 1 or table[0][0] != (1, 0):
-        return False
-    symbol, block = table[0][1], coefficients[which[0]].reshape(-1, 64)[:, low : high + 1]
-    if before == 0 and 0 < symbol < 16:
-        size = symbol
-        bits = _regular(data, 0)[: block.size * (1 + size)].reshape(-1, 1 + size)
-        v = np.packbits(bits, axis=1)[:, 0].astype(np.int32) if size == 7 else bits[:, 1:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1))
-        block[:] = (np.where(v >> (size - 1), v, v - (1 << size) + 1) * (1 << now)).reshape(block.shape)
+    block = coefficients[which[0]].reshape(-1, 64)[:, low : high + 1]
+    if not before and all(0 < s < 16 for s in codes.values()):
+        block[:] = (_values(_plain(data), codes, block.size) << now).reshape(block.shape)
         return True
-    if before and symbol == 0 and (block != 0).all():
-        bits = _regular(data, 0)[: len(block) * (block.shape[1] + 1)].reshape(len(block), -1)[:, 1:]
-        block += np.sign(block) * (bits.astype(np.int32) << now)
+    if before and all(s < 240 and not s & 15 for s in codes.values()) and block.all():
+        bits, at, place, width = np.unpackbits(_plain(data)), 0, 0, block.shape[1]
+        while at < blocks:
+            read = _Reader(bits[place : place + 32])
+            k = read.symbol(codes) >> 4
+            run = min((1 << k) + read.take(k), blocks - at)
+            place += read.at
+            part = block[at : at + run]
+            part += np.sign(part) * (bits[place : place + part.size].reshape(part.shape).astype(np.int32) << now)
+            at, place = at + run, place + run * width
         return True
     return False
 
@@ -323,8 +404,8 @@ def pixels(coefficients: list[np.ndarray], head: dict) -> np.ndarray:
 def payload_of(coefficients: list[np.ndarray], head: dict) -> bytes:
     """The bytes that encode() put into the coefficients."""
     v = np.stack([c.reshape(-1, 64) for c in coefficients], axis=1)
-    out = np.where(v < 0, v + 255, v)
-    out[:, :, 0] = v[:, :, 0] - 256
+    out = v + np.where(v < 0, 97, 94)
+    out[:, :, 0] = v[:, :, 0] + 96
     return out.astype(np.uint8).tobytes()[: int(head["comment"].removeprefix(b"bytes="))]
 
 

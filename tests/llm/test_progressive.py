@@ -153,3 +153,56 @@ def test_other_progressive_files(h, w, sampled, restart, share):
     y = sum(planes[0][0, 0, k] * 2 * jpeg._inverse()[k, 0] for k in range(64)) + 128
     cr = sum(planes[2][0, 0, k] * 2 * jpeg._inverse()[k, 0] for k in range(64))
     assert abs(int(rgb[0, 0, 0]) - min(255, max(0, round(float(y + 1.402 * cr))))) <= 1
+
+
+def marks_of(media, marker):
+    """The bodies of all segments of a kind, and of the scans' heads the data behind them."""
+    at, out = 2, []
+    while media[at + 1] != 0xD9:
+        size = int.from_bytes(media[at + 2 : at + 4], "big")
+        body, end = media[at + 4 : at + 2 + size], at + 2 + size
+        if media[at + 1] == 0xDA:
+            while media[end] != 255 or media[end + 1] == 0 or 208 <= media[end + 1] <= 215:
+                end += 1
+        if media[at + 1] == marker:
+            out.append((body, media[at + 2 + size : end]))
+        at = end
+    return out
+
+
+def test_prediction_and_codes_have_effect():
+    """DC goes by differences through the whole scan (no restarts), and frequent sizes have shorter codes, so that what is written depends on both."""
+    text = ("It was the best of times, it was the worst of times. " * 400).encode()
+    payload = jpeg.padded(text)
+    media = jpeg.encode(payload)
+    assert len(media) < 0.95 * len(payload)
+    assert not marks_of(media, 0xDD)
+    tables = [body for body, _ in marks_of(media, 0xC4)]
+    assert all(len({n for n, k in enumerate(t[1:17], 1) if k}) > 1 for t in tables[:2])  # codes of several lengths
+    # A unit's DC is told by what stands before it: after another first unit, the same second unit has other bits.
+    units = [bytes([65 + i]) * 192 for i in (0, 9, 20)]
+    scans = [marks_of(jpeg.encode(a + units[1]), 0xDA)[0][1] for a in (units[0], units[2])]
+    assert scans[0] != scans[1]
+    same = [len(marks_of(jpeg.encode(units[1] * n), 0xDA)[0][1]) for n in (64, 128)]
+    assert same[1] - same[0] <= 64 * 3 // 8 + 1  # a difference of 0 is one bit
+
+
+@pytest.mark.parametrize("payload", [bytes(range(256)) * 3, bytes(192), b"\xff" * 192 * 3, b" " * 192, bytes(np.random.default_rng(3).integers(0, 256, 192 * 700, np.uint8)), b"e" * 192 * 300])
+def test_own_files_by_both_ways(payload):
+    media = jpeg.encode(payload)
+    for fast in (True, False):
+        got, head = jpeg.decode(media, fast=fast)
+        assert jpeg.payload_of(got, head) == payload
+    assert all((c[..., 1:] != 0).all() for c in got)
+
+
+def test_runs_of_ended_bands_and_pieces(monkeypatch):
+    """As for very long texts: several runs, and values coded in pieces."""
+    payload = bytes(np.random.default_rng(4).integers(32, 127, 192 * 77, np.uint8))
+    one = jpeg.encode(payload)
+    monkeypatch.setattr(jpeg, "RUN", 9)
+    monkeypatch.setattr(jpeg, "PIECE", 50)
+    media = jpeg.encode(payload)
+    assert media != one
+    for fast in (True, False):
+        assert jpeg.payload_of(*jpeg.decode(media, fast=fast)) == payload
