@@ -147,7 +147,8 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("mask"))
     marked = docs.withColumns({"word": F.shiftright(bit, 6), "own": F.expr(f"shiftleft(1L, int(pmod(xxhash64(cast(doc_id AS bigint)), {FILTER}L) & 63))")})
     passed = marked.join(F.broadcast(words), "word").where(F.col("mask").bitwiseAND(F.col("own")) != 0)
-    return passed.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    # No semi-join: Spark would push it below the filter, so that all texts are shuffled.
+    return passed.select("doc_id", "text").join(ids.distinct(), "doc_id")
 
 
 def grouped(rows: DataFrame, group: DataFrame) -> DataFrame:

@@ -370,3 +370,11 @@ def test_filter_keeps_all_ids(spark, monkeypatch):
     docs = spark.range(2000).selectExpr("cast(id as int) AS doc_id", "string(id) AS text")
     got = neardup.of_ids(docs, spark.range(0, 2000, 7).toDF("doc_id"))
     assert sorted(r.doc_id for r in got.collect()) == list(range(0, 2000, 7))
+
+
+def test_filter_goes_before_the_join(spark):
+    """Spark must not push the join by id below the filter: then all texts would be shuffled."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "string(id) AS text")
+    plan = neardup.of_ids(docs, spark.range(0, 2000, 7).toDF("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and "mask" not in joins[0] and "mask" in joins[1]
