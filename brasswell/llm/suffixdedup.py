@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ LEAST, GRAM = 200, 48
 AHEAD = LEAST - GRAM
 #: Bytes of a long text that are marked at once; content of the buckets that are sorted at once; records of the largest bucket that a task sorts.
 SLICE, BATCH, HOT = 1 << 22, 1 << 21, 1 << 10
+#: Bytes of short texts that are marked at once (hashes take some dozens of bytes for each); tables of powers grow by as many.
+STRIDE = 1 << 18
 #: Distances of a bucket's windows, from step to step of cutting buckets that are too large; at one distance, all contents of a key are equal.
 STEPS = (39, 10, 3, 1)
 #: A difference cover (fixed values): each residue modulo 57 is a difference of two of these.
@@ -47,17 +48,23 @@ FACTORS = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
 SPANS = "array<struct<start: long, end: long>>"
 
 
-@lru_cache(maxsize=8)
+#: Of each factor the powers that were asked for last, and more if they are there: one table, whatever sizes texts have.
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(factor: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    ahead = np.cumprod(np.append(np.uint64(1), np.full(size, factor, np.uint64)))
-    return ahead, np.cumprod(np.append(np.uint64(1), np.full(size, pow(factor, -1, 1 << 64), np.uint64)))
+    """The powers 0 to size of the factor and of its inverse, at least."""
+    if factor not in POWERS or len(POWERS[factor][0]) <= size:
+        steps = -(-size // STRIDE) * STRIDE
+        POWERS[factor] = tuple(np.cumprod(np.append(np.uint64(1), np.full(steps, f, np.uint64))) for f in (factor, pow(factor, -1, 1 << 64)))
+    return POWERS[factor]
 
 
 class Sums:
     """Prefix sums of a polynomial hash over bytes."""
 
     def __init__(self, data: np.ndarray, factor: int) -> None:
-        ahead, self.back = _powers(factor, 1 << int(len(data)).bit_length())
+        ahead, self.back = _powers(factor, len(data))
         values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor))
         self.sums = np.append(np.uint64(0), np.cumsum(values[data] * ahead[: len(data)]))
 
@@ -148,7 +155,7 @@ def marks(docs: DataFrame) -> DataFrame:
     kinds = {"long": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=STRIDE):
             raw = [x.encode() for x in batch.column("text").to_pylist()]
             columns = list(zip(*marks_of(raw), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("row"), *(pa.array(list(c), pa.list_(kinds[k])) for c, k in zip(columns, MARKS.values(), strict=True))], ["digest", "row", *MARKS])
@@ -338,8 +345,17 @@ def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.unhex(F.sha2(plain.cast("binary"), 256)).alias("digest"), row.alias("row"), plain.alias("text"))
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For the distinct texts of docs: digest, copies (how many rows have it); and, of those that lose something, digest, text, spans (merged, in bytes).
+def _spans_of(text: str, spans: list[tuple[int, int]]) -> tuple:
+    return ([{"start": a, "end": b} for a, b in spans],)
+
+
+#: What removals() tells of a text: names and types.
+LISTED = {"spans": (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), SPANS)}
+
+
+def removals(docs: DataFrame, told: Callable[[str, list[tuple[int, int]]], tuple] = _spans_of, fields: dict[str, tuple[pa.DataType, str]] = LISTED) -> tuple[DataFrame, DataFrame]:
+    """For the distinct texts of docs: digest, copies (how many rows have it); and, of those that lose something, digest and the fields, which ``told`` derives from
+    the text and its spans (merged, in bytes) where they are merged, so that texts go to one worker only.
     Texts of LEAST bytes or more of which there are copies lose all; that isn't said again in the second table."""
     scratch = Scratch(docs.sparkSession)
     texts = with_digest(docs)
@@ -363,23 +379,24 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scratch.drop("records", *(f"spans {k}" for k in range(len(STEPS) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in chunks(batches):
             out = []
             for i in range(batch.num_rows):
                 both = [batch.column(c)[i].values for c in ("own", "found")]
                 start, end = (np.concatenate([np.zeros(0, np.int64), *(x.field(c).to_numpy() for x in both if x is not None)]) for c in ("start", "end"))
                 start, end = merged(start, end)
-                out.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), pa.array(out, kind)], ["digest", "text", "spans"])
+                out.append(told(batch.column("text")[i].as_py(), list(zip(start.tolist(), end.tolist(), strict=True))))
+            columns = [pa.array(c, k) for c, (k, _) in zip(zip(*out, strict=True), fields.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *columns], ["digest", *fields])
 
     spans = held.select("num", "digest", "text", "own").join(found, "num", "left").where("found is not null or size(own) > 0")
-    return classes.select("digest", "copies"), spans.select("digest", "text", "own", "found").mapInArrow(run, f"digest binary, text string, spans {SPANS}")
+    schema = ", ".join(("digest binary", *(f"{c} {k}" for c, (_, k) in fields.items())))
+    return classes.select("digest", "copies"), spans.select("digest", "text", "own", "found").mapInArrow(run, schema)
 
 
-def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
-    ends = [0, *(s["end"] for s in spans)]
-    return b"".join(raw[a:b] for a, b in zip(ends, [*(s["start"] for s in spans), len(raw)], strict=True))
+def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(end for _, end in spans)]
+    return b"".join(raw[a:b] for a, b in zip(ends, [*(start for start, _ in spans), len(raw)], strict=True))
 
 
 def _joined(rows: DataFrame, classes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -403,7 +420,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            kept = [kept_bytes((t or "").encode(), s) for t, s in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True)]
+            spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("removed").to_pylist()]
+            kept = [kept_bytes((t or "").encode(), s) for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], schema.names)
 
     return joined.mapInArrow(run, schema)
@@ -411,16 +429,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    classes, spans = removals(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            rows = [(sum(s["end"] - s["start"] for s in x), len(x), hashlib.sha256(kept_bytes(t.encode(), x)).hexdigest()) for t, x in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["digest", "n_removed", "n_spans", "kept"])
+    def facts(text: str, spans: list[tuple[int, int]]) -> tuple:
+        return sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(text.encode(), spans)).hexdigest()
 
     # Texts that lose nothing aren't moved: their digest is known.
-    told = spans.mapInArrow(run, "digest binary, n_removed long, n_spans long, kept string")
+    classes, told = removals(docs, facts, {"n_removed": (pa.int64(), "long"), "n_spans": (pa.int64(), "long"), "kept": (pa.string(), "string")})
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", n_bytes.alias("n_bytes"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
     whole = F.col("all") & (F.col("n_bytes") >= LEAST)

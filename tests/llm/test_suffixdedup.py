@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,32 @@ def test_hot_buckets_make_rows_by_records(spark, monkeypatch):
     assert got == sorted((i, *x) for i, x in enumerate(brute(texts)))
     records, windows, spans = hot[0]
     assert records > 1000 and windows > 5 * spans and spans < 4 * records
+
+
+def test_texts_go_to_one_worker_at_the_end(spark, tmp_path):
+    """Two steps in Python behind each other would keep two workers for each task, beside an executor whose memory is bounded."""
+    spark.createDataFrame(list(enumerate(corpus(5))), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = suffixdedup.op12_suffix_dedup(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_memory_of_marks():
+    """Tables of powers don't add up over chunks of many sizes, and a chunk of short texts takes no more than some dozens of bytes for each of its own."""
+    sizes = []
+    rows = pa.RecordBatch.from_pydict({"digest": [b"x"] * 3000, "row": list(range(3000)), "text": [f"{i} " * 80 for i in range(3000)]})
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            for part in run(iter([rows.slice(k, n) for k, n in ((0, 40), (40, 160), (200, 800), (1000, 2000))])):
+                sizes.append(part.num_rows)
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return self
+
+    suffixdedup.POWERS.clear() if hasattr(suffixdedup, "POWERS") else suffixdedup._powers.cache_clear()
+    assert suffixdedup.marks(Docs()).peak < 64e6
+    assert sum(sizes) == 3000
