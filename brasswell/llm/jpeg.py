@@ -59,8 +59,10 @@ def _signed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 COEFFICIENT = np.where(np.arange(256) < 96, np.arange(256) - 97, np.arange(256) - 94)
 OF_AC = _signed(np.sign(COEFFICIENT) * (abs(COEFFICIENT) >> 1))
 OF_DC = _signed(np.arange(-127, 128))
-#: Most blocks that one run of ended bands covers; symbols that are coded at once.
-RUN, PIECE = 0x7FFF, 1 << 18
+#: Most blocks that one run of ended bands covers; symbols that are coded at once; text whose files are written and read side by side.
+RUN, PIECE, GROUP = 0x7FFF, 1 << 18, 1 << 18
+#: Which of 32 bits are the first n, by n.
+BEFORE = np.arange(32) < np.arange(33)[:, None]
 
 
 def _lengths(counts: dict[int, int]) -> dict[int, int]:
@@ -88,64 +90,100 @@ def _table(kind: int, counts: tuple[tuple[int, int], ...]) -> tuple[bytes, dict[
 
 
 def _book(kind: int, of: tuple[np.ndarray, np.ndarray], times: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """For values of given sizes and further bits that occur so many times: the table, and each one's bits with a mask of those it has."""
+    """For values of given sizes and further bits that occur so many times: the table, and each one's bits (as a number) and how many they are."""
     size, more = of
-    counts = np.bincount(size, times)
-    table, codes = _table(kind, tuple((k, int(n)) for k, n in enumerate(counts.tolist()) if n))
-    length, code = (np.array([codes.get(k, (0, 0))[i] for k in range(len(counts))])[size] for i in (0, 1))
-    word, n = (code << size | more)[:, None], (length + size)[:, None]
-    at = np.arange(int(n[times > 0].max(initial=0)))
-    return table, (word >> np.maximum(n - 1 - at, 0) & 1).astype(np.uint8), at < n
+    counts = np.bincount(size, times).tolist()
+    table, codes = _table(kind, tuple((k, int(n)) for k, n in enumerate(counts) if n))
+    length, code = np.array([codes.get(k, (0, 0)) for k in range(len(counts))]).T
+    return table, code[size] << size | more, length[size] + size
 
 
-def _coded(values: np.ndarray, bits: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """The bits of all values, as bytes."""
-    pieces = [values[i : i + PIECE] for i in range(0, len(values), PIECE)]
-    return _bits(np.concatenate([bits[x][mask[x]] for x in pieces]))
+def _books(kind: int, of: tuple[np.ndarray, np.ndarray], file: np.ndarray, values: np.ndarray, files: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The tables of each file, whose rows have these values; bits and their numbers by 256 times the file plus the value."""
+    index = (file.reshape(-1, *[1] * (values.ndim - 1)) + values).reshape(-1)
+    times = np.bincount(index, minlength=256 * files).reshape(files, 256)[:, : len(of[0])]
+    tables, word, n = zip(*(_book(kind, of, t) for t in times), strict=True)
+    wide = lambda x: np.pad(np.stack(x), ((0, 0), (0, 256 - len(of[0])))).reshape(-1)
+    return list(tables), wide(word), wide(n)
 
 
-def _scan(components: list[int], low: int, high: int, before: int, now: int, data: np.ndarray) -> bytes:
-    head = bytes([len(components), *(x for c in components for x in (c, 0)), low, high, before << 4 | now])
-    return _segment(0xDA, head) + data.tobytes().replace(b"\xff", b"\xff\0")
+def _coded(index: np.ndarray, word: np.ndarray, n: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bits of all values, as bytes of each file, which has so many values."""
+    pieces, size = [], n.take(index)
+    for i in range(0, len(index), PIECE):
+        k = size[i : i + PIECE]
+        wide = -(-int(k.max()) // 8)
+        left = (word.take(index[i : i + PIECE]) << 32 - k).astype(">u4").view(np.uint8).reshape(-1, 4)[:, :wide]
+        pieces.append(np.unpackbits(left, axis=1)[BEFORE[:, : 8 * wide].take(k, axis=0)])
+    return _filled(np.concatenate(pieces), np.add.reduceat(size, np.cumsum(counts) - counts))
+
+
+def _filled(bits: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Bits as bytes of each file, which has so many bits, filled up with ones."""
+    left = -counts % 8
+    data = np.packbits(np.insert(bits, np.repeat(np.cumsum(counts), left), 1)).tobytes()
+    ends = np.cumsum(counts + left) // 8
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
-def _bits(bits: np.ndarray) -> np.ndarray:
-    """Bits as bytes, filled up with ones."""
-    return np.packbits(np.concatenate((bits.reshape(-1), np.ones(-bits.size % 8, np.uint8))))
+def _scan(components: list[int], low: int, high: int, before: int, now: int, data: bytes) -> bytes:
+    head = bytes([len(components), *(x for c in components for x in (c, 0)), low, high, before << 4 | now])
+    return _segment(0xDA, head) + data.replace(b"\xff", b"\xff\0")
 
 
 def encode(payload: bytes) -> bytes:
     """The payload (a positive multiple of 192 bytes) as a progressive JPEG."""
-    units = len(payload) // UNIT
-    width = min(units, max(256, -(-units // 8191)))
-    height = -(-units // width)
-    b = np.zeros((width * height, 3, 64), np.uint8)
-    b.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    n = len(b)
-    frame = bytes([8]) + (height * 8).to_bytes(2, "big") + (width * 8).to_bytes(2, "big") + bytes([3, *(x for c in (1, 2, 3) for x in (c, 0x11, 0))])
-    out = [b"\xff\xd8", _segment(0xFE, f"bytes={len(payload)}".encode()), _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, frame)]
-    dc = b[:, :, 0].astype(np.int16) - 96
-    steps = (np.diff(dc >> 1, axis=0, prepend=np.int16(0)) + 127).reshape(-1)
-    table, *book = _book(0, OF_DC, np.bincount(steps, minlength=255))
-    out += [table, _scan([1, 2, 3], 0, 0, 0, 1, _coded(steps, *book))]
-    table, *book = _book(1, OF_AC, np.bincount(b.reshape(-1), minlength=256) - np.bincount(b[:, :, 0].reshape(-1), minlength=256))
-    out.append(table)
+    return encode_all([payload])[0]
+
+
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """Each payload as a file of its own; what is the same for all is done side by side."""
+    units = np.array([len(p) // UNIT for p in payloads])
+    width = np.minimum(units, np.maximum(256, -(-units // 8191)))
+    n = -(-units // width) * width
+    b = np.frombuffer(b"".join(p.ljust(UNIT * k, b"\0") for p, k in zip(payloads, n.tolist(), strict=True)), np.uint8).reshape(-1, 3, 64)
+    file = np.repeat(256 * np.arange(len(n)), n)
+    out = []
+    for p, w, h in zip(payloads, width.tolist(), (n // width).tolist(), strict=True):
+        frame = bytes([8]) + (h * 8).to_bytes(2, "big") + (w * 8).to_bytes(2, "big") + bytes([3, *(x for c in (1, 2, 3) for x in (c, 0x11, 0))])
+        out.append([b"\xff\xd8", _segment(0xFE, f"bytes={len(p)}".encode()), _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, frame)])
+
+    def add(parts: list[bytes], *scan) -> None:
+        for x, part in zip(out, parts, strict=True):
+            x.append(_scan(*scan, part) if scan else part)
+
+    dc = b[:, :, 0].astype(np.int16) - 96 >> 1
+    steps, first = np.diff(dc, axis=0, prepend=np.int16(0)), np.cumsum(n) - n
+    steps[first] = dc[first]
+    steps += 127
+    tables, *book = _books(0, OF_DC, file, steps, len(n))
+    add(tables)
+    add(_coded((file[:, None] + steps).reshape(-1), *book, 3 * n), [1, 2, 3], 0, 0, 0, 1)
+    tables, *book = _books(1, OF_AC, file, b[:, :, 1:], len(n))
+    add(tables)
     bands = [(low, high, c) for low, high in BANDS for c in range(3)]
-    out += [_scan([c + 1], low, high, 0, 1, _coded(b[:, c, low : high + 1].reshape(-1), *book)) for low, high, c in bands]
-    out.append(_scan([1, 2, 3], 0, 0, 1, 0, _bits(b[:, :, 0] & 1)))
-    runs = [min(RUN, n - i) for i in range(0, n, RUN)]
-    classes = [r.bit_length() - 1 for r in runs]
-    table, codes = _table(1, tuple((k << 4, classes.count(k)) for k in sorted(set(classes))))
-    out.append(table)
+    for low, high, c in bands:
+        add(_coded((file[:, None] + b[:, c, low : high + 1]).reshape(-1), *book, (high - low + 1) * n), [c + 1], low, high, 0, 1)
+    add(_filled((b[:, :, 0] & 1).reshape(-1), 3 * n), [1, 2, 3], 0, 0, 1, 0)
+    heads, begins, more, tables = [], [], np.zeros(len(n), np.int64), []
+    for k, (start, blocks) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
+        runs = [min(RUN, blocks - i) for i in range(0, blocks, RUN)]
+        classes = [r.bit_length() - 1 for r in runs]
+        table, codes = _table(1, tuple((x << 4, classes.count(x)) for x in sorted(set(classes))))
+        tables.append(table)
+        for i, (r, x) in enumerate(zip(runs, classes, strict=True)):
+            length, code = codes[x << 4]
+            head = code << x | r - (1 << x)
+            heads += [head >> j & 1 for j in range(length + x - 1, -1, -1)]
+            begins += [start + i * RUN] * (length + x)
+            more[k] += length + x
+    add(tables)
     last = b & 1 ^ (b < 96)  # of the magnitude: those of negative coefficients are 97 less the byte
+    heads, begins = np.array(heads, np.uint8), np.array(begins)
     for low, high, c in bands:
-        parts = []
-        for i, r, k in zip(range(0, n, RUN), runs, classes, strict=True):
-            length, code = codes[k << 4]
-            head = code << k | r - (1 << k)
-            parts += [np.array([head >> j & 1 for j in range(length + k - 1, -1, -1)], np.uint8), last[i : i + r, c, low : high + 1].reshape(-1)]
-        out.append(_scan([c + 1], low, high, 1, 0, _bits(np.concatenate(parts))))
-    return b"".join([*out, b"\xff\xd9"])
+        size = high - low + 1
+        add(_filled(np.insert(last[:, c, low : high + 1].reshape(-1), begins * size, heads), size * n + more), [c + 1], low, high, 1, 0)
+    return [b"".join([*x, b"\xff\xd9"]) for x in out]
 
 
 class _Reader:
@@ -213,19 +251,33 @@ def _lookup(codes: tuple[tuple[tuple[int, int], int], ...]) -> tuple[np.ndarray,
     return length, symbol, length + symbol
 
 
-def _values(data: np.ndarray, codes: dict[tuple[int, int], int], count: int) -> np.ndarray:
-    """The first count values of a scan (without stuffing) in which each code's symbol is the size of a value behind it."""
-    length, symbol, far = _lookup(tuple(codes.items()))
-    data = np.concatenate((data, FILL))
+def _values(parts: list[np.ndarray], codes: list[dict[tuple[int, int], int]], counts: np.ndarray) -> np.ndarray:
+    """The first values, as many as counts say, of a scan of each file (without stuffing) in which each code's symbol is the size of a value behind it."""
+    known = {id(c): c for c in codes}
+    known = {k: _lookup(tuple(c.items())) for k, c in known.items()}
+    length, symbol, far = (np.concatenate(x) for x in zip(*(known[id(c)] for c in codes), strict=True))
+    sizes = np.array([len(p) + len(FILL) for p in parts])
+    data = np.concatenate([x for p in parts for x in (p, FILL)])
     two = data[:-1].astype(np.uint16) << 8 | data[1:]
-    peek = (two[:, None] >> SHIFTS).astype(np.uint8).reshape(-1)
-    step, place = far.take(peek).tobytes(), 0
-    ends = np.array([0, *[place := place + step[place] for _ in range(count)]], np.int64)
-    seen = peek.take(ends[:-1])
+    peek = (two[:, None] >> SHIFTS).astype(np.uint8)
+    if len(parts) > 1:
+        peek = peek + np.repeat(256 * np.arange(len(parts), dtype=np.int32), sizes)[:-1, None]
+    peek = peek.reshape(-1)
+    step, ends = far.take(peek).tobytes(), []
+    first = 8 * (np.cumsum(sizes) - sizes)
+    for place, size, count in zip(first.tolist(), sizes.tolist(), counts.tolist(), strict=True):
+        behind = place + 8 * size
+        ends += [place := place + step[place] for _ in range(count)]
+        if place > behind - 8 * len(FILL):
+            raise ValueError("the scan is too short")
+    ends = np.array(ends, np.int64)
+    begin = np.append(0, ends[:-1])
+    begin[np.cumsum(counts) - counts] = first
+    seen = peek.take(begin)
     if not length.take(seen).all():
         raise ValueError("no such code")
     size = symbol.take(seen).astype(np.int32)
-    begin = ends[1:] - size
+    begin = ends - size
     first = begin >> 3
     v = two.take(first).astype(np.int32) << 8 | data.take(first + 2)
     full = (1 << size) - 1
@@ -235,10 +287,37 @@ def _values(data: np.ndarray, codes: dict[tuple[int, int], int], count: int) ->
 
 def decode(media: bytes, fast: bool = True) -> tuple[list[np.ndarray], dict]:
     """Coefficients of each component (rows of blocks, blocks, 64 in order of transmission), and the header's fields."""
+    return decode_all([media], fast)[0]
+
+
+def decode_all(files: list[bytes], fast: bool = True) -> list[tuple[list[np.ndarray], dict]]:
+    """decode() of each file; those with the same scans are read side by side."""
+    parsed = [_parsed(media) for media in files]
+    alike: dict[tuple, list[int]] = {}
+    for i, (shapes, head, scans) in enumerate(parsed):
+        plain = fast and all(p[1:3] == (1, 1) for p in head["parts"]) and not any(s[6] for s in scans) and all(n <= 8 for n in {id(c): max((n for n, _ in c), default=0) for s in scans for t in s[1] for c in t if c}.values())
+        alike.setdefault((len(shapes), *((tuple(s[0]), *s[2:6]) for s in scans)) if plain else (i,), []).append(i)
+    out: list = [None] * len(files)
+    for key, mine in alike.items():
+        blocks = np.array([[r * k for r, k, _ in parsed[i][0]] for i in mine])
+        planes = [np.zeros((n, 64), np.int32) for n in blocks.sum(axis=0).tolist()]
+        ends = np.cumsum(blocks, axis=0).tolist()
+        for i, end, size in zip(mine, ends, blocks.tolist(), strict=True):
+            out[i] = ([p[e - n : e].reshape(shape) for p, e, n, shape in zip(planes, end, size, parsed[i][0], strict=True)], parsed[i][1])
+        for scans in zip(*(parsed[i][2] for i in mine), strict=True):
+            if len(key) == 1 or not _scan_at_once(planes, blocks[:, 0], scans):
+                for i, scan in zip(mine, scans, strict=True):
+                    _scan_by_codes(*out[i], *scan)
+    return out
+
+
+def _parsed(media: bytes) -> tuple[list[tuple[int, int, int]], dict, list[tuple]]:
+    """The shape of each component's coefficients, the header's fields, and the scans as they are read by codes."""
     raw = np.frombuffer(media, np.uint8)
     at, head, codes, quant, restart = 2, {"comment": b""}, {}, {}, 0
     marks = np.flatnonzero((raw[:-1] == 255) & (raw[1:] != 0) & ((raw[1:] < 208) | (raw[1:] > 215)))
-    coefficients: list[np.ndarray] = []
+    shapes: list[tuple[int, int, int]] = []
+    scans: list[tuple] = []
     while media[at + 1] != 0xD9:
         marker, size = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
         body, at = media[at + 4 : at + 2 + size], at + 2 + size
@@ -255,7 +334,7 @@ def decode(media: bytes, fast: bool = True) -> tuple[list[np.ndarray], dict]:
             hm, vm = max(p[1] for p in parts), max(p[2] for p in parts)
             mw, mh = -(-w // (8 * hm)), -(-h // (8 * vm))
             head |= {"size": (h, w), "parts": parts, "most": (hm, vm)}
-            coefficients = [np.zeros((mh * p[2], mw * p[1], 64), np.int32) for p in parts]
+            shapes = [(mh * p[2], mw * p[1], 64) for p in parts]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
@@ -269,48 +348,51 @@ def decode(media: bytes, fast: bool = True) -> tuple[list[np.ndarray], dict]:
             which = [next(i for i, p in enumerate(head["parts"]) if p[0] == body[1 + 2 * k]) for k in range(n)]
             tables = [(codes.get(body[2 + 2 * k] >> 4), codes.get(16 | body[2 + 2 * k] & 15)) for k in range(n)]
             low, high, before, now = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
-            data, at = raw[at:end], end
-            args = (coefficients, head, which, tables, low, high, before, now, restart, data)
-            if not (fast and _scan_at_once(*args)):
-                _scan_by_codes(*args)
+            scans.append((which, tables, low, high, before, now, restart, raw[at:end]))
+            at = end
     head["quant"] = quant
-    return coefficients, head
+    return shapes, head, scans
 
 
-def _scan_at_once(coefficients, head, which, tables, low, high, before, now, restart, data) -> bool:
-    """Reads a scan whose values all can be placed before they are read; says whether it was one."""
-    if restart or any(p[1:3] != (1, 1) for p in head["parts"]):
-        return False
-    blocks = coefficients[which[0]].shape[0] * coefficients[which[0]].shape[1]
+def _scan_at_once(planes: list[np.ndarray], blocks: np.ndarray, scans: list[tuple]) -> bool:
+    """Reads a scan of files whose values all can be placed before they are read; says whether it was one. planes: of each component the blocks of all files;
+    blocks: of each file; scans: as they are read by codes."""
+    which, _, low, high, before, now = scans[0][:6]
+    parts = [_plain(s[-1]) for s in scans]
     if low == 0 and before:
-        bits = np.unpackbits(_plain(data))[: blocks * len(which)].reshape(blocks, len(which))
+        counts = (blocks * len(which)).tolist()
+        bits = np.concatenate([np.unpackbits(p)[:n] for p, n in zip(parts, counts, strict=True)]).reshape(-1, len(which))
         for k, c in enumerate(which):
-            coefficients[c].reshape(-1, 64)[:, 0] |= bits[:, k].astype(np.int32) << now
+            planes[c][:, 0] |= bits[:, k].astype(np.int32) << now
         return True
-    codes = tables[0][1 if low else 0]
-    if any(n > 8 for n, _ in codes):
-        return False
+    codes = [s[1][0][1 if low else 0] for s in scans]
     if low == 0:
-        if any(t[0] != codes for t in tables) or max(codes.values()) > 15:
+        if any(t[0] != c for s, c in zip(scans, codes, strict=True) for t in s[1]) or max(max(c.values()) for c in codes) > 15:
             return False
-        values = _values(_plain(data), codes, blocks * len(which)).reshape(blocks, len(which)).cumsum(axis=0)
+        values = _values(parts, codes, blocks * len(which)).reshape(-1, len(which)).cumsum(axis=0)
+        ends = np.cumsum(blocks)
+        values -= np.repeat(np.concatenate((values[:1] * 0, values[ends[:-1] - 1])), blocks, axis=0)
         for k, c in enumerate(which):
-            coefficients[c].reshape(-1, 64)[:, 0] = values[:, k] << now
+            planes[c][:, 0] = values[:, k] << now
         return True
-    block = coefficients[which[0]].reshape(-1, 64)[:, low : high + 1]
-    if not before and all(0 < s < 16 for s in codes.values()):
-        block[:] = (_values(_plain(data), codes, block.size) << now).reshape(block.shape)
+    block = planes[which[0]][:, low : high + 1]
+    width = block.shape[1]
+    if not before and all(0 < s < 16 for c in codes for s in c.values()):
+        block[:] = (_values(parts, codes, blocks * width) << now).reshape(block.shape)
         return True
-    if before and all(s < 240 and not s & 15 for s in codes.values()) and block.all():
-        bits, at, place, width = np.unpackbits(_plain(data)), 0, 0, block.shape[1]
-        while at < blocks:
-            read = _Reader(bits[place : place + 32])
-            k = read.symbol(codes) >> 4
-            run = min((1 << k) + read.take(k), blocks - at)
-            place += read.at
-            part = block[at : at + run]
-            part += np.sign(part) * (bits[place : place + part.size].reshape(part.shape).astype(np.int32) << now)
-            at, place = at + run, place + run * width
+    if before and all(s < 240 and not s & 15 for c in codes for s in c.values()) and block.all():
+        pieces = []
+        for part, code, n in zip(parts, codes, blocks.tolist(), strict=True):
+            bits, at, place = np.unpackbits(part), 0, 0
+            while at < n:
+                read = _Reader(bits[place : place + 32])
+                k = read.symbol(code) >> 4
+                run = min((1 << k) + read.take(k), n - at)
+                place += read.at
+                pieces.append(bits[place : place + run * width])
+                at, place = at + run, place + run * width
+        more = np.concatenate(pieces).reshape(block.shape).astype(np.int32) << now
+        block += np.where(block < 0, -more, more)
         return True
     return False
 
@@ -424,9 +506,7 @@ def media_columns(docs: DataFrame, text: str = "text", wanted: tuple[str, ...] =
     base = docs.select(*kept, text)
     schema = docs.select(*kept, *(F.lit(None).cast(k).alias(n) for n, _, k in fields)).schema
 
-    def row(data: bytes) -> tuple:
-        media = encode(padded(data))
-        coefficients, head = decode(media)
+    def row(data: bytes, media: bytes, coefficients: list[np.ndarray], head: dict) -> tuple:
         back, rgb = payload_of(coefficients, head), pixels(coefficients, head)
         flat = rgb.reshape(-1, 3)
         feature = ",".join(f"{x:.3f}" for x in (*flat.mean(axis=0), *flat.std(axis=0, dtype=np.float32)))
@@ -434,8 +514,10 @@ def media_columns(docs: DataFrame, text: str = "text", wanted: tuple[str, ...] =
         return tuple(v for v, f in zip(all_, FIELDS, strict=True) if f[0] in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text, 1 << 20):
-            rows = zip(*(row(t.encode("utf-8", "surrogatepass")) for t in texts_of(batch, text)), strict=True)
+        for batch in chunks(batches, text, GROUP):
+            data = [t.encode("utf-8", "surrogatepass") for t in texts_of(batch, text)]
+            files = encode_all([padded(d) for d in data])
+            rows = zip(*(row(d, media, *read) for d, media, read in zip(data, files, decode_all(files), strict=True)), strict=True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, f[1]) for c, f in zip(rows, fields, strict=True))], schema.names)
 
     return base.mapInArrow(run, schema)

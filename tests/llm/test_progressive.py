@@ -206,3 +206,28 @@ def test_runs_of_ended_bands_and_pieces(monkeypatch):
     assert media != one
     for fast in (True, False):
         assert jpeg.payload_of(*jpeg.decode(media, fast=fast)) == payload
+
+
+def test_files_side_by_side(monkeypatch):
+    """Files of one group are written and read in as many steps as one file, and each is what it is alone."""
+    rng = np.random.default_rng(9)
+    payloads = [bytes(rng.integers(lowest, 127, 192 * n, np.uint8)) for n, lowest in ((1, 32), (300, 97), (7, 0), (2, 32), (513, 60))] + [b" " * 192, bytes(192 * 3)]
+    monkeypatch.setattr(jpeg, "RUN", 200)
+    alone = [jpeg.encode(p) for p in payloads]
+    assert jpeg.encode_all(payloads) == alone
+    steps, values = [], jpeg._values
+    monkeypatch.setattr(jpeg, "_values", lambda *args: steps.append(1) or values(*args))
+    read = jpeg.decode_all(alone)
+    assert len(steps) == 7  # scans of values, not scans times files
+    for payload, media, (got, head) in zip(payloads, alone, read, strict=True):
+        want, fields = jpeg.decode(media, fast=False)
+        assert all(a.shape == b.shape and (a == b).all() for a, b in zip(got, want, strict=True)) and str(head) == str(fields)
+        assert jpeg.payload_of(got, head) == payload
+
+
+def test_short_scan_doesnt_run_into_the_next_file():
+    files = [jpeg.encode(bytes(np.random.default_rng(k).integers(32, 127, 192 * 9, np.uint8))) for k in range(2)]
+    data = marks_of(files[0], 0xDA)[1][1]
+    files[0] = files[0].replace(data, data[:-12])
+    with pytest.raises(ValueError, match="too short"):
+        jpeg.decode_all(files)
