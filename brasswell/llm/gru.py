@@ -50,17 +50,21 @@ def unflat(v: np.ndarray, classes: int, size: int, groups: int) -> dict[str, np.
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def step(p, x: np.ndarray, h: np.ndarray):
-    """The next state, and what backpropagation needs."""
-    n, k = HIDDEN, h @ p["u"]
-    gates = _sigmoid(x[:, : 2 * n] + k[:, : 2 * n])
-    z, r, kn = gates[:, :n], gates[:, n:], k[:, 2 * n :]
-    new = np.tanh(x[:, 2 * n :] + r * kn)
-    return new + z * (h - new), (h, z, r, kn, new)
+    """The next state, and what backpropagation needs. Columns are cases, so that gates are whole rows."""
+    n, k = HIDDEN, p["u"].T @ h
+    gates = x[: 2 * n] + k[: 2 * n]
+    np.exp(np.negative(gates, out=gates), out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r, kn = gates[:n], gates[n:], k[2 * n :]
+    new = r * kn
+    new += x[2 * n :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= z
+    after += new
+    return after, (h, z, r, kn, new)
 
 
 def _softmax(x: np.ndarray, wanted: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -83,7 +87,9 @@ def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = N
     c = np.where(ids < classes * size, ids // size, ids - classes * (size - 1))
     order = np.argsort(c.astype(np.int16), kind="stable")
     ids, c, h = ids[order], c[order], h[order]
-    score, d = _softmax(p["wc"].T @ h.T + p["bc"][:, None], c, learns)
+    x = p["wc"].T @ h.T
+    x += p["bc"][:, None]
+    score, d = _softmax(x, c, learns)
     dh = None
     if learns:
         grads["wc"], grads["bc"] = (d @ h).T, d.sum(axis=1)
@@ -93,7 +99,9 @@ def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = N
     for k in range(classes):
         rows = slice(cuts[k], cuts[k + 1])
         if cuts[k + 1] > cuts[k]:
-            told, d = _softmax(p["ww"][k].T @ h[rows].T + p["bw"][k][:, None], ids[rows] - k * size, learns)
+            x = p["ww"][k].T @ h[rows].T
+            x += p["bw"][k][:, None]
+            told, d = _softmax(x, ids[rows] - k * size, learns)
             score[rows] += told
             if learns:
                 grads["ww"][k], grads["bw"][k] = (d @ h[rows]).T, d.sum(axis=1)
@@ -128,37 +136,44 @@ class Trainer:
         seen = seen[:t]
         lanes = len(h)
         e = p["emb"][seen.reshape(-1)]
-        x = (e @ p["wx"] + p["bx"]).reshape(t, lanes, 3 * n)
-        states, kept = np.empty((t, lanes, n), np.float32), []
+        x = p["wx"].T @ e.T
+        x += p["bx"][:, None]
+        states, kept, live, h = np.empty((t, lanes, n), np.float32), [], (seen != self.end).astype(x.dtype), h.T
+        parts = [slice(i * lanes, (i + 1) * lanes) for i in range(t)]
         for i in range(t):
-            h = h * (seen[i] != self.end)[:, None]  # a document begins without a state
-            h, k = step(p, x[i], h)
-            states[i] = h
+            h, k = step(p, x[:, parts[i]], h * live[i])  # a document begins without a state
+            states[i] = h.T
             kept.append(k)
         g: dict[str, np.ndarray] = {}
         _, dh_all = outputs(p, states.reshape(-1, n), wanted.reshape(-1), self.size, g)
-        dh_all, dx, dh = dh_all.reshape(t, lanes, n), np.empty_like(x), np.zeros((lanes, n), np.float32)
-        dk_all, u_back = np.empty_like(x), np.ascontiguousarray(p["u"].T)
+        dh_all, dx, dk_all, dh = np.ascontiguousarray(dh_all.T), np.empty_like(x), np.empty_like(x), np.zeros((n, lanes), np.float32)
         for i in range(t - 1, -1, -1):
             before, z, r, kn, new = kept[i]
-            dh = dh + dh_all[i]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dx[i, :, :n], dx[i, :, n : 2 * n], dx[i, :, 2 * n :] = dh * (before - new) * z * (1 - z), dnew * kn * r * (1 - r), dnew
-            dk = dk_all[i]
-            dk[:] = dx[i]
-            dk[:, 2 * n :] *= r
-            dh = (dh * z + dk @ u_back) * (seen[i] != self.end)[:, None]
-        g["u"] = np.concatenate([k[0] for k in kept]).T @ dk_all.reshape(-1, 3 * n)
-        flat_dx = dx.reshape(-1, 3 * n)
-        g["wx"], g["bx"] = e.T @ flat_dx, flat_dx.sum(axis=0)
-        de, at = p["wx"] @ flat_dx.T, seen.reshape(-1)
+            dh = dh + dh_all[:, parts[i]]
+            dnew = dh * (1 - z)
+            dz = (before - new) * z
+            dz *= dnew
+            dnew *= 1 - new * new
+            dr = dnew * kn
+            dr *= r
+            dr *= 1 - r
+            for d in (dx[:, parts[i]], dk_all[:, parts[i]]):
+                d[:n], d[n : 2 * n] = dz, dr
+            dx[2 * n :, parts[i]] = dnew
+            np.multiply(dnew, r, out=dk_all[2 * n :, parts[i]])
+            dh *= z
+            dh += p["u"] @ dk_all[:, parts[i]]
+            dh *= live[i]
+        g["u"] = np.concatenate([k[0] for k in kept], axis=1) @ dk_all.T
+        g["wx"], g["bx"] = (dx @ e).T, dx.sum(axis=1)
+        de, at = p["wx"] @ dx, seen.reshape(-1)
         g["emb"] = np.stack([np.bincount(at, d, len(p["emb"])) for d in de], axis=1).astype(p["emb"].dtype)
         scale = 1 / wanted.size
         for k, v in g.items():
             v *= scale
             self.seen[k] += v * v
             p[k] -= RATE * v / np.sqrt(self.seen[k])
-        return h
+        return h.T
 
 
 def score_documents(p, ids: list[np.ndarray], size: int, end: int) -> np.ndarray:
@@ -167,7 +182,7 @@ def score_documents(p, ids: list[np.ndarray], size: int, end: int) -> np.ndarray
     lengths = np.array([len(ids[i]) for i in order])
     total = np.zeros(len(ids))
     projected = p["emb"] @ p["wx"] + p["bx"]
-    h, block = np.zeros((len(ids), HIDDEN), np.float32), 64
+    h, block = np.zeros((HIDDEN, len(ids)), np.float32), 64
     last = np.full(len(ids), end)
     for t in range(0, int(lengths.max(initial=0)), block):
         live = int(np.searchsorted(-lengths, -t, side="left"))
@@ -181,10 +196,10 @@ def score_documents(p, ids: list[np.ndarray], size: int, end: int) -> np.ndarray
             now = int(np.searchsorted(-sizes, -i, side="left"))
             if not now:
                 break
-            h[:now], _ = step(p, projected[last[:now]], h[:now])
+            h[:, :now], _ = step(p, np.ascontiguousarray(projected[last[:now]].T), h[:, :now])
             last[:now] = grid[:now, i]
             rows.append(np.arange(now))
-            states.append(h[:now].copy())
+            states.append(np.ascontiguousarray(h[:, :now].T))
             wanted.append(last[:now].copy())
         states, wanted = np.concatenate(states), np.concatenate(wanted)
         score = np.concatenate([outputs(p, states[i : i + CASES], wanted[i : i + CASES], size)[0] for i in range(0, len(wanted), CASES)])

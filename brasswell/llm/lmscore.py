@@ -32,16 +32,21 @@ FREQUENT = 100_000
 #: Marks: the root of the number of words that are grouped, divided by this.
 SHARE = 8
 POOL = 1 << 21
+#: Text whose words are found at once, in bytes.
+AT_ONCE = 1 << 17
 END = np.uint64(1)
 MERGE = 16
 ROUNDS = 3
 
 
 def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the batch's texts, each text's end behind it, and how many each text has."""
-    w = words_of(texts_of(batch))
-    hashes = np.insert(w.hashes, w.bounds[1:], END)
-    return hashes, np.diff(w.bounds) + 1
+    """Word hashes of the batch's texts, each text's end behind it, and how many each text has. Words are found in few texts at a time, whose arrays stay small."""
+    hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in chunks([batch], limit=AT_ONCE):
+        w = words_of(texts_of(part))
+        hashes.append(np.insert(w.hashes, w.bounds[1:], END))
+        sizes.append(np.diff(w.bounds) + 1)
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

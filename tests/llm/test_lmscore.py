@@ -1,6 +1,7 @@
 """The recurrent model held against plain numpy, one token at a time, and the groups of rarer words."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brasswell.llm import gru, lmscore
@@ -104,3 +105,31 @@ def test_places_of_words_by_first_bits():
         asked = np.concatenate((h, rng.integers(0, 1 << 64, 500, np.uint64, endpoint=False), np.array([0, 6, 13, (1 << 64) - 1], np.uint64)))
         want = [list(words.h).index(x) if x in words.h else -1 for x in asked]
         assert words.at(asked).tolist() == want
+
+
+def test_steps_of_many_cases_are_whole_rows():
+    """Columns are cases; each is what the formulas say."""
+    p, rng, n = model(7), np.random.default_rng(8), gru.HIDDEN
+    x, h = rng.normal(size=(3 * n, 5)), rng.normal(size=(n, 5))
+    got, (_, z, r, _, new) = gru.step(p, x, h)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for i in range(5):
+        k = h[:, i] @ p["u"]
+        zi, ri = sigmoid(x[:n, i] + k[:n]), sigmoid(x[n : 2 * n, i] + k[n : 2 * n])
+        want = np.tanh(x[2 * n :, i] + ri * k[2 * n :])
+        assert np.allclose(z[:, i], zi) and np.allclose(r[:, i], ri) and np.allclose(new[:, i], want)
+        assert np.allclose(got[:, i], zi * h[:, i] + (1 - zi) * want)
+    assert z.flags.c_contiguous and r.flags.c_contiguous
+
+
+def test_words_are_found_in_few_texts_at_a_time(monkeypatch):
+    texts = [None, "", "One two two", "x " * 50, "three", "  "] * 4
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    want = lmscore.tokens_of(batch)
+    seen, words_of = [], lmscore.words_of
+    monkeypatch.setattr(lmscore, "AT_ONCE", 60)
+    monkeypatch.setattr(lmscore, "words_of", lambda x: seen.append(len(x)) or words_of(x))
+    got = lmscore.tokens_of(batch)
+    assert len(seen) > 3 and sum(seen) == len(texts)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want, strict=True))
+    assert got[1].tolist() == [1, 1, 4, 51, 2, 1] * 4 and [len(x) for x in lmscore.tokens_of(batch.slice(0, 0))] == [0, 0]
