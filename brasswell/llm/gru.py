@@ -199,7 +199,7 @@ def score_documents(p, ids: list[np.ndarray], size: int, end: int) -> np.ndarray
             h[:, :now], _ = step(p, np.ascontiguousarray(projected[last[:now]].T), h[:, :now])
             last[:now] = grid[:now, i]
             rows.append(np.arange(now))
-            states.append(np.ascontiguousarray(h[:, :now].T))
+            states.append(h[:, :now].T.copy())
             wanted.append(last[:now].copy())
         states, wanted = np.concatenate(states), np.concatenate(wanted)
         score = np.concatenate([outputs(p, states[i : i + CASES], wanted[i : i + CASES], size)[0] for i in range(0, len(wanted), CASES)])

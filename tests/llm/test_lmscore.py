@@ -133,3 +133,9 @@ def test_words_are_found_in_few_texts_at_a_time(monkeypatch):
     assert len(seen) > 3 and sum(seen) == len(texts)
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, want, strict=True))
     assert got[1].tolist() == [1, 1, 4, 51, 2, 1] * 4 and [len(x) for x in lmscore.tokens_of(batch.slice(0, 0))] == [0, 0]
+
+
+def test_one_document_alone_scores_as_token_by_token():
+    p, doc = model(3), np.append(np.random.default_rng(2).integers(1, WORDS + GROUPS, 150), END)
+    got = gru.score_documents({k: v.astype(np.float32) for k, v in p.items()}, [doc], SIZE, END)
+    assert np.allclose(got, [told(p, doc)], rtol=1e-4)
