@@ -15,7 +15,9 @@ SEEN = 1e-4
 #: Lanes side by side: as many as leave ``UPDATES`` windows in a pool, and no more than ``LANES``.
 LANES, UPDATES = 512, 128
 #: Cases whose outputs are computed at once when scoring.
-CASES = 8192
+CASES = 4096
+#: Cases of classes at once, and documents side by side when scoring.
+AT_ONCE, ABREAST = 1024, 1024
 
 
 def shapes(classes: int, size: int, groups: int) -> dict[str, tuple[int, ...]]:
@@ -82,37 +84,46 @@ def _softmax(x: np.ndarray, wanted: np.ndarray, grads: bool) -> tuple[np.ndarray
 
 
 def outputs(p, h: np.ndarray, ids: np.ndarray, size: int, grads: dict | None = None):
-    """Natural log-probabilities of the ids after the states h; with grads, adds to them and gives the states' gradients too."""
-    classes, learns = len(p["bw"]), grads is not None
+    """Natural log-probabilities of the ids after the states h; with grads, adds to them and gives the states' gradients too.
+
+    A one behind each state makes biases a row of the weights, so that products add them and sum their gradients.
+    """
+    classes, n, learns = len(p["bw"]), HIDDEN, grads is not None
     c = np.where(ids < classes * size, ids // size, ids - classes * (size - 1))
     order = np.argsort(c.astype(np.int16), kind="stable")
-    ids, c, h = ids[order], c[order], h[order]
-    x = p["wc"].T @ h.T
-    x += p["bc"][:, None]
-    score, d = _softmax(x, c, learns)
-    dh = None
+    ids, c, ones = ids[order], c[order], np.ones((len(ids), n + 1), h.dtype)
+    ones[:, :n] = h[order]
+    w, score, dh, dw = np.vstack((p["wc"], p["bc"])), np.empty(len(ids), h.dtype), None, 0
     if learns:
-        grads["wc"], grads["bc"] = (d @ h).T, d.sum(axis=1)
-        grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        dh = d.T @ p["wc"].T
+        dh = np.empty((len(ids), n), h.dtype)
+    for a in range(0, len(ids), AT_ONCE):  # as many as a core's own cache holds
+        part = slice(a, a + AT_ONCE)
+        score[part], d = _softmax(w.T @ ones[part].T, c[part], learns)
+        if learns:
+            dw += d @ ones[part]
+            np.matmul(d.T, p["wc"].T, out=dh[part])
+    # Words: each class fills its columns, and one softmax does all.
     cuts = np.searchsorted(c, np.arange(classes + 1)).tolist()
-    for k in range(classes):
-        rows = slice(cuts[k], cuts[k + 1])
-        if cuts[k + 1] > cuts[k]:
-            x = p["ww"][k].T @ h[rows].T
-            x += p["bw"][k][:, None]
-            told, d = _softmax(x, ids[rows] - k * size, learns)
-            score[rows] += told
-            if learns:
-                grads["ww"][k], grads["bw"][k] = (d @ h[rows]).T, d.sum(axis=1)
-                dh[rows] += d.T @ p["ww"][k].T
+    own, w = cuts[-1], np.concatenate((p["ww"], p["bw"][:, None]), axis=1)
+    parts = [(k, slice(cuts[k], cuts[k + 1])) for k in range(classes) if cuts[k + 1] > cuts[k]]
+    x = np.empty((size, own), h.dtype)
+    for k, rows in parts:
+        np.matmul(w[k].T, ones[rows].T, out=x[:, rows])
+    told, d = _softmax(x, ids[:own] - c[:own] * size, learns)
+    score[:own] += told
     out = np.empty(len(ids))
     out[order] = score
-    if learns:
-        back = np.empty_like(dh)
-        back[order] = dh
-        return out, back
-    return out, None
+    if not learns:
+        return out, None
+    grads["wc"], grads["bc"] = dw[:, :n].T, dw[:, n]
+    dw = np.zeros((classes, size, n + 1), h.dtype)
+    for k, rows in parts:
+        np.matmul(d[:, rows], ones[rows], out=dw[k])
+        dh[rows] += d[:, rows].T @ p["ww"][k].T
+    grads["ww"], grads["bw"] = dw[:, :, :n].transpose(0, 2, 1), dw[:, :, n]
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, back
 
 
 class Trainer:
@@ -121,6 +132,7 @@ class Trainer:
     def __init__(self, p: dict[str, np.ndarray], size: int, end: int, seen: dict[str, np.ndarray] | None = None) -> None:
         self.p, self.size, self.end = {k: v.copy() for k, v in p.items()}, size, end
         self.seen = {k: v.copy() for k, v in seen.items()} if seen else {k: np.full_like(v, SEEN) for k, v in p.items()}
+        self.room: list[np.ndarray] | None = None
 
     def learn(self, ids: np.ndarray) -> None:
         lanes = max(1, min(LANES, len(ids) // (UPDATES * WINDOW)))
@@ -134,76 +146,85 @@ class Trainer:
     def _window(self, seen: np.ndarray, wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, n, t = self.p, HIDDEN, len(wanted)
         seen = seen[:t]
-        lanes = len(h)
-        e = p["emb"][seen.reshape(-1)]
-        x = p["wx"].T @ e.T
+        lanes, at = len(h), seen.reshape(-1)
+        if self.room is None or self.room[0].shape[1] != t * lanes:  # kept from window to window, so that memory isn't asked for again
+            self.room = [np.empty((k * n, t * lanes), p["u"].dtype) for k in (3, 3, 3, 1)] + [np.empty((t * lanes, n), p["u"].dtype)]
+        x, dx, dk_all, befores, states = self.room
+        e = p["emb"][at]
+        np.matmul(p["wx"].T, e.T, out=x)
         x += p["bx"][:, None]
-        states, kept, live, h = np.empty((t, lanes, n), np.float32), [], (seen != self.end).astype(x.dtype), h.T
+        kept, live, h = [], (seen != self.end).astype(x.dtype), h.T
         parts = [slice(i * lanes, (i + 1) * lanes) for i in range(t)]
         for i in range(t):
-            h, k = step(p, x[:, parts[i]], h * live[i])  # a document begins without a state
-            states[i] = h.T
+            before = np.multiply(h, live[i], out=befores[:, parts[i]])  # a document begins without a state
+            h, k = step(p, x[:, parts[i]], before)
+            states[parts[i]] = h.T
             kept.append(k)
         g: dict[str, np.ndarray] = {}
-        _, dh_all = outputs(p, states.reshape(-1, n), wanted.reshape(-1), self.size, g)
-        dh_all, dx, dk_all, dh = np.ascontiguousarray(dh_all.T), np.empty_like(x), np.empty_like(x), np.zeros((n, lanes), np.float32)
+        _, dh_all = outputs(p, states, wanted.reshape(-1), self.size, g)
+        dh = np.zeros((n, lanes), x.dtype)
         for i in range(t - 1, -1, -1):
             before, z, r, kn, new = kept[i]
-            dh = dh + dh_all[:, parts[i]]
+            dh += dh_all[parts[i]].T
             dnew = dh * (1 - z)
-            dz = (before - new) * z
+            dz = before - new
+            dz *= z
             dz *= dnew
             dnew *= 1 - new * new
             dr = dnew * kn
             dr *= r
             dr *= 1 - r
-            for d in (dx[:, parts[i]], dk_all[:, parts[i]]):
-                d[:n], d[n : 2 * n] = dz, dr
-            dx[2 * n :, parts[i]] = dnew
-            np.multiply(dnew, r, out=dk_all[2 * n :, parts[i]])
+            d, dk = dx[:, parts[i]], dk_all[:, parts[i]]
+            d[:n], d[n : 2 * n], d[2 * n :] = dz, dr, dnew
+            dk[:n], dk[n : 2 * n] = dz, dr
+            np.multiply(dnew, r, out=dk[2 * n :])
             dh *= z
-            dh += p["u"] @ dk_all[:, parts[i]]
+            dh += p["u"] @ dk
             dh *= live[i]
-        g["u"] = np.concatenate([k[0] for k in kept], axis=1) @ dk_all.T
+        g["u"] = befores @ dk_all.T
         g["wx"], g["bx"] = (dx @ e).T, dx.sum(axis=1)
-        de, at = p["wx"] @ dx, seen.reshape(-1)
+        de = p["wx"] @ dx
         g["emb"] = np.stack([np.bincount(at, d, len(p["emb"])) for d in de], axis=1).astype(p["emb"].dtype)
         scale = 1 / wanted.size
         for k, v in g.items():
-            v *= scale
+            v = np.multiply(v, scale, order="C")
             self.seen[k] += v * v
-            p[k] -= RATE * v / np.sqrt(self.seen[k])
+            v *= RATE
+            v /= np.sqrt(self.seen[k])
+            p[k] -= v
         return h.T
 
 
 def score_documents(p, ids: list[np.ndarray], size: int, end: int) -> np.ndarray:
-    """The natural log-probability of each whole document (its ids, the end included). Documents run side by side, longest first."""
+    """The natural log-probability of each whole document (its ids, the end included). Documents run side by side, ``ABREAST`` at once, longest first."""
     order = np.argsort([-len(x) for x in ids], kind="stable")
-    lengths = np.array([len(ids[i]) for i in order])
-    total = np.zeros(len(ids))
-    projected = p["emb"] @ p["wx"] + p["bx"]
+    projected, out = np.ascontiguousarray((p["emb"] @ p["wx"] + p["bx"]).T), np.zeros(len(ids))
+    for a in range(0, len(ids), ABREAST):
+        mine = order[a : a + ABREAST]
+        out[mine] = _abreast(p, projected, [ids[i] for i in mine], size, end)
+    return out
+
+
+def _abreast(p, projected: np.ndarray, ids: list[np.ndarray], size: int, end: int) -> np.ndarray:
+    """The same of documents that are sorted by falling length."""
+    lengths, total, each = np.array([len(x) for x in ids]), np.zeros(len(ids)), np.arange(len(ids))
     h, block = np.zeros((HIDDEN, len(ids)), np.float32), 64
     last = np.full(len(ids), end)
+    states, wanted, rows = np.empty((block * len(ids), HIDDEN), np.float32), np.empty(block * len(ids), last.dtype), np.empty(block * len(ids), np.int64)
     for t in range(0, int(lengths.max(initial=0)), block):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        rows, states, wanted = [], [], []
-        part = [ids[order[i]][t : t + block] for i in range(live)]
-        grid = np.full((live, block), end)
-        for i, x in enumerate(part):
-            grid[i, : len(x)] = x
-        sizes = np.minimum(lengths[:live] - t, block)
-        for i in range(block):
-            now = int(np.searchsorted(-sizes, -i, side="left"))
+        live, n = int(np.searchsorted(-lengths, -t, side="left")), 0
+        grid = np.full((block, live), end)
+        for i in range(live):
+            x = ids[i][t : t + block]
+            grid[: len(x), i] = x
+        for i, now in enumerate(np.searchsorted(t - lengths[:live], -np.arange(block), side="left").tolist()):
             if not now:
                 break
-            h[:, :now], _ = step(p, np.ascontiguousarray(projected[last[:now]].T), h[:, :now])
-            last[:now] = grid[:now, i]
-            rows.append(np.arange(now))
-            states.append(h[:, :now].T.copy())
-            wanted.append(last[:now].copy())
-        states, wanted = np.concatenate(states), np.concatenate(wanted)
-        score = np.concatenate([outputs(p, states[i : i + CASES], wanted[i : i + CASES], size)[0] for i in range(0, len(wanted), CASES)])
-        total[:live] += np.bincount(np.concatenate(rows), score, live)
-    out = np.empty(len(ids))
-    out[order] = total
-    return out
+            h[:, :now], _ = step(p, projected.take(last[:now], axis=1, mode="clip"), h[:, :now])
+            last[:now] = grid[i, :now]
+            states[n : n + now], wanted[n : n + now], rows[n : n + now] = h[:, :now].T, last[:now], each[:now]
+            n += now
+        for i in range(0, n, CASES):
+            part = slice(i, min(i + CASES, n))
+            total[:live] += np.bincount(rows[part], outputs(p, states[part], wanted[part], size)[0], live)
+    return total

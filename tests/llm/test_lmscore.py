@@ -139,3 +139,36 @@ def test_one_document_alone_scores_as_token_by_token():
     p, doc = model(3), np.append(np.random.default_rng(2).integers(1, WORDS + GROUPS, 150), END)
     got = gru.score_documents({k: v.astype(np.float32) for k, v in p.items()}, [doc], SIZE, END)
     assert np.allclose(got, [told(p, doc)], rtol=1e-4)
+
+
+def test_documents_abreast_and_cases_at_once_are_bounded(monkeypatch):
+    """Documents in groups and cases in parts score as token by token, and one softmax does the words of all classes."""
+    p, rng = model(9), np.random.default_rng(10)
+    docs = [np.append(rng.integers(1, WORDS + GROUPS, n), END) for n in (5, 0, 130, 64, 1, 70, 63)]
+    for name, most in (("ABREAST", 3), ("AT_ONCE", 4), ("CASES", 10)):
+        monkeypatch.setattr(gru, name, most)
+    widths, softmax, step = {"cases": [], "documents": []}, gru._softmax, gru.step
+    monkeypatch.setattr(gru, "_softmax", lambda x, *more: widths["cases"].append(x.shape[1]) or softmax(x, *more))
+    monkeypatch.setattr(gru, "step", lambda p, x, h: widths["documents"].append(x.shape[1]) or step(p, x, h))
+    got = gru.score_documents({k: v.astype(np.float32) for k, v in p.items()}, docs, SIZE, END)
+    assert np.allclose(got, [told(p, d) for d in docs], rtol=1e-4)
+    assert max(widths["cases"]) <= 10 and max(widths["documents"]) == 3 and sum(widths["documents"]) == sum(map(len, docs))
+    widths["cases"].clear()
+    gru.outputs(p, rng.normal(size=(8, gru.HIDDEN)), np.array([0, 1, 3, 5, 6, 7, 8, 4]), SIZE)
+    assert widths["cases"] == [4, 4, 5]  # classes in two parts; the five words of both classes at once
+
+
+def test_arrays_kept_from_window_to_window_change_nothing():
+    p, rng = model(11), np.random.default_rng(12)
+    grid = rng.integers(0, WORDS + GROUPS, (14, 3))
+    kept, fresh = gru.Trainer(p, SIZE, END), gru.Trainer(p, SIZE, END)
+    h = g = np.zeros((3, gru.HIDDEN))
+    rooms = []
+    for t in (0, 4, 8):  # two windows of four, one of five
+        width = 5 if t == 8 else 4
+        h = kept._window(grid[t : t + width], grid[t + 1 : t + 1 + width], h)
+        fresh.room = None
+        g = fresh._window(grid[t : t + width], grid[t + 1 : t + 1 + width], g)
+        rooms.append(kept.room)
+    assert rooms[0] is rooms[1] and rooms[1] is not rooms[2]
+    assert (h == g).all() and all((kept.p[k] == fresh.p[k]).all() for k in p)
