@@ -14,7 +14,7 @@ from brasswell.functions.hashes import bits_hex, bits_longs, hamming_hex, once
 from brasswell.operators import decisions
 from brasswell.operators.hamming import within
 from brasswell.operators.pivots import Cells
-from brasswell.operators.signals import agreements
+from brasswell.operators.signals import agreements, legacy
 from brasswell.operators.vectors import against, best_per_product, nearest, normalised
 from brasswell.plans.registry import query, table
 from brasswell.sources.storage import stored as in_table
@@ -64,9 +64,13 @@ def pairs(spark, sf_dir) -> DataFrame:
     return met.select("query", "product", "vec_id", comparable_dot(F.col("e"), F.col("q")).alias("dot"), agreement.alias("structure"), *apart.values())
 
 
+def signed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Stored and asked vectors with their signatures."""
+    return tuple(df.withColumn("s", signature(F.col("e"))) for df in (stored(spark, sf_dir), asked(spark, sf_dir)))
+
+
 def signals(spark, sf_dir) -> DataFrame:
-    signed = lambda df: df.withColumn("s", signature(F.col("e")))
-    return agreements(signed(stored(spark, sf_dir)), signed(asked(spark, sf_dir)))
+    return agreements(*signed(spark, sf_dir))
 
 
 def scored(spark, sf_dir, again: bool = False) -> DataFrame:
@@ -317,32 +321,27 @@ _L1 = "list_sum(list_transform(range(1, 65), lambda i: abs(s.e[i] - t.e[i])))"
 _LEGACY = _WITH + f", l AS (SELECT query, s.vec_id, s.product, 0.45::DOUBLE * bit_count(xor(s.dh::BIT, t.dh::BIT)) / 256 + 0.25::DOUBLE * bit_count(xor(s.ph::BIT, t.ph::BIT)) / 64 + 0.1::DOUBLE * bit_count(xor(s.ah::BIT, t.ah::BIT)) / 64 + 0.2::DOUBLE * least(1, {_L1} / 2) AS d FROM s, t), m AS (SELECT query // 80 AS shot, vec_id, product, round(min(d), 11) AS d FROM l GROUP BY ALL)"
 
 
-def legacy(spark, sf_dir) -> DataFrame:
-    """shot, vec_id, product, d: the least distance of a stored vector from the views of a shot."""
-    left = stored(spark, sf_dir).withColumn("s", signature(F.col("e")))
-    right = asked(spark, sf_dir).select("query", F.col("e").alias("q"), signature(F.col("e")).alias("t"))
-    l1 = F.aggregate(F.zip_with("e", "q", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    apart = decisions.distances("s", "t")
-    far = against(left, right, "vec_id").select("query", "vec_id", "product", decisions.legacy_distance(apart["dh"], apart["ph"], apart["ah"], l1).alias("d"))
-    return far.groupBy(F.floor(F.col("query") / 80).alias("shot"), "vec_id", "product").agg(F.round(F.min("d"), 11).alias("d"))
+def shot() -> Column:
+    """Four asked vectors are the views of one shot."""
+    return F.floor(F.col("query") / 80)
 
 
 @query(_LEGACY + " SELECT shot, vec_id, d AS distance FROM m")
 def hsh05_legacy_distance(spark, sf_dir):
-    return legacy(spark, sf_dir).select("shot", "vec_id", F.col("d").alias("distance"))
+    return legacy(*signed(spark, sf_dir), shot()).select("shot", "vec_id", F.col("d").alias("distance"))
 
 
 @query(_LEGACY + " SELECT shot, product, vec_id, d AS distance, CASE WHEN d <= 0.07 THEN 99 ELSE least(92, greatest(55, floor(99 - d * 55 + 0.5)))::BIGINT END AS score FROM (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY d, vec_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY shot, product ORDER BY d, vec_id) AS k FROM m) WHERE k = 1) WHERE place <= 8")
 def hsh06_legacy_ranking(spark, sf_dir):
     """The eight nearest products of a shot, each with its nearest image, and the score shown for the distance."""
-    best = legacy(spark, sf_dir).groupBy("shot", "product").agg(F.min(F.struct("d", "vec_id")).alias("b")).select("shot", "product", "b.vec_id", "b.d")
+    best = legacy(*signed(spark, sf_dir), shot(), by="product").groupBy("shot", "product").agg(F.min(F.struct("d", "vec_id")).alias("b")).select("shot", "product", "b.vec_id", "b.d")
     place = F.row_number().over(Window.partitionBy("shot").orderBy("d", "vec_id"))
     return best.withColumn("place", place).where("place <= 8").select("shot", "product", "vec_id", F.col("d").alias("distance"), decisions.legacy_score(F.col("d")).alias("score"))
 
 
 @query(_LEGACY + " SELECT shot, min(d) AS least, min(d) <= 0.07 AS duplicate FROM m GROUP BY shot")
 def agg06_least_distance(spark, sf_dir):
-    return legacy(spark, sf_dir).groupBy("shot").agg(F.min("d").alias("least"), (F.min("d") <= 0.07).alias("duplicate"))
+    return legacy(*signed(spark, sf_dir), shot(), by="shot").groupBy("shot").agg(F.min("d").alias("least"), (F.min("d") <= 0.07).alias("duplicate"))
 
 
 _HEX = "array_to_string(list_transform(range(0, 64), lambda k: printf('%x', (substr(dh, 4 * k + 1, 1)::INT * 8 + substr(dh, 4 * k + 2, 1)::INT * 4 + substr(dh, 4 * k + 3, 1)::INT * 2 + substr(dh, 4 * k + 4, 1)::INT))), '')"
