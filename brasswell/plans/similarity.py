@@ -14,7 +14,7 @@ from brasswell.functions.hashes import bits_hex, bits_longs, hamming_hex, once
 from brasswell.operators import decisions
 from brasswell.operators.hamming import within
 from brasswell.operators.pivots import Cells
-from brasswell.operators.signals import agreements, legacy
+from brasswell.operators.signals import agreements, bests, legacy
 from brasswell.operators.vectors import against, best_per_product, nearest, normalised
 from brasswell.plans.registry import query, table
 from brasswell.sources.storage import stored as in_table
@@ -178,7 +178,7 @@ def jn01_best_hit_or_zero(spark, sf_dir):
 
 @query(_WITH + "SELECT query, product, round(max(structure), 6) AS structure, min(dh) AS dh FROM pairs GROUP BY query, product")
 def jn02_view_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy("query", "product").agg(F.round(F.max("structure"), 6).alias("structure"), F.min("dh").cast("long").alias("dh"))
+    return bests(*signed(spark, sf_dir), ("structure", "dh")).select("query", "product", F.round("structure", 6).alias("structure"), "dh")
 
 
 @query(_WITH + "SELECT query, product, round(structure, 6) AS structure FROM signals")
