@@ -14,7 +14,7 @@ from brasswell.functions.hashes import bits_hex, bits_longs, hamming_hex, once
 from brasswell.operators import decisions
 from brasswell.operators.hamming import within
 from brasswell.operators.pivots import Cells
-from brasswell.operators.signals import agreements, bests, legacy
+from brasswell.operators.signals import agreements, bests, legacy, near_counts
 from brasswell.operators.vectors import against, best_per_product, nearest, normalised
 from brasswell.plans.registry import query, table
 from brasswell.sources.storage import stored as in_table
@@ -369,9 +369,7 @@ def agg20_views_of_product(spark, sf_dir):
 @query(_WITH + "SELECT query, count(*) AS met, count_if(dot > 0.2) AS near FROM pairs GROUP BY query")
 def jn03_every_pair(spark, sf_dir):
     """Each asked vector beside all stored ones of its dimension."""
-    left, right = stored(spark, sf_dir), asked(spark, sf_dir).select("query", F.col("e").alias("q"))
-    met = against(left, right, "vec_id").where(F.size("e") == F.size("q"))
-    return met.groupBy("query").agg(F.count("*").alias("met"), F.count_if(dot(F.col("e"), F.col("q")) > 0.2).alias("near"))
+    return near_counts(stored(spark, sf_dir), asked(spark, sf_dir), 0.2)
 
 
 @query(_WITH + "SELECT query, count(*) AS products, round(sum(vector), 5) AS total FROM signals GROUP BY query")

@@ -88,7 +88,7 @@ def told(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["agg06_least_distance", "hsh05_legacy_distance", "hsh06_legacy_ranking", "jn02_view_pairs"])
+@pytest.mark.parametrize("name", ["agg06_least_distance", "hsh05_legacy_distance", "hsh06_legacy_ranking", "jn02_view_pairs", "jn03_every_pair"])
 def test_no_pair_is_a_row(spark, name):
     assert not any("zip_with" in line or "aggregate(" in line for line in told(QUERIES[name](spark, DATA)).split("\n") if "query" in line and "vec_id" in line)
     assert "FlatMapCoGroupsInArrow" in told(QUERIES[name](spark, DATA))
