@@ -77,8 +77,8 @@ def _ordered(v: Side, by: str) -> tuple[Side, np.ndarray]:
     return v, np.flatnonzero(np.append(True, v[by][1:] != v[by][:-1]))
 
 
-def _tiles(n: int, rows: int) -> Iterator[slice]:
-    step = max(1, TILE // max(1, rows))
+def _tiles(n: int, rows: int, tile: int) -> Iterator[slice]:
+    step = max(1, tile // max(1, rows))
     return (slice(a, a + step) for a in range(0, n, step))
 
 
@@ -161,7 +161,7 @@ def bests(rows: DataFrame, asked: DataFrame, wanted: tuple[str, ...]) -> DataFra
 
     def run(v: Side, q: Side) -> Iterator[list]:
         v, starts = _ordered(v, "product")
-        for cut in _tiles(len(q["query"]), len(v["product"])):
+        for cut in _tiles(len(q["query"]), len(v["product"]), TILE):
             some, told = {c: x[cut] for c, x in q.items()}, {}
             if "dot" in wanted:
                 alike = some["e"].shape[1] == v["e"].shape[1]
@@ -281,7 +281,7 @@ def near_counts(rows: DataFrame, asked: DataFrame, floor: float) -> DataFrame:
         if v["e"].shape[1] != q["e"].shape[1]:
             return
         most = np.sqrt((v["e"] * v["e"]).sum(axis=1).max())
-        for cut in _tiles(len(q["query"]), len(v["vec_id"])):
+        for cut in _tiles(len(q["query"]), len(v["vec_id"]), TILE):
             some, ids = q["e"][cut], q["query"][cut]
             dot = some @ v["e"].T
             near = dot > floor
