@@ -60,3 +60,9 @@ def test_pairs_of_either_key_are_not_compared(spark, tmp_path):
     df = QUERIES["jn12_either_key"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == sorted(db.execute(ORACLES["jn12_either_key"]).fetchall())
     assert "HashAggregate" not in told(df)
+
+
+def test_words_meet_texts_without_a_shuffle_of_texts(spark):
+    """flt04: only ids and words are shuffled."""
+    plan = told(QUERIES["flt04_texts_of_words"](spark, DATA))
+    assert "MapInArrow" in plan and "Contains(" not in plan and "told" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
