@@ -18,7 +18,9 @@ from brasswell.functions.hashes import FAR
 from brasswell.operators import decisions
 
 #: Rows of either side in a block, at least and at most, by expectation; between them, so many pairs of blocks are made.
-LEAST, MOST, PAIRS = 250, 4000, 200
+LEAST, MOST, PAIRS = 250, 8000, 200
+#: Rows that a pair of blocks may give, at most: they leave the worker as one table.
+GIVEN = 1 << 22
 #: Pairs of rows in a tile: its arrays stay in a core's cache.
 TILE = 1 << 17
 NUMBERS = ("aspect", "fill", "holes", "comps", "density")
@@ -35,10 +37,12 @@ def cells(df: DataFrame, *ids: str) -> DataFrame:
     return df.where("e is not null").select(*ids, "e", *(F.col(f"s.{c}").cast("double").alias(c) for c in NUMBERS), *lists)
 
 
-def meeting(rows: DataFrame, asked: DataFrame, number: Column, block: Column, run: Callable[[Side, Side], Iterator[list]], schema: str, most: int) -> DataFrame:
-    """What run(rows, queries) gives for each pair of a chunk of rows (dealt by ``number``) and a block of queries (by ``block``), apart for each two lengths of vectors."""
-    n, m = rows.count(), asked.count()
-    size = min(most, max(LEAST, isqrt(n * m // PAIRS)))
+def meeting(rows: DataFrame, asked: DataFrame, number: Column, block: Column, run: Callable[[Side, Side], Iterator[list]], schema: str, group: Column) -> DataFrame:
+    """What run(rows, queries) gives for each pair of a chunk of rows (dealt by ``number``) and a block of queries (by ``block``), apart for each two lengths of vectors:
+    a row for each query and ``group`` of the chunk's rows at most."""
+    n, groups = rows.agg(F.count("*"), F.approx_count_distinct(group)).first()
+    m = asked.count()
+    size = min(MOST, max(LEAST, isqrt(n * m // PAIRS)), max(isqrt(GIVEN), GIVEN // max(1, groups)))
     chunks, blocks = -(-n // size) or 1, -(-m // size) or 1
     mine, other = (F.pmod(F.xxhash64(c), F.lit(k)).cast("long") for c, k in ((number, chunks), (block, blocks)))
     all_of = lambda k: F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
@@ -181,7 +185,7 @@ def bests(rows: DataFrame, asked: DataFrame, wanted: tuple[str, ...]) -> DataFra
             yield [pa.array(np.repeat(some["query"], len(starts))), pa.array(np.tile(v["product"][starts], len(some["query"]))), *values]
 
     schema = ", ".join(f"{c} {'long' if c in ('query', 'product', 'dh') else 'double'}" for c in ("query", "product", *wanted))
-    found = meeting(cells(rows, "product", "vec_id"), cells(asked, "query"), F.col("vec_id"), F.col("query"), run, schema, MOST)
+    found = meeting(cells(rows, "product", "vec_id"), cells(asked, "query"), F.col("vec_id"), F.col("query"), run, schema, F.col("product"))
     best = lambda c: (F.max if c in ("dot", "structure") else F.min)(c).alias(c)
     return found.groupBy("query", "product").agg(*map(best, wanted))
 
@@ -224,10 +228,6 @@ def _legacy(v: Side, q: Side) -> np.ndarray:
     return np.round(total, 11, out=total)
 
 
-#: Rows of a chunk and queries of a block where a row for each shot and row goes on.
-FULL = 2000
-
-
 def legacy(rows: DataFrame, asked: DataFrame, shot: Column, by: str = "") -> DataFrame:
     """shot, vec_id, product, d: the least legacy distance of each row (product, vec_id, e, s) from the queries (query, e, s) of a shot. All queries of a shot are in one block
     and all rows of a vec_id in one chunk, so what a worker gives for them is the result. by: "product" keeps the nearest row (then the least vec_id) of each shot and product,
@@ -269,8 +269,8 @@ def legacy(rows: DataFrame, asked: DataFrame, shot: Column, by: str = "") -> Dat
             a = b
 
     queries = cells(asked.withColumn("shot", shot.cast("long")), "shot")
-    found = meeting(cells(rows, "product", "vec_id"), queries, F.col("vec_id"), F.col("shot"), run, "shot long, vec_id long, product long, d double", MOST if by else FULL)
-    return found
+    group = {"": F.col("vec_id"), "product": F.col("product"), "shot": F.lit(0)}[by]
+    return meeting(cells(rows, "product", "vec_id"), queries, F.col("vec_id"), F.col("shot"), run, "shot long, vec_id long, product long, d double", group)
 
 
 def near_counts(rows: DataFrame, asked: DataFrame, floor: float) -> DataFrame:
@@ -292,5 +292,5 @@ def near_counts(rows: DataFrame, asked: DataFrame, floor: float) -> DataFrame:
             yield [pa.array(ids), pa.array(np.full(len(ids), len(v["vec_id"]))), pa.array(near.sum(axis=1, dtype=np.int64))]
 
     plain = [df.where("e is not null").select(c, "e") for df, c in ((rows, "vec_id"), (asked, "query"))]
-    found = meeting(*plain, F.col("vec_id"), F.col("query"), run, "query long, met long, near long", MOST)
+    found = meeting(*plain, F.col("vec_id"), F.col("query"), run, "query long, met long, near long", F.lit(0))
     return found.groupBy("query").agg(F.sum("met").alias("met"), F.sum("near").alias("near"))

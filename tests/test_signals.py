@@ -51,7 +51,6 @@ def same(got, want, digits=12):
 def blocks(request, monkeypatch):
     for name, value in zip(("LEAST", "MOST", "TILE"), request.param, strict=True):
         monkeypatch.setattr(signals, name, value)
-    monkeypatch.setattr(signals, "FULL", request.param[1])
 
 
 def test_agreements_against_all_pairs(spark, views, blocks):
@@ -84,6 +83,18 @@ def test_counts_against_all_pairs(spark, views, blocks):
         same(signals.near_counts(left, right, floor).collect(), want)
 
 
+@pytest.mark.parametrize(("products", "given"), [(3, 8000), (4000, 100)])
+def test_many_products_get_smaller_blocks(spark, monkeypatch, products, given):
+    """A pair of blocks gives GIVEN rows at most, by expectation: 100 x 100 where each row is a product of its own."""
+    monkeypatch.setattr(signals, "GIVEN", 10000)
+    monkeypatch.setattr(signals, "LEAST", given)
+    rows = spark.range(4000).select((F.col("id") % products).alias("product"), F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("e"))
+    asked = spark.range(150).select(F.col("id").alias("query"), "id", F.array(F.lit(1.0), F.lit(0.0)).alias("e"))
+    run = lambda v, q: iter([[[len(v["vec_id"]) * len(q["query"])]]])
+    sizes = [r["n"] for r in signals.meeting(rows, asked.drop("id"), F.col("vec_id"), F.col("query"), run, "n long", F.col("product")).collect()]
+    assert sum(sizes) == 4000 * 150 and (max(sizes) < 25000 if products == 4000 else max(sizes) > 100000)
+
+
 def told(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
